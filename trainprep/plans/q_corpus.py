@@ -27,7 +27,7 @@ def _slices(spark, sf):
 _ORACLE_TOKENS = f"""
 WITH d AS (SELECT doc_id, text, {_SPLIT} AS split, strlen(text) + 1 AS n FROM documents),
 o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY split ORDER BY doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
 t AS (SELECT split, doc_id, start,
         unnest(list_concat([257], {_BYTES.format(t='text')})) AS tok,
         unnest(range(0, n)) AS p FROM o)
@@ -235,10 +235,10 @@ def q_shuffle_shards(spark, sf):
 @query("resume_blocks", _BLOCKS_ORACLE + f"""
 , bl AS (SELECT DISTINCT split, shard, block FROM b)
 , s AS (SELECT DISTINCT split, shard FROM bl)
-, o AS (SELECT split, shard, (row_number() OVER (PARTITION BY split ORDER BY
+, ord AS (SELECT split, shard, (row_number() OVER (PARTITION BY split ORDER BY
   ('0x'||substr(md5('{SEED}|0|'||shard),1,15))::BIGINT, shard) - 1) AS epoch_pos FROM s)
 SELECT split, epoch_pos, count(*) AS n_blocks, min(block) AS first_block
-FROM bl JOIN o USING (split, shard)
+FROM bl JOIN ord USING (split, shard)
 WHERE epoch_pos > 2 OR (epoch_pos = 2 AND block > 100)
 GROUP BY 1, 2
 """)
@@ -267,7 +267,7 @@ s AS (SELECT * FROM src {limit}),
 n AS (SELECT source, count(*) AS n FROM s GROUP BY source),
 dr AS (SELECT i, {cases} AS source FROM (
          SELECT i, ('0x'||substr(md5('{SEED}|'||i),1,15))::BIGINT / 1152921504606846976.0 AS u
-         FROM range(0, (SELECT sum(n) FROM n) + 1) t(i))),
+         FROM range(0, (SELECT sum(n) FROM n)::BIGINT + 1) t(i))),
 rk AS (SELECT i, source, row_number() OVER (PARTITION BY source ORDER BY i) AS r FROM dr),
 cut AS (SELECT min(i) AS c FROM rk JOIN n USING (source) WHERE r > n)
 SELECT s.doc_id, s.source, rk.i AS mix_pos FROM rk JOIN s USING (source, r)
