@@ -254,7 +254,11 @@ def q_resume_blocks(spark, sf):
 
 # ------------------------------------------------------------------ mixing
 
-_MIX = {"src0": 0.25, "src1": 0.25, "src2": 0.5}
+# Mixture spec of the mixing queries, validated and normalised by mixture_table.
+MIX_SPEC = {"seed": SEED, "datasets": {"src0": {"default": {"weight": 0.25}},
+                                      "src1": {"default": {"weight": 0.25}},
+                                      "src2": {"default": {"weight": 0.50}}}}
+_MIX = mix.mixture_table(MIX_SPEC).probabilities()
 
 
 def _mix_oracle(take: int | None) -> str:
