@@ -507,3 +507,16 @@ def q_pretokenize(spark, sf):
     """Pre-tokens joined back equal the text (the pattern covers every character)."""
     d = table(spark, sf, "documents")
     return d.select("doc_id", (F.array_join(tokenize.pretokenize("text"), "") == F.col("text")).alias("lossless"))
+
+
+@query("keep_newest", """
+SELECT run, step FROM (SELECT user_id AS run, event_id AS step,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 3
+""")
+def q_keep_newest(spark, sf):
+    """``events`` as a checkpoint manifest (run = user_id, step = event_id): the newest
+    three entries per run survive."""
+    from trainprep.operators import batch
+
+    m = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"))
+    return batch.keep_newest(m, 3)
