@@ -94,8 +94,9 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
     n_buckets = (stats.kmax - stats.kmin) // width + 1
     table_rows = min(stats.count, n_buckets * stats.parts) if stats.count else n_buckets * stats.parts
 
-    b = df.withColumn("__v", vcol).withColumn(
-        "__b", F.floor((kcol - F.lit(stats.kmin)) / F.lit(width)).cast("bigint"))
+    # exact integer bucket: (key - min) div width (no double rounding for 60-bit keys)
+    b = df.withColumn("__v", vcol).withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
+    b = b.withColumn("__b", F.expr(f"__k0 div {int(width)}")).drop("__k0")
     bt = b.groupBy(*part_cols, "__b").agg(agg("__v").alias("__bs"))
 
     if n_buckets <= MAX_BROADCAST_BUCKETS:

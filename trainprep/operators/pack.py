@@ -43,8 +43,8 @@ def pack_shards(df: DataFrame, shard_size: int, ids_col: str = "ids", start_col:
               .withColumn("__s", rel_start)
               .withColumn("__cut", cut)
               .withColumn("__e", start + n)  # exclusive end
-              .withColumn("__k", F.explode(F.sequence(F.floor(F.col("__s") / N).cast("bigint"),
-                                                      F.floor((F.col("__e") - 1) / N).cast("bigint")))))
+              .withColumn("__k", F.explode(F.sequence(F.expr(f"__s div {N}"),
+                                                      F.expr(f"(__e - 1) div {N}")))))
     a = F.greatest(F.col("__s"), F.col("__k") * N)
     b = F.least(F.col("__e"), (F.col("__k") + 1) * N)
     return placed.select(
@@ -105,8 +105,8 @@ def pack_blocks(slices: DataFrame, seq_len: int, part_cols=("split",)) -> DataFr
     n = F.size("tokens")
     pieces = (slices
               .withColumn("__k", F.explode(F.sequence(
-                  F.greatest(F.floor((pos - 1) / S), F.lit(0)).cast("bigint"),
-                  F.floor((pos + n - 1) / S).cast("bigint"))))
+                  F.greatest(F.expr(f"(pos - 1) div {S}"), F.lit(0).cast("bigint")),
+                  F.expr(f"(pos + size(tokens) - 1) div {S}"))))
               .withColumn("__a", F.greatest(pos, F.col("__k") * S))
               .withColumn("__b", F.least(pos + n - 1, F.col("__k") * S + S))
               .where(F.col("__b") >= F.col("__a"))
