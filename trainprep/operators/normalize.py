@@ -141,14 +141,14 @@ TRANSCRIPT_PATTERN = r"(?s)(?:^|\n\n)(Human|Assistant): (.*?)(?=\n\n(?:Human|Ass
 
 def parse_transcript(text) -> Column:
     """Flat ``Human:``/``Assistant:`` transcript to turns; text before the first marker
-    is ignored; ``Human`` becomes ``user``."""
+    is ignored; ``Human`` becomes ``user``. One pass of the turn pattern over the
+    text; each match is then split at its leading marker."""
     t = _c(text)
-    roles = F.regexp_extract_all(t, F.lit(TRANSCRIPT_PATTERN), 1)
-    contents = F.regexp_extract_all(t, F.lit(TRANSCRIPT_PATTERN), 2)
-    return F.transform(F.arrays_zip(roles.alias("r"), contents.alias("c")),
-                       lambda x: F.struct(F.when(F.lower(x["r"]) == "human", F.lit("user"))
-                                          .otherwise(F.lit("assistant")).alias("role"),
-                                          x["c"].alias("content")))
+    matches = F.regexp_extract_all(t, F.lit(TRANSCRIPT_PATTERN), 0)
+    head = r"^(?:\n\n)?(Human|Assistant): "
+    return F.transform(matches, lambda m: F.struct(
+        F.when(F.regexp_extract(m, head, 1) == "Human", F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.regexp_replace(m, head, "").alias("content")))
 
 
 def render_transcript(conv) -> Column:

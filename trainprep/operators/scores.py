@@ -68,15 +68,17 @@ def repetition_penalty(scores: DataFrame, history: DataFrame, penalty: float, se
 def ngram_bans(tokens: Column, n: int) -> Column:
     """Tokens that would complete an n-gram already present, given the last n-1
     tokens as prefix (distinct, first-seen order); empty when n <= 1. Works for any
-    element type (token ids, words)."""
+    element type (token ids, words). Positions are compared element-wise, so no
+    n-gram arrays are built."""
     t = tokens
     if n <= 1:
         return F.slice(t, 1, 0)
-    prefix = F.slice(t, -(n - 1), n - 1)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
-    grams = F.filter(F.transform(starts, lambda i: F.slice(t, i, n)), lambda g: F.size(g) == n)
-    hits = F.filter(grams, lambda g: F.slice(g, 1, n - 1) == prefix)
-    return F.array_distinct(F.transform(hits, lambda g: F.element_at(g, n)))
+    size = F.size(t)
+    starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+    offs = F.sequence(F.lit(0), F.lit(n - 2))
+    hit = F.filter(starts, lambda i: (size >= n) & F.forall(
+        offs, lambda j: F.element_at(t, i + j) == F.element_at(t, size - (n - 2) + j)))
+    return F.array_distinct(F.transform(hit, lambda i: F.element_at(t, i + n - 1)))
 
 
 def apply_ngram_bans(scores: DataFrame, bans: DataFrame, seq_col: str = "seq", token_col: str = "token",
