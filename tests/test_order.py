@@ -69,3 +69,14 @@ def test_hash_key_ranks(spark):
     got = [x.id for x in r.orderBy("rk").collect()]
     exp = [x.id for x in df.orderBy("h", "id").collect()]
     assert got == exp
+
+
+def test_prefix_sums_one_pass(spark):
+    from trainprep.functions.order import prefix_sums
+    rows = _rows(800, seed=11)
+    df = spark.createDataFrame(rows, "k long, p string, v long")
+    out = prefix_sums(df, {"a": "v", "b": F.lit(1)}, ["k"], ["p"], inclusive=True).collect()
+    exp = _expected(rows, True)
+    cnt = _expected([(k, p, 1) for k, p, _ in rows], True)
+    assert {r.k: r.a for r in out} == exp
+    assert {r.k: r.b for r in out} == cnt

@@ -151,3 +151,44 @@ def dense_rank_by(df: DataFrame, order_cols, out: str = "rank", part_cols=(),
 def hash_bucket_width(bits: int = 12) -> int:
     """Width that cuts a 60-bit hash key into ``2**bits`` equal buckets."""
     return 1 << (60 - bits)
+
+
+def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive: bool = False,
+                width: int | None = None, stats: RankStats | None = None,
+                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Several running sums ``{out: value}`` over the same order in one bucketed pass
+    (one bucket aggregate, one join, one window) instead of one pass per sum."""
+    order_cols = [order_cols] if isinstance(order_cols, (str, Column)) else list(order_cols)
+    part_cols = list(part_cols)
+    kcol = F.col(order_cols[0]) if isinstance(order_cols[0], str) else order_cols[0]
+    if stats is None:
+        stats = key_stats(df, kcol, part_cols)
+    if width is None:
+        width = choose_width(stats, df.sparkSession.sparkContext.defaultParallelism, rows_per_bucket)
+    n_buckets = (stats.kmax - stats.kmin) // width + 1
+    if n_buckets > MAX_BROADCAST_BUCKETS:
+        for out, v in values.items():
+            df = prefix_sum(df, v, order_cols, out, part_cols, inclusive, width, stats, rows_per_bucket)
+        return df
+    names = list(values)
+    b = df
+    for i, out in enumerate(names):
+        v = values[out]
+        b = b.withColumn(f"__v{i}", (F.col(v) if isinstance(v, str) else v).cast("bigint"))
+    b = b.withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
+    b = b.withColumn("__b", F.expr(f"__k0 div {int(width)}")).drop("__k0")
+    bt = b.groupBy(*part_cols, "__b").agg(*[F.sum(f"__v{i}").alias(f"__bs{i}") for i in range(len(names))])
+    wb = Window.partitionBy(*part_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    for i in range(len(names)):
+        bt = bt.withColumn(f"__bstart{i}", F.sum(f"__bs{i}").over(wb))
+    offsets = bt.select(*part_cols, "__b", *[f"__bstart{i}" for i in range(len(names))])
+    if min(stats.count or n_buckets * stats.parts, n_buckets * stats.parts) <= MAX_BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
+    joined = b.join(offsets, [*part_cols, "__b"])
+    w = Window.partitionBy(*part_cols, "__b").orderBy(*order_cols).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    for i, out in enumerate(names):
+        joined = joined.withColumn(out, (F.coalesce(F.col(f"__bstart{i}"), F.lit(0))
+                                         + F.coalesce(F.sum(f"__v{i}").over(w), F.lit(0))).cast("bigint"))
+    drop = ["__b"] + [f"__v{i}" for i in range(len(names))] + [f"__bstart{i}" for i in range(len(names))]
+    return joined.drop(*drop)

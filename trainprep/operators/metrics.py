@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainprep.functions.order import key_stats, prefix_agg, prefix_sum
+from trainprep.functions.order import key_stats, prefix_agg, prefix_sums
 
 
 def weighted_metrics(df: DataFrame, group_cols=("metric",), value_col: str = "value",
@@ -55,8 +55,8 @@ def early_stopping(df: DataFrame, patience: int, skip_steps: int = 0, start_step
     improved = F.col("__best_before").isNull() | (F.col(loss_col) < F.col("__best_before"))
     d = d.withColumn("improved", improved)
     d = d.withColumn("__elig", (~F.col("improved") & (F.col(step_col) >= skip_steps + start_step)).cast("int"))
-    d = prefix_sum(d, F.col("improved").cast("int"), [step_col], "__grp", [run_col], inclusive=True, stats=st)
-    d = prefix_sum(d, "__elig", [step_col], "__cum", [run_col], inclusive=True, stats=st)
+    d = prefix_sums(d, {"__grp": F.col("improved").cast("int"), "__cum": "__elig"}, [step_col], [run_col],
+                    inclusive=True, stats=st)
     starts = d.groupBy(run_col, "__grp").agg(F.min(F.col("__cum") - F.col("__elig")).alias("__c0"))
     d = d.join(starts, [run_col, "__grp"])
     d = d.withColumn("no_improve", (F.col("__cum") - F.col("__c0")).cast("bigint"))
