@@ -92,7 +92,11 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
     if width is None:
         width = choose_width(stats, spark.sparkContext.defaultParallelism, rows_per_bucket)
     n_buckets = (stats.kmax - stats.kmin) // width + 1
-    table_rows = min(stats.count, n_buckets * stats.parts) if stats.count else n_buckets * stats.parts
+    # exact upper bound of bucket-table rows: never more than the input rows, and
+    # never more than the number of buckets when there is no partition column
+    proven_rows = stats.count if stats.count else float("inf")
+    if not part_cols:
+        proven_rows = min(proven_rows, n_buckets)
 
     # exact integer bucket: (key - min) div width (no double rounding for 60-bit keys)
     b = df.withColumn("__v", vcol).withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
@@ -111,8 +115,10 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
                         part_cols, inclusive=False, fn=fn, rows_per_bucket=rows_per_bucket)
         bt = bt.withColumnRenamed("__bk", "__b").withColumnRenamed("__bpre", "__bstart")
     offsets = bt.select(*part_cols, "__b", "__bstart")
-    if table_rows <= MAX_BROADCAST_BUCKETS:
+    if proven_rows <= MAX_BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)  # size proven by the bound above
+    # otherwise no hint: AQE measures the aggregated bucket table at run time and
+    # broadcasts it only if it is actually small
     joined = b.join(offsets, [*part_cols, "__b"])
 
     frame_end = Window.currentRow if inclusive else -1
@@ -182,7 +188,10 @@ def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive
     for i in range(len(names)):
         bt = bt.withColumn(f"__bstart{i}", F.sum(f"__bs{i}").over(wb))
     offsets = bt.select(*part_cols, "__b", *[f"__bstart{i}" for i in range(len(names))])
-    if min(stats.count or n_buckets * stats.parts, n_buckets * stats.parts) <= MAX_BROADCAST_BUCKETS:
+    proven_rows = stats.count if stats.count else float("inf")
+    if not part_cols:
+        proven_rows = min(proven_rows, n_buckets)
+    if proven_rows <= MAX_BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
     joined = b.join(offsets, [*part_cols, "__b"])
     w = Window.partitionBy(*part_cols, "__b").orderBy(*order_cols).rowsBetween(

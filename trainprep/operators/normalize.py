@@ -35,16 +35,19 @@ def tag_source(df: DataFrame, source: str, col: str = "source") -> DataFrame:
 def take_first(df: DataFrame, n: int, order_col: str, strict: bool = False) -> DataFrame:
     """First ``n`` rows by ``order_col``.
 
-    Small ``n``: sorted limit (TakeOrderedAndProject, n rows in one task). Large
-    ``n``: distributed ranks and a filter. ``strict`` raises when fewer than ``n``
-    rows exist (a table past its end), else the take is lenient like on a stream.
+    Up to ``SMALL_TAKE`` rows: a sorted limit over the key column alone (one long per
+    row, so at most 8 * n bytes in the final task), broadcast back as a semi-join —
+    wide rows never meet in one task. Larger ``n``: distributed ranks and a filter.
+    ``strict`` raises when fewer than ``n`` rows exist (a table past its end);
+    otherwise the take is lenient, like on a stream.
     """
     if strict:
         have = df.count()
         if have < n:
             raise ValueError(f"asked for {n} rows, only {have} exist")
     if n <= SMALL_TAKE:
-        return df.orderBy(order_col).limit(n)
+        keys = df.select(order_col).orderBy(order_col).limit(n)
+        return df.join(F.broadcast(keys), order_col, "left_semi")  # n keys: proven bound
     return dense_rank_by(df, [order_col], "__rk").where(F.col("__rk") <= n).drop("__rk")
 
 

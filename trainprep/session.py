@@ -27,6 +27,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Arrow batches of at most 1000 records (long documents make large batches)
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
