@@ -313,3 +313,29 @@ SELECT conv_id, CASE WHEN r <= ceil(n * 0.01) THEN 'val' ELSE 'train' END AS spl
 def q_exact_split(spark, sf):
     convs = table(spark, sf, "conversations").select("conv_id").distinct()
     return mix.exact_split(convs, "conv_id", SEED, 0.01).select("conv_id", "split")
+
+
+@query("mixture_table", """
+WITH spec AS (SELECT * FROM (VALUES ('src0', 0.25, 0.0, 0.25), ('src1', 0.25, 0.25, 0.5), ('src2', 0.5, 0.5, 1.0))
+              v(source, p, cum_lo, cum_hi))
+SELECT spec.source, spec.p::DOUBLE AS p, spec.cum_lo::DOUBLE AS cum_lo, spec.cum_hi::DOUBLE AS cum_hi,
+       count(d.doc_id) AS n_docs
+FROM spec LEFT JOIN documents d ON d.source = spec.source GROUP BY 1, 2, 3, 4
+""")
+def q_mixture_table(spark, sf):
+    """The validated, normalised mixture with the rows each source offers."""
+    m = mix.mixture_frame(spark, mix.mixture_table(MIX_SPEC))
+    counts = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    out = F.broadcast(m).join(counts, "source", "left")  # the spec has a few entries
+    return out.select("source", "p", "cum_lo", "cum_hi", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+@query("stable_hash", """
+SELECT doc_id, ('0x'||substr(md5('42|'||text),1,15))::BIGINT AS h_seeded,
+       ('0x'||substr(md5(text),1,15))::BIGINT AS h_plain FROM documents
+""")
+def q_stable_hash(spark, sf):
+    from trainprep.functions.hashing import stable_hash
+
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", stable_hash("text", SEED).alias("h_seeded"), stable_hash("text").alias("h_plain"))

@@ -194,3 +194,20 @@ def q_hash_split_blake2b(spark, sf):
     """Keyed BLAKE2b split (no DuckDB equivalent; golden values in the tests)."""
     d = mix.hash_split(table(spark, sf, "documents").select("doc_id", "text"), "text", SEED, algo="blake2b")
     return d.select("doc_id", "split")
+
+
+@query("normalize_pretrain", "SELECT doc_id, text, 'src' AS source FROM documents WHERE text IS NOT NULL")
+def q_normalize_pretrain(spark, sf):
+    return nz.normalize_pretrain(table(spark, sf, "documents"), "doc_id", source="src").where(F.col("text").isNotNull())
+
+
+@query("read_corpus_stream", "SELECT doc_id, strlen(text) AS n_bytes FROM documents")
+def q_read_corpus_stream(spark, sf):
+    """Single-pass incremental read of the corpus (availableNow) into parquet."""
+    stream = read_corpus_stream(spark, Source("parquet", f"{sf}/documents.parquet"), max_files_per_trigger=1)
+    out = scratch_path(spark, "stream-read")
+    q = (stream.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes")).writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-read-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)

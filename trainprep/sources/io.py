@@ -73,10 +73,24 @@ def read_corpus_stream(spark: SparkSession, src: Source, max_files_per_trigger:
     r = spark.readStream.format(src.fmt).options(**src.options).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.load(src.path)
+    path = src.path.rstrip("/")
+    last = path.rsplit("/", 1)[-1]
+    if "." in last and "*" not in last and not _is_dir(spark, path):
+        # a single file: stream its folder, filtered to that file name
+        r = r.option("pathGlobFilter", last)
+        path = path.rsplit("/", 1)[0]
+    df = r.load(path)
     return src.adapter(df) if src.adapter else df
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a directory, asked through the Hadoop file system API."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = checkpoint_dir(spark).rstrip("/")
