@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 # Largest bucket table that is windowed in place and broadcast back.
 MAX_BROADCAST_BUCKETS = 200_000
 # Default upper bound of rows per bucket (the key is unique, so width bounds rows).
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
+# A bucket is one window group; wide rows in it spill, but stay a bounded unit.
+DEFAULT_ROWS_PER_BUCKET = 200_000
+# Target rows per bucket for uniform hash keys.
+HASH_ROWS_PER_BUCKET = 100_000
 
 
 @dataclass(frozen=True)
@@ -154,11 +157,18 @@ def dense_rank_by(df: DataFrame, order_cols, out: str = "rank", part_cols=(),
                       width=width, stats=stats, rows_per_bucket=rows_per_bucket)
 
 
-def hash_bucket_width(bits: int = 12) -> int:
-    """Width that cuts a 60-bit hash key into ``2**bits`` equal buckets."""
+def hash_bucket_width(n_rows: int | None = None, bits: int | None = None) -> int:
+    """Width that cuts a 60-bit hash key into ``2**bits`` equal buckets; with
+    ``n_rows`` the bits grow with the data (about 100k rows per bucket, 12 to 24 bits)."""
+    if bits is None:
+        need = math.ceil(math.log2(max(n_rows or 1, 1) / HASH_ROWS_PER_BUCKET)) if n_rows else 12
+        bits = min(max(12, need), 24)
     return 1 << (60 - bits)
 
 
+HASH_KEY_STATS = RankStats(0, (1 << 60) - 1, 0, 1)
+
+
 def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive: bool = False,
                 width: int | None = None, stats: RankStats | None = None,
                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:

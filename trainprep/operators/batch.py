@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainprep.functions.hashing import h60
-from trainprep.functions.order import RankStats, dense_rank_by
+from trainprep.functions.order import RankStats, dense_rank_by, hash_bucket_width
 from trainprep.operators.tokenize import IGNORE_INDEX
 
 
@@ -22,8 +22,9 @@ def epoch_order(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
     ``shuffle`` (train), natural id order otherwise (validation)."""
     if shuffle:
         keyed = df.withColumn("__h", h60(seed, epoch, F.col(id_col)))
-        ranked = dense_rank_by(keyed, ["__h", id_col], out, width=1 << 48,
-                               stats=RankStats(0, (1 << 60) - 1, 0, 1)).drop("__h")
+        n = keyed.count()  # one number: sizes the hash buckets
+        ranked = dense_rank_by(keyed, ["__h", id_col], out, width=hash_bucket_width(n),
+                               stats=RankStats(0, (1 << 60) - 1, n, 1)).drop("__h")
     else:
         ranked = dense_rank_by(df, [id_col], out)
     return ranked.withColumn(out, F.col(out) - 1)

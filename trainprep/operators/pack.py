@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainprep.functions.hashing import h60
-from trainprep.functions.order import dense_rank_by, prefix_sum, RankStats
+from trainprep.functions.order import dense_rank_by, hash_bucket_width, prefix_sum, RankStats
 
 
 def token_offsets(df: DataFrame, order_col: str = "doc_id", part_cols=("split",),
@@ -152,7 +152,7 @@ def shuffle_shards(shards: DataFrame, seed: int, epoch: int, part_cols=("split",
             "epoch_pos", F.col("epoch_pos") - 1)
     ranked = present.withColumn("__h", h60(seed, epoch, F.col("shard")))
     ranked = dense_rank_by(ranked, ["__h", "shard"], "epoch_pos", part_cols,
-                           width=1 << 48, stats=RankStats(0, (1 << 60) - 1, 0, 4))
+                           width=hash_bucket_width(bits=12), stats=RankStats(0, (1 << 60) - 1, 0, 4))
     return ranked.withColumn("epoch_pos", F.col("epoch_pos") - 1).drop("__h")
 
 
