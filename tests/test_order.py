@@ -80,3 +80,13 @@ def test_prefix_sums_one_pass(spark):
     cnt = _expected([(k, p, 1) for k, p, _ in rows], True)
     assert {r.k: r.a for r in out} == exp
     assert {r.k: r.b for r in out} == cnt
+
+
+def test_clustered_keys_one_third_in_a_narrow_range(spark):
+    # a third of all rows sit in a key range 1000x denser than the rest
+    dense = [(k, "a", 1) for k in range(0, 1000)]
+    sparse = [(10_000 + 1000 * i, "a", 2) for i in range(2000)]
+    rows = dense + sparse
+    df = spark.createDataFrame(rows, "k long, p string, v long").repartition(6)
+    got = {r.k: r.o for r in prefix_sum(df, "v", ["k"], "o", ["p"], rows_per_bucket=50).collect()}
+    assert got == _expected(rows, False)
