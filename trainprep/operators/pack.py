@@ -96,9 +96,11 @@ def pack_blocks(slices: DataFrame, seq_len: int, part_cols=("split",)) -> DataFr
     """Windows of S+1 tokens with stride S inside each shard: ``x = w[0:S]``,
     ``y = w[1:S+1]``. The tail that does not fill S+1 tokens is dropped.
 
-    Each slice is cut into the pieces that fall into each block it overlaps
-    (a boundary token belongs to two blocks), then each block is regrouped from at
-    most S+1 tokens worth of pieces.
+    Each slice is cut into the pieces that fall into each block it overlaps (a
+    boundary token belongs to two blocks). A block that lies inside one slice is
+    complete at once and is emitted without a shuffle; only blocks that straddle
+    slice boundaries (about one per document) are regrouped, from at most S+1
+    tokens of pieces each.
     """
     S = int(seq_len)
     pos = F.col("pos")
@@ -110,14 +112,16 @@ def pack_blocks(slices: DataFrame, seq_len: int, part_cols=("split",)) -> DataFr
               .withColumn("__a", F.greatest(pos, F.col("__k") * S))
               .withColumn("__b", F.least(pos + n - 1, F.col("__k") * S + S))
               .where(F.col("__b") >= F.col("__a"))
-              .select(*part_cols, "shard", F.col("__k").alias("block"),
-                      F.struct(F.col("__a").alias("a"),
-                               F.slice("tokens", (F.col("__a") - pos + 1).cast("int"),
-                                       (F.col("__b") - F.col("__a") + 1).cast("int")).alias("t")).alias("piece")))
-    blocks = (pieces.groupBy(*part_cols, "shard", "block")
-              .agg(F.sort_array(F.collect_list("piece")).alias("__p"))
-              .withColumn("__w", F.flatten(F.transform("__p", lambda p: p["t"])))
+              .select(*part_cols, "shard", F.col("__k").alias("block"), F.col("__a").alias("a"),
+                      F.slice("tokens", (F.col("__a") - pos + 1).cast("int"),
+                              (F.col("__b") - F.col("__a") + 1).cast("int")).alias("t")))
+    whole = pieces.where(F.size("t") == S + 1).select(*part_cols, "shard", "block", F.col("t").alias("__w"))
+    joined = (pieces.where(F.size("t") < S + 1)
+              .groupBy(*part_cols, "shard", "block")
+              .agg(F.sort_array(F.collect_list(F.struct("a", "t"))).alias("__p"))
+              .select(*part_cols, "shard", "block", F.flatten(F.transform("__p", lambda p: p["t"])).alias("__w"))
               .where(F.size("__w") == S + 1))
+    blocks = whole.unionByName(joined)
     return blocks.select(*part_cols, "shard", "block",
                          F.slice("__w", 1, S).alias("x"), F.slice("__w", 2, S).alias("y"))
 
