@@ -62,3 +62,26 @@ def test_truncate_at_stop(spark):
     df = spark.createDataFrame([([9, 9, 1, 2, 265, 3, 257], 2), ([9, 1, 2, 3], 1)], "t array<int>, p int")
     got = [list(r.g) for r in df.select(scores.truncate_at_stop(F.col("t"), F.col("p"), [257, 265], 5).alias("g")).collect()]
     assert got == [[1, 2], [1, 2, 3]]
+
+
+def test_shard_items_pad_and_empty_ending(spark):
+    df = spark.createDataFrame([(1, "ab", ["c", ""], 0), (2, "x", ["yz", "w"], 1), (3, "q", ["r", "s"], 0)],
+                               "item_id long, ctx string, endings array<string>, label int")
+    it = choice.prepare_completion_choice(df)
+    first = it.where("item_id = 1").first()
+    assert [list(r) for r in first.mask] == [[0, 0, 1], [0, 0, 0]]  # empty ending: no mask ones
+    out = choice.shard_items(it, 2, pad=True).collect()
+    per = {}
+    for r in out:
+        per.setdefault(r.worker, []).append(r.valid)
+    assert sorted(len(v) for v in per.values()) == [2, 2]
+    assert sum(not v for vs in per.values() for v in vs) == 1
+
+
+def test_pad_preference_batch(spark):
+    df = spark.createDataFrame([(0, 0, [1, 2], [3], [4, 5, 6]), (0, 0, [7], [8, 9], [10])],
+                               "rank int, batch long, prompt_input_ids array<int>, chosen_input_ids array<int>, rejected_input_ids array<int>")
+    rows = batch.pad_preference_batch(df, 10, 258).orderBy(F.col("prompt_input_ids")[0]).collect()
+    assert [list(r.prompt_input_ids) for r in rows] == [[1, 2], [7, 258]]
+    assert [list(r.chosen_input_ids) for r in rows] == [[3, 258], [8, 9]]
+    assert [list(r.rejected_input_ids) for r in rows] == [[4, 5, 6], [10, 258, 258]]

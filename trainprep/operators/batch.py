@@ -87,6 +87,21 @@ def valid_tokens(labels_col: str = "labels", ignore_index: int = IGNORE_INDEX) -
     return F.size(F.filter(F.col(labels_col), lambda x: x != F.lit(ignore_index)))
 
 
+def processed_tokens_causal(ids_col: str = "input_ids", with_teacher: bool = False) -> Column:
+    """Tokens processed per causal example (its length; twice with a teacher model)."""
+    n = F.size(ids_col)
+    return n * 2 if with_teacher else n
+
+
+def pad_preference_batch(df: DataFrame, seq_len: int, pad_id: int, batch_cols=("rank", "batch"),
+                         cols=("prompt_input_ids", "chosen_input_ids", "rejected_input_ids")) -> DataFrame:
+    """Preference batches: each of the three id columns is padded to its own batch
+    maximum and cut to its last ``seq_len`` columns, independently."""
+    for c in cols:
+        df = pad_batch(df, seq_len, pad_id, batch_cols, ids_col=c, labels_col=None)
+    return df
+
+
 def processed_tokens_dpo(prompt="prompt_input_ids", chosen="chosen_input_ids",
                          rejected="rejected_input_ids") -> Column:
     """Tokens processed per preference triple: 4*prompt + 2*chosen + 2*rejected."""

@@ -273,3 +273,40 @@ def q_valid_tokens(spark, sf):
 @query("count_examples", _SFT + "SELECT count(*) AS n_examples FROM s")
 def q_count_examples(spark, sf):
     return sft(spark, sf).agg(F.count(F.lit(1)).alias("n_examples"))
+
+
+_DPO_EX = _DPO + f"""
+, ft AS (SELECT conv_id, unnest(pr) AS role, unnest(pt) AS content FROM u)
+, pl AS (SELECT conv_id, {HEAD_LEN} + sum(4 + strlen(role) + strlen(content)) AS np FROM ft GROUP BY conv_id)
+, ex AS (SELECT conv_id, np, 13 + strlen(chosen) AS nc, 13 + strlen(rejected) AS nr FROM u JOIN pl USING (conv_id))
+, ord AS (SELECT *, row_number() OVER (ORDER BY ('0x'||substr(md5('{SEED}|0|'||conv_id),1,15))::BIGINT, conv_id) - 1 AS pos,
+          count(*) OVER () AS n FROM ex)
+, q AS (SELECT *, unnest(range(pos, (ceil(n / 3) * 3)::BIGINT, n)) AS q FROM ord)
+, asg AS (SELECT *, q % 3 AS rank, q // 3 AS local_pos FROM q)
+, b AS (SELECT *, local_pos // 4 AS batch,
+          max(np) OVER (PARTITION BY rank, local_pos // 4) AS lp,
+          max(nc) OVER (PARTITION BY rank, local_pos // 4) AS lc,
+          max(nr) OVER (PARTITION BY rank, local_pos // 4) AS lr FROM asg)
+"""
+
+
+@query("pad_preference_batch", _DPO_EX + """
+SELECT rank::INT AS rank, batch, conv_id AS pair_id, local_pos,
+  least(lp, 128)::INT AS w_prompt, greatest(0, np - greatest(lp - 128, 0))::INT AS real_prompt,
+  least(lc, 128)::INT AS w_chosen, greatest(0, nc - greatest(lc - 128, 0))::INT AS real_chosen,
+  least(lr, 128)::INT AS w_rejected, greatest(0, nr - greatest(lr - 128, 0))::INT AS real_rejected
+FROM b
+""")
+def q_pad_preference_batch(spark, sf):
+    """Preference triples -> epoch order -> 3 ranks x batches of 4 -> each column
+    padded to its own batch maximum and cut to the last 128 columns."""
+    e = tokenize.encode_preference(nz.normalize_dpo(pairs(spark, sf)))
+    ex = batch.epoch_order(e, "pair_id", SEED, 0)
+    n = ex.agg(F.count(F.lit(1))).scalar()
+    b = batch.batch_examples(batch.assign_examples(ex, n, 3), 4, n, 3)
+    p = batch.pad_preference_batch(b, 128, 258)
+    real = lambda c: F.size(F.filter(c, lambda x: x != 258))
+    return p.select("rank", "batch", "pair_id", "local_pos",
+                    F.size("prompt_input_ids").alias("w_prompt"), real("prompt_input_ids").alias("real_prompt"),
+                    F.size("chosen_input_ids").alias("w_chosen"), real("chosen_input_ids").alias("real_chosen"),
+                    F.size("rejected_input_ids").alias("w_rejected"), real("rejected_input_ids").alias("real_rejected"))

@@ -128,7 +128,7 @@ SELECT avg((pred = label)::INT::DOUBLE) AS accuracy, count(*) AS n_items FROM be
 """)
 def q_choice_accuracy(spark, sf):
     it, s = _scored(spark, sf)
-    return choice.choice_accuracy(s, it.select("item_id", "label_index", "valid" if "valid" in it.columns else F.lit(True).alias("valid")), "valid")
+    return choice.choice_accuracy(s, it.select("item_id", "label_index"))
 
 
 # ---------------------------------------------------------------- metrics over events
