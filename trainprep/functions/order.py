@@ -43,17 +43,13 @@ class RankStats:
 
 
 def key_stats(df: DataFrame, key: str | Column, part_cols=()) -> RankStats:
-    """One aggregate row: min/max/count of the key and an estimate of the number of
-    distinct partition values (HyperLogLog, single stage)."""
+    """One aggregate row: min/max/count of the key. Only the key column is read
+    (column pruning), so the statistics pass never touches wide columns."""
     k = F.col(key) if isinstance(key, str) else key
-    aggs = [F.min(k).alias("a"), F.max(k).alias("b"), F.count(F.lit(1)).alias("n")]
-    if part_cols:
-        aggs.append(F.approx_count_distinct(F.struct(*part_cols)).alias("p"))
-    row = df.agg(*aggs).first()
+    row = df.agg(F.min(k).alias("a"), F.max(k).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if row is None or row["n"] == 0 or row["a"] is None:
         return RankStats(0, 0, 0, 1)
-    parts = int(row["p"] * 1.1) + 1 if part_cols else 1
-    return RankStats(int(row["a"]), int(row["b"]), int(row["n"]), parts)
+    return RankStats(int(row["a"]), int(row["b"]), int(row["n"]), 1)
 
 
 def choose_width(stats: RankStats, parallelism: int,

@@ -48,9 +48,8 @@ def encode_many_col(col, tokenizer: str = "bytes") -> Column:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         inner = get_tokenizer(tokenizer).encode_arrow(lists.flatten())
-        offs = lists.offsets
-        base = offs[0].as_py()
-        offs = pa.array([o - base for o in offs.to_pylist()], pa.int32()) if base else offs
+        offs = lists.offsets.to_numpy()
+        offs = pa.array((offs - offs[0]).astype("int32"), pa.int32())
         mask = lists.is_null() if lists.null_count else None
         return pa.ListArray.from_arrays(offs, inner, mask=mask)
 

@@ -135,42 +135,47 @@ def q_choice_accuracy(spark, sf):
 
 def metric_rows(spark, sf):
     """``events`` as a metric log: run = user_id, metric = event_type, value = value,
-    weight = props.k."""
+    weight = props.k. ``value_c`` holds the value in hundredths as an integer, so sums
+    are exact and both engines divide the same two numbers."""
     e = table(spark, sf, "events")
     return e.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"), "value",
-                    F.get_json_object("props", "$.k").cast("double").alias("weight"), "event_id", "ts")
+                    F.round(F.col("value") * 100).cast("bigint").alias("value_c"),
+                    F.get_json_object("props", "$.k").cast("bigint").alias("weight"), "event_id", "ts")
 
 
-_W = "json_extract(props, '$.k')::DOUBLE"
+_W = "json_extract(props, '$.k')::BIGINT"
+_VC = "round(value * 100)::BIGINT"
 
 
 @query("weighted_metrics", f"""
-SELECT user_id AS run, event_type AS metric, round(sum(value * {_W}) / greatest(sum({_W}), 1), 6) AS value,
-       round(sum({_W}), 6) AS weight FROM events GROUP BY 1, 2
+SELECT user_id AS run, event_type AS metric,
+       (sum({_VC} * {_W})::DOUBLE / greatest(sum({_W}), 1)::DOUBLE) / 100 AS value,
+       sum({_W})::BIGINT AS weight FROM events GROUP BY 1, 2
 """)
 def q_weighted_metrics(spark, sf):
-    m = metrics.weighted_metrics(metric_rows(spark, sf), ["run", "metric"])
-    return m.select("run", "metric", r6(F.col("value")).alias("value"), r6(F.col("weight")).alias("weight"))
+    m = metrics.weighted_metrics(metric_rows(spark, sf), ["run", "metric"], "value_c", "weight")
+    return m.select("run", "metric", (F.col("value") / 100).alias("value"), F.col("weight").cast("bigint").alias("weight"))
 
 
 @query("validation_loss", f"""
-SELECT user_id AS run, round(sum(value * {_W}) / sum({_W}), 6) AS val_loss FROM events GROUP BY 1
+SELECT user_id AS run, (sum({_VC} * {_W})::DOUBLE / sum({_W})::DOUBLE) / 100 AS val_loss FROM events GROUP BY 1
 """)
 def q_validation_loss(spark, sf):
-    v = metrics.validation_loss(metric_rows(spark, sf), ["run"], "value", "weight")
-    return v.select("run", r6(F.col("val_loss")).alias("val_loss"))
+    v = metrics.validation_loss(metric_rows(spark, sf), ["run"], "value_c", "weight")
+    return v.select("run", (F.col("val_loss") / 100).alias("val_loss"))
 
 
-@query("masked_mean_loss", """
-SELECT user_id AS seq, round(avg(CASE WHEN event_type <> 'error' THEN value END), 6) AS loss FROM events GROUP BY 1
+@query("masked_mean_loss", f"""
+SELECT user_id AS seq, avg(CASE WHEN event_type <> 'error' THEN {_VC} END) / 100 AS loss FROM events GROUP BY 1
 """)
 def q_masked_mean_loss(spark, sf):
-    """Token table from events: label -100 on ``error`` rows, logp = -value."""
+    """Token table from events: label -100 on ``error`` rows, logp = -value (in
+    hundredths)."""
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("seq"), F.when(F.col("event_type") == "error", -100).otherwise(1).alias("label"),
-        (-F.col("value")).alias("logp"))
+        (-F.round(F.col("value") * 100).cast("bigint")).alias("logp"))
     m = metrics.masked_mean_loss(e)
-    return m.select("seq", r6(F.col("loss")).alias("loss"))
+    return m.select("seq", (F.col("loss") / 100).alias("loss"))
 
 
 def val_history(spark, sf):
