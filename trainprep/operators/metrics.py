@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainprep.functions.order import key_stats, prefix_agg, prefix_sums
+from trainprep.session import materialize
 
 
 def weighted_metrics(df: DataFrame, group_cols=("metric",), value_col: str = "value",
@@ -37,7 +38,8 @@ def masked_mean_loss(df: DataFrame, group_cols=("seq",), label_col: str = "label
 
 
 def early_stopping(df: DataFrame, patience: int, skip_steps: int = 0, start_step: int = 0,
-                   run_col: str = "run", step_col: str = "step", loss_col: str = "loss") -> DataFrame:
+                   run_col: str = "run", step_col: str = "step", loss_col: str = "loss",
+                   checkpoint: bool = True) -> DataFrame:
     """Replay early stopping over validation losses per run, in ``step`` order.
 
     A loss strictly below the best so far resets the counter; otherwise the counter
@@ -50,13 +52,21 @@ def early_stopping(df: DataFrame, patience: int, skip_steps: int = 0, start_step
     Output adds ``best_loss``, ``improved``, ``no_improve``, ``should_stop``,
     ``attempts_left``, ``skip_left``.
     """
-    st = key_stats(df, step_col, [run_col])  # one aggregate row, reused by all three passes
-    d = prefix_agg(df, F.col(loss_col), [step_col], "__best_before", [run_col], fn="min", stats=st)
+    # Each prefix pass reads its input twice (bucket sums and the rows), so chained
+    # passes would repeat the upstream plan 2^k times; narrow checkpoints in the shared
+    # folder cut the lineage between passes (and survive executor loss).
+    base = df.select(run_col, step_col, loss_col)
+    st = key_stats(base, step_col, [run_col])  # one aggregate row, reused by both passes
+    d = prefix_agg(base, F.col(loss_col), [step_col], "__best_before", [run_col], fn="min", stats=st)
     improved = F.col("__best_before").isNull() | (F.col(loss_col) < F.col("__best_before"))
     d = d.withColumn("improved", improved)
     d = d.withColumn("__elig", (~F.col("improved") & (F.col(step_col) >= skip_steps + start_step)).cast("int"))
+    if checkpoint:
+        d = materialize(d)
     d = prefix_sums(d, {"__grp": F.col("improved").cast("int"), "__cum": "__elig"}, [step_col], [run_col],
                     inclusive=True, stats=st)
+    if checkpoint:
+        d = materialize(d)
     starts = d.groupBy(run_col, "__grp").agg(F.min(F.col("__cum") - F.col("__elig")).alias("__c0"))
     d = d.join(starts, [run_col, "__grp"])
     d = d.withColumn("no_improve", (F.col("__cum") - F.col("__c0")).cast("bigint"))

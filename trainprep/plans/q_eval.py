@@ -179,17 +179,19 @@ def q_masked_mean_loss(spark, sf):
 
 
 def val_history(spark, sf):
-    """Validation losses per run: step = position of the event in the run."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), "event_id", F.col("value").alias("loss"))
-    e = dense_rank_by(e, ["event_id"], "step", ["run"])
-    return e.withColumn("step", F.col("step") - 1).drop("event_id")
+    """Validation losses per run: run = user_id, step = event_id (a global, increasing
+    step number, like the training step at which a validation ran), loss = value."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"),
+                                            F.col("value").alias("loss"))
 
 
-ORACLE_EARLY_STOP = """
-WITH e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, value AS loss FROM events),
+SKIP_STEPS = 2000
+ORACLE_EARLY_STOP = f"""
+WITH e AS (SELECT user_id AS run, event_id AS step, value AS loss FROM events),
 b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb FROM e),
 i AS (SELECT *, (bb IS NULL OR loss < bb) AS improved FROM b),
-g AS (SELECT *, sum(improved::INT) OVER (PARTITION BY run ORDER BY step) AS grp, (NOT improved AND step >= 2)::INT AS elig FROM i),
+g AS (SELECT *, sum(improved::INT) OVER (PARTITION BY run ORDER BY step) AS grp,
+             (NOT improved AND step >= {SKIP_STEPS})::INT AS elig FROM i),
 c AS (SELECT *, sum(elig) OVER (PARTITION BY run, grp ORDER BY step) AS no_improve FROM g),
 s AS (SELECT run, min(step) AS stop FROM c WHERE no_improve >= 3 GROUP BY run)
 SELECT run, step::BIGINT AS step, loss, least(coalesce(bb, loss), loss) AS best_loss, improved,
@@ -200,8 +202,8 @@ FROM c LEFT JOIN s USING (run) WHERE s.stop IS NULL OR step <= s.stop
 
 @query("early_stopping", ORACLE_EARLY_STOP)
 def q_early_stopping(spark, sf):
-    """Patience 3, 2 skip steps; rows up to each run's stop."""
-    es = metrics.early_stopping(val_history(spark, sf), patience=3, skip_steps=2)
+    """Patience 3; no counting before step 2000; rows up to each run's stop."""
+    es = metrics.early_stopping(val_history(spark, sf), patience=3, skip_steps=SKIP_STEPS)
     return es.select("run", "step", "loss", "best_loss", "improved", "no_improve", "should_stop")
 
 

@@ -181,7 +181,8 @@ def q_stream_early_stopping(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_id", "value")
     src = _staged_copy(spark, ev, "event_id", 4, "stream-events")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    res = stream_early_stopping(stream, 3, 2, run_col="user_id", order_col="event_id", loss_col="value")
+    res = stream_early_stopping(stream, 3, q_eval.SKIP_STEPS, run_col="user_id", order_col="event_id",
+                                loss_col="value")
     out = scratch_path(spark, "stream-es")
     q = (res.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "stream-es-ckpt")).trigger(availableNow=True).start())

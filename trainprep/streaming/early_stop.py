@@ -1,5 +1,5 @@
 """Early stopping over arriving validation losses, one state per run
-(``applyInPandasWithState``). The state is four numbers per run; each call sees
+(``applyInPandasWithState``). The state is three values per run; each call sees
 the run's new rows of one micro-batch in step order."""
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 OUT_SCHEMA = ("run long, step long, loss double, best_loss double, improved boolean, "
               "no_improve long, should_stop boolean")
-STATE_SCHEMA = "best double, cnt long, next_step long, stopped boolean"
+STATE_SCHEMA = "best double, cnt long, stopped boolean"
 
 
 def _make_fn(patience: int, skip_steps: int, start_step: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         run = key[0]
-        best, cnt, step, stopped = (state.get if state.exists else (float("inf"), 0, 0, False))
+        best, cnt, stopped = state.get if state.exists else (float("inf"), 0, False)
         out = []
         for pdf in pdfs:
-            for loss in pdf.sort_values("order")["loss"].tolist():
+            for step, loss in pdf.sort_values("step")[["step", "loss"]].itertuples(index=False):
                 if stopped:
                     break
                 improved = loss < best
@@ -29,11 +29,9 @@ def _make_fn(patience: int, skip_steps: int, start_step: int):
                     best, cnt = loss, 0
                 elif step >= skip_steps + start_step:
                     cnt += 1
-                stop = cnt >= patience
-                out.append((run, step, loss, best, improved, cnt, stop))
-                stopped = stop
-                step += 1
-        state.update((best, cnt, step, stopped))
+                stopped = cnt >= patience
+                out.append((run, int(step), float(loss), best, improved, cnt, stopped))
+        state.update((best, cnt, stopped))
         if out:
             yield pd.DataFrame(out, columns=["run", "step", "loss", "best_loss", "improved", "no_improve", "should_stop"])
 
@@ -41,10 +39,11 @@ def _make_fn(patience: int, skip_steps: int, start_step: int):
 
 
 def stream_early_stopping(losses: DataFrame, patience: int, skip_steps: int = 0, start_step: int = 0,
-                          run_col: str = "run", order_col: str = "order", loss_col: str = "loss") -> DataFrame:
-    """Streaming early stopping: rows ``(run, order, loss)`` in, evaluated rows out
-    (up to and including each run's stop)."""
-    src = losses.selectExpr(f"{run_col} AS run", f"{order_col} AS order", f"CAST({loss_col} AS DOUBLE) AS loss")
+                          run_col: str = "run", order_col: str = "step", loss_col: str = "loss") -> DataFrame:
+    """Streaming early stopping: rows ``(run, step, loss)`` in (``step`` increasing
+    within a run, e.g. the training step of each validation), evaluated rows out, up
+    to and including each run's stop. State per run: best loss, counter, stopped."""
+    src = losses.selectExpr(f"{run_col} AS run", f"{order_col} AS step", f"CAST({loss_col} AS DOUBLE) AS loss")
     return src.groupBy("run").applyInPandasWithState(
         _make_fn(patience, skip_steps, start_step), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)
