@@ -151,12 +151,18 @@ FROM t GROUP BY 1, 2
 """)
 def q_resume_shards(spark, sf):
     """A first run over all documents stops after writing the first half of its
-    shards; a second run skips the stored tokens (also mid-document) and continues
-    with the next shard number. Stored + resumed equals a single pass."""
+    shards (written to the shared folder); a second run reads what is stored, skips
+    those tokens (also mid-document) and continues with the next shard number.
+    Stored + resumed equals a single pass."""
+    from trainprep.sources.io import read_token_shards, scratch_path, write_token_shards
+
     docs = table(spark, sf, "documents")
     first = place_documents(docs, seed=SEED, shard_size=SHARD)
-    last = first.groupBy("split").agg(F.max("shard").alias("__m"))
-    stored = first.join(F.broadcast(last), "split").where(F.col("shard") < F.col("__m") / 2).drop("__m")
+    last = first.groupBy("split").agg(F.max("shard").alias("__m"))  # one row per split
+    path = scratch_path(spark, "resume")
+    write_token_shards(first.join(F.broadcast(last), "split").where(F.col("shard") < F.col("__m") / 2).drop("__m"),
+                       path)
+    stored = read_token_shards(spark, path).select("split", "shard", "pos", "doc_id", "tokens")
     done = pack.stored_tokens(stored)
     parts = []
     for split in ("train", "val"):
