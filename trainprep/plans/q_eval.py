@@ -214,9 +214,9 @@ FROM events GROUP BY 1 HAVING max(ts) > min(ts)
 def q_throughput(spark, sf):
     """Tokens (props.k) per second of each run's wall time."""
     m = metric_rows(spark, sf)
-    per = m.groupBy("run").agg(F.sum("weight").alias("tokens"),
-                               ((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) -
-                                 F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6).alias("dt"))
+    per = m.groupBy("run").agg(F.sum("weight").alias("tokens"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    # wall time from the local timestamps, independent of the session time zone
+    per = per.withColumn("dt", F.expr("timestampdiff(MICROSECOND, t0, t1)") / 1e6)
     return metrics.throughput(per.where(F.col("dt") > 0), ["run"])
 
 
