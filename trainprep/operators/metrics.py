@@ -86,6 +86,10 @@ def throughput(df: DataFrame, group_cols=("run",), tokens_col: str = "tokens", d
         (F.sum(tokens_col) / F.sum(dt_col)).cast("bigint").alias("tokens_per_sec"))
 
 
+# Tokens wanted per model parameter by stage.
+TOKENS_PER_PARAM = {"pretrain": 20.0, "instruct": 0.3}
+
+
 def workload_summary(tokens: DataFrame, n_tokens_col: str, params: int, total_batch_size: int,
                      max_steps: int, stage: str = "pretrain") -> DataFrame:
     """One row: tokens needed for the model size (x20 pretrain, x0.3 SFT), steps
@@ -95,7 +99,7 @@ def workload_summary(tokens: DataFrame, n_tokens_col: str, params: int, total_ba
     base = tokens.agg(total.alias("total_tokens")).withColumn("model_params_count", F.lit(params).cast("bigint"))
     if stage not in ("pretrain", "instruct"):
         return base
-    m = 20.0 if stage == "pretrain" else 0.3
+    m = TOKENS_PER_PARAM[stage]
     need = int(params * m)
     steps = math.ceil(need / total_batch_size)
     cover = max_steps * total_batch_size
