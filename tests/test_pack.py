@@ -102,3 +102,16 @@ def test_blocks_per_shard_formula_matches_loop():
             exp = loop(n, 2, 4, 3, r)
             got = max(1, (n - 1 - 2 * 4 * r) // (2 * 4 * 3))
             assert got == exp
+
+
+def test_blocks_from_stored_shards(spark):
+    from trainprep.sources.io import read_token_shards, scratch_path, write_token_shards
+    texts = ["hello world " * 9, "x", "yz" * 40, "q" * 3]
+    sl = place_documents(_docs(spark, texts), seed=42, shard_size=50)
+    path = scratch_path(spark, "test-blocks")
+    write_token_shards(sl, path)
+    stored = read_token_shards(spark, path)
+    a = pack.pack_blocks(stored, 8, stored_input=True).orderBy("split", "shard", "block").collect()
+    b = pack.pack_blocks(sl, 8).orderBy("split", "shard", "block").collect()
+    assert [(r.split, r.shard, r.block, list(r.x), list(r.y)) for r in a] == \
+        [(r.split, r.shard, r.block, list(r.x), list(r.y)) for r in b]

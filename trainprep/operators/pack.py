@@ -92,15 +92,18 @@ def stored_tokens(shards: DataFrame, part_cols=("split",)) -> DataFrame:
         F.max("shard").alias("last_shard"))
 
 
-def pack_blocks(slices: DataFrame, seq_len: int, part_cols=("split",)) -> DataFrame:
+def pack_blocks(slices: DataFrame, seq_len: int, part_cols=("split",), stored_input: bool = False) -> DataFrame:
     """Windows of S+1 tokens with stride S inside each shard: ``x = w[0:S]``,
     ``y = w[1:S+1]``. The tail that does not fill S+1 tokens is dropped.
 
     Each slice is cut into the pieces that fall into each block it overlaps (a
-    boundary token belongs to two blocks). A block that lies inside one slice is
-    complete at once and is emitted without a shuffle; only blocks that straddle
-    slice boundaries (about one per document) are regrouped, from at most S+1
-    tokens of pieces each.
+    boundary token belongs to two blocks); pieces are regrouped per block, at most
+    S+1 tokens each, in one shuffle.
+
+    ``stored_input=True`` (slices read from stored shards, cheap to scan twice): a
+    block that lies inside one slice is emitted directly and only blocks that
+    straddle slice boundaries (about one per document) are shuffled. On a computed
+    input that would run the upstream plan twice, so it is off by default.
     """
     S = int(seq_len)
     pos = F.col("pos")
@@ -115,13 +118,18 @@ def pack_blocks(slices: DataFrame, seq_len: int, part_cols=("split",)) -> DataFr
               .select(*part_cols, "shard", F.col("__k").alias("block"), F.col("__a").alias("a"),
                       F.slice("tokens", (F.col("__a") - pos + 1).cast("int"),
                               (F.col("__b") - F.col("__a") + 1).cast("int")).alias("t")))
-    whole = pieces.where(F.size("t") == S + 1).select(*part_cols, "shard", "block", F.col("t").alias("__w"))
-    joined = (pieces.where(F.size("t") < S + 1)
-              .groupBy(*part_cols, "shard", "block")
-              .agg(F.sort_array(F.collect_list(F.struct("a", "t"))).alias("__p"))
-              .select(*part_cols, "shard", "block", F.flatten(F.transform("__p", lambda p: p["t"])).alias("__w"))
-              .where(F.size("__w") == S + 1))
-    blocks = whole.unionByName(joined)
+
+    def regroup(p):
+        return (p.groupBy(*part_cols, "shard", "block")
+                .agg(F.sort_array(F.collect_list(F.struct("a", "t"))).alias("__p"))
+                .select(*part_cols, "shard", "block", F.flatten(F.transform("__p", lambda q: q["t"])).alias("__w"))
+                .where(F.size("__w") == S + 1))
+
+    if stored_input:
+        whole = pieces.where(F.size("t") == S + 1).select(*part_cols, "shard", "block", F.col("t").alias("__w"))
+        blocks = whole.unionByName(regroup(pieces.where(F.size("t") < S + 1)))
+    else:
+        blocks = regroup(pieces)
     return blocks.select(*part_cols, "shard", "block",
                          F.slice("__w", 1, S).alias("x"), F.slice("__w", 2, S).alias("y"))
 
