@@ -115,3 +115,18 @@ def test_blocks_from_stored_shards(spark):
     b = pack.pack_blocks(sl, 8).orderBy("split", "shard", "block").collect()
     assert [(r.split, r.shard, r.block, list(r.x), list(r.y)) for r in a] == \
         [(r.split, r.shard, r.block, list(r.x), list(r.y)) for r in b]
+
+
+def test_same_shards_for_any_shuffle_partitioning(spark):
+    texts = [("w%d " % i) * (i % 7 + 1) * 9 for i in range(60)]
+    docs = _docs(spark, texts)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "4", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            sl = place_documents(docs.repartition(int(n) + 1), seed=42, shard_size=64)
+            results.append(sorted((r.split, r.shard, r.pos, r.doc_id, tuple(r.tokens)) for r in sl.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]
