@@ -45,3 +45,23 @@ def test_registry_rejects_unknown():
         reg.get("b")
     with pytest.raises(ValueError):
         reg.get("a", "other")
+
+
+def test_prompt_set_and_nested_messages(spark, tmp_path):
+    import json
+
+    from trainprep.operators import normalize as nz, tokenize
+    from trainprep.sources.io import read_prompt_set
+
+    p = tmp_path / "prompts.json"
+    p.write_text(json.dumps({"pretrain": ["Cats are"], "instruct": ["List three fruits.", "Say hi."]}))
+    df = read_prompt_set(spark, str(p), "instruct").orderBy("prompt_id")
+    rows = df.select("prompt", F.size(tokenize.encode_prompt("prompt")).alias("n")).collect()
+    assert [r.prompt for r in rows] == ["List three fruits.", "Say hi."]
+    assert [r.n for r in rows] == [61 + len("List three fruits."), 61 + len("Say hi.")]
+    with pytest.raises(ValueError):
+        read_prompt_set(spark, str(p), "dpo")
+    m = spark.createDataFrame([([{"role": "user", "content": "hi", "extra": "x"}],)],
+                              "messages array<struct<role:string,content:string,extra:string>>")
+    conv = nz.adapt_message_list(m).first().conversation
+    assert [(t.role, t.content) for t in conv] == [("user", "hi")]

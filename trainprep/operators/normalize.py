@@ -69,6 +69,13 @@ def adapt_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
                                                                             x["content"].alias("content"))).alias("conversation"))
 
 
+def adapt_message_list(df: DataFrame, col: str = "messages", out: str = "conversation") -> DataFrame:
+    """Nested input (``array<struct<role, content, ...>>``) to the stage schema
+    ``array<struct<role string, content string>>``; other fields are dropped."""
+    return df.withColumn(out, F.transform(F.col(col), lambda m: F.struct(
+        m["role"].cast("string").alias("role"), m["content"].cast("string").alias("content"))))
+
+
 def ensure_user_first(conv) -> Column:
     """A non-empty conversation that does not start with ``user`` gets an empty user
     turn in front (also before ``system``)."""
