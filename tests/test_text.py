@@ -88,3 +88,12 @@ def test_pretokenize_lossless(spark):
     toks = df.select(tokenize.pretokenize("t").alias("p")).first().p
     assert "".join(toks) == "It's 12345 tests!\n\n  ok"
     assert "123" in toks and "45" in toks
+
+
+def test_adapt_messages_sparse_turn_numbers(spark):
+    rows = [(1, 10, "user", "a"), (1, 20, "assistant", "b"), (1, 35, "user", "c"), (1, 90, "assistant", "d"),
+            (2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: [t.content for t in r.conversation]
+           for r in nz.adapt_messages(df, max_turns=3, dense_turns=False).collect()}
+    assert out == {1: ["a", "b", "c"], 2: ["x"]}

@@ -53,15 +53,21 @@ def take_first(df: DataFrame, n: int, order_col: str, strict: bool = False) -> D
 
 def adapt_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                    role_col: str = "role", text_col: str = "text",
-                   max_turns: int | None = None) -> DataFrame:
+                   max_turns: int | None = None, dense_turns: bool = True) -> DataFrame:
     """Flat turn rows to one ``conversation`` array per conversation, ordered by turn.
 
-    With ``max_turns`` only turns ``< max_turns`` are collected (``turn`` is the
-    0-based position), which bounds every group; a conversation is never longer than
-    the limit needs, even when one conversation holds most rows.
+    With ``max_turns`` only the first ``max_turns`` turns are collected, which bounds
+    every group; a conversation is never longer than the limit needs, even when one
+    conversation holds most rows. ``dense_turns`` says ``turn`` is already the
+    0-based position; otherwise positions are ranked first (bucketed, per
+    conversation).
     """
     if max_turns is not None:
-        turns = turns.where(F.col(turn_col) < max_turns)
+        if not dense_turns:
+            turns = dense_rank_by(turns, [turn_col], "__pos", [conv_col])
+            turns = turns.where(F.col("__pos") <= max_turns).drop("__pos")
+        else:
+            turns = turns.where(F.col(turn_col) < max_turns)
     grouped = turns.groupBy(conv_col).agg(
         F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("t"), F.col(role_col).alias("role"),
                                              F.col(text_col).alias("content")))).alias("__turns"))
