@@ -130,3 +130,9 @@ def test_same_shards_for_any_shuffle_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_null_text_is_skipped(spark):
+    docs = spark.createDataFrame([(0, "ab"), (1, None), (2, "c")], "doc_id long, text string")
+    sl = place_documents(docs, seed=42, shard_size=100).collect()
+    assert sorted(r.doc_id for r in sl) == [0, 2]

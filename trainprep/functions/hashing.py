@@ -19,10 +19,12 @@ TWO_POW_60 = float(1 << 60)
 
 
 def _key(parts) -> Column:
-    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    if len(cols) == 1:
-        return cols[0].cast("string")
-    return F.concat_ws("|", *[c.cast("string") for c in cols])
+    """Parts joined by '|'; NULL if any part is NULL (like SQL ``||``)."""
+    cols = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
+    out = cols[0]
+    for c in cols[1:]:
+        out = F.concat(out, F.lit("|"), c)
+    return out
 
 
 def h60(*parts) -> Column:
