@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trainprep.functions.hashing import h60
 from trainprep.operators import mix, pack, tokenize
-from trainprep.operators.normalize import take_first
 from trainprep.plans.pretrain import place_documents
 from trainprep.plans.registry import query, table
 

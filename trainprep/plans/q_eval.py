@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trainprep.functions.order import dense_rank_by
 from trainprep.operators import choice, metrics, scores, tokenize
 from trainprep.plans.q_chat import sft, _SFT, HEAD_LEN
 from trainprep.plans.registry import query, table

@@ -5,9 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trainprep.operators import choice, metrics, mix, normalize as nz, pack, tokenize
+from trainprep.operators import choice, mix, normalize as nz, pack, tokenize
 from trainprep.plans import q_corpus, q_eval
-from trainprep.plans.q_chat import sft
 from trainprep.plans.registry import query, table
 from trainprep.sources.io import (Source, SourceRegistry, read_choice_jsonl, read_corpus_stream, read_examples,
                                   read_token_shards, scratch_path, write_choice_jsonl,
