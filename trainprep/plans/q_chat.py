@@ -52,7 +52,8 @@ def q_ensure_user_first(spark, sf):
 
 @query("limit_turns", f"WITH {_C} SELECT conv_id, r[1:3] AS roles, t[1:3] AS contents FROM c")
 def q_limit_turns(spark, sf):
-    return _flat(convs(spark, sf).withColumn("conversation", nz.limit_turns("conversation", 3)))
+    """First 3 turns; only those turns are collected per conversation."""
+    return _flat(convs(spark, sf, max_turns=3).withColumn("conversation", nz.limit_turns("conversation", 3)))
 
 
 @query("has_assistant_content", f"""WITH {_C}
