@@ -97,3 +97,11 @@ def test_adapt_messages_sparse_turn_numbers(spark):
     out = {r.conv_id: [t.content for t in r.conversation]
            for r in nz.adapt_messages(df, max_turns=3, dense_turns=False).collect()}
     assert out == {1: ["a", "b", "c"], 2: ["x"]}
+
+
+def test_take_first_large_n_path(spark, monkeypatch):
+    monkeypatch.setattr(nz, "SMALL_TAKE", 10)
+    df = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)], "k long, v string")
+    got = sorted(r.k for r in nz.take_first(df, 123, "k").collect())
+    assert got == sorted(r.k for r in df.orderBy("k").limit(123).collect())
+    assert nz.take_first(df, 5000, "k").count() == 1000

@@ -207,3 +207,29 @@ def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive
                                          + F.coalesce(F.sum(f"__v{i}").over(w), F.lit(0))).cast("bigint"))
     drop = ["__b"] + [f"__v{i}" for i in range(len(names))] + [f"__bstart{i}" for i in range(len(names))]
     return joined.drop(*drop)
+
+
+def kth_row(df: DataFrame, order_cols, k: int, width: int | None = None,
+            stats: RankStats | None = None) -> DataFrame:
+    """The row (of ``order_cols`` only) at 1-based position ``k`` in ``order_cols``
+    order, without ranking the table: bucket counts and their prefix (a small
+    table) locate the one bucket that holds position ``k``, and only that bucket's
+    rows (bounded by the bucket width for a unique key) are ordered. Returns one row
+    (none when ``k`` exceeds the row count)."""
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    keys = df.select(*order_cols)
+    kcol = F.col(order_cols[0])
+    if stats is None:
+        stats = key_stats(keys, kcol)
+    if width is None:
+        width = choose_width(stats, df.sparkSession.sparkContext.defaultParallelism)
+    b = keys.withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
+    b = b.withColumn("__b", F.expr(f"__k0 div {int(width)}")).drop("__k0")
+    wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = (b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))   # one row per bucket
+          .withColumn("__before", F.coalesce(F.sum("__n").over(wb), F.lit(0))))
+    target = bt.where((F.col("__before") < k) & (F.col("__before") + F.col("__n") >= k)).select("__b", "__before")
+    rows = b.join(F.broadcast(target), "__b")  # one target row
+    w = Window.orderBy(*order_cols)
+    return (rows.withColumn("__pos", F.row_number().over(w) + F.col("__before"))
+            .where(F.col("__pos") == k).select(*order_cols))

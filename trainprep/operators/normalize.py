@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainprep.functions.hashing import h60
-from trainprep.functions.order import dense_rank_by
+from trainprep.functions.order import dense_rank_by, kth_row
 
 TURN_TYPE = "struct<role:string,content:string>"
 # Largest n taken with a sorted limit (one task holds n rows); above it, ranks.
@@ -37,7 +37,9 @@ def take_first(df: DataFrame, n: int, order_col: str, strict: bool = False) -> D
 
     Up to ``SMALL_TAKE`` rows: a sorted limit over the key column alone (one long per
     row, so at most 8 * n bytes in the final task), broadcast back as a semi-join —
-    wide rows never meet in one task. Larger ``n``: distributed ranks and a filter.
+    wide rows never meet in one task. Larger ``n``: the n-th key is located from
+    bucket counts and the rows are filtered against it (no ranking, no shuffle of
+    the rows); fewer than ``n`` rows keeps them all.
     ``strict`` raises when fewer than ``n`` rows exist (a table past its end);
     otherwise the take is lenient, like on a stream.
     """
@@ -48,7 +50,9 @@ def take_first(df: DataFrame, n: int, order_col: str, strict: bool = False) -> D
     if n <= SMALL_TAKE:
         keys = df.select(order_col).orderBy(order_col).limit(n)
         return df.join(F.broadcast(keys), order_col, "left_semi")  # n keys: proven bound
-    return dense_rank_by(df, [order_col], "__rk").where(F.col("__rk") <= n).drop("__rk")
+    # large n: find the n-th key (bucket counts + one bucket), then a plain filter
+    bound = kth_row(df, [order_col], n).select(order_col).scalar()
+    return df.where(F.coalesce(F.col(order_col) <= bound, F.lit(True)))  # no n-th row: keep all
 
 
 def adapt_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
