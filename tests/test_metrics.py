@@ -37,3 +37,15 @@ def test_early_stopping_matches_sequential(spark):
 def test_weighted_metrics_clamp(spark):
     df = spark.createDataFrame([("a", 2.0, 0.25), ("a", 4.0, 0.25)], "metric string, value double, weight double")
     assert metrics.weighted_metrics(df).first().value == 1.5  # divisor clamped to 1
+
+
+def test_routing_dead_expert_and_ties(spark):
+    # 4 experts, expert 3 never wins; ties broken toward the lower expert id
+    rows = [(0, t, e, float(v)) for t, vals in enumerate([[1, 1, 0, 0], [0, 2, 1, 0], [3, 0, 0, 1]])
+            for e, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "layer int, token long, expert int, logit double")
+    c = {r.expert: r for r in metrics.routing_counts(df, 4, 2).collect()}
+    assert [c[e].c1 for e in range(4)] == [2, 1, 0, 0]
+    assert c[0].n_tokens == 3
+    u = metrics.routing_utilisation(metrics.routing_counts(df, 4, 2)).first()
+    assert u.dead_experts_top1 == 2

@@ -14,17 +14,21 @@ from trainprep.session import materialize
 
 def place_documents(docs: DataFrame, seed: int = 42, shard_size: int = 100_000_000,
                     tokenizer: str = "bytes", order_col: str = "doc_id",
-                    split_algo: str = "md5", skip_tokens=0, first_shard=0) -> DataFrame:
+                    split_algo: str = "md5", skip_tokens=0, first_shard=0,
+                    bpe_counts: str = "checkpoint") -> DataFrame:
     """Documents (``order_col``, ``text``) to placed slices
     ``split, shard, pos, order_col, tokens``.
 
     Byte tokens are counted natively (``octet_length + 1``), so offsets are computed
-    before the one encode pass. Other tokenizers encode first and the encoded table
-    is checkpointed, so the encode runs once although it is read twice.
+    before the one encode pass. Other tokenizers need the encoding to count:
+    ``bpe_counts='checkpoint'`` encodes once and checkpoints the ids (written once,
+    read twice); ``'recompute'`` encodes twice instead (a counting pass that keeps
+    only the lengths, then the placing pass), trading encode CPU for the write of
+    all ids.
     """
     d = hash_split(docs.select(order_col, "text"), "text", seed, algo=split_algo)
-    if tokenizer == "bytes":
-        d = d.withColumn("n_tokens", token_count_col("text") + 1)
+    if tokenizer == "bytes" or bpe_counts == "recompute":
+        d = d.withColumn("n_tokens", token_count_col("text", tokenizer) + 1)
         d = token_offsets(d, order_col)
         d = encode_corpus(d, "text", "ids", tokenizer)
     else:
