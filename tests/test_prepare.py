@@ -15,7 +15,8 @@ def _registry():
     for s in ("src0", "src1"):
         reg.register("corpus", s, Source("parquet", f"{SF}/documents.parquet",
                                          adapter=lambda df, s=s: df.where(F.col("source") == s)))
-    reg.register("chat", "default", Source("parquet", f"{SF}/conversations.parquet", adapter=nz.adapt_messages))
+    reg.register("chat", "default", Source("parquet", f"{SF}/conversations.parquet", adapter=nz.adapt_messages,
+                                           kind="turns"))
     return reg
 
 

@@ -29,8 +29,9 @@ def build_registry(cfg: dict) -> SourceRegistry:
     reg = SourceRegistry()
     for source_id, names in cfg.items():
         for name, c in names.items():
+            kind = c.get("kind", "text")
             reg.register(source_id, name, Source(c.get("format", "parquet"), c["path"], c.get("options", {}),
-                                                 ADAPTERS[c.get("kind", "text")]))
+                                                 ADAPTERS[kind], kind=kind))
     return reg
 
 

@@ -30,7 +30,17 @@ def _sources(spark: SparkSession, spec_mix: mix.Mixture, registry: SourceRegistr
              prepare) -> DataFrame:
     parts = []
     for e in spec_mix.entries:
-        df = registry.read(spark, e.source, e.name)
+        src = registry.get(e.source, e.name)
+        replace = ((e.transforms.get("placeholders") or {}).get("replace", False))
+        if src.kind == "turns" and not replace:
+            # flat turn rows: group them here, collecting only the turns the turn
+            # limit keeps (an inserted empty user turn counts toward the limit, so
+            # the first max_turns original turns always suffice). Placeholder
+            # replacement looks at the whole conversation, so it keeps every turn.
+            raw = spark.read.format(src.fmt).options(**src.options).load(src.path)
+            df = nz.adapt_messages(raw, max_turns=int(e.transforms.get("max_turns", nz.DEFAULT_MAX_TURNS)))
+        else:
+            df = registry.read(spark, e.source, e.name)
         n = e.transforms.get("max_datapoints")
         if n:
             df = nz.take_first(df, int(n), order_col)

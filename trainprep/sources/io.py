@@ -28,6 +28,7 @@ class Source:
     options: dict = field(default_factory=dict)
     adapter: Callable[[DataFrame], DataFrame] | None = None
     schema: str | None = None
+    kind: str | None = None  # "turns": flat turn rows the chat plan groups itself
 
 
 class SourceRegistry:
