@@ -67,7 +67,7 @@ def q_token_offsets(spark, sf):
 
 
 @query("encode_corpus", f"""
-SELECT doc_id, len(ids) AS n_tokens, ids[1] AS first_id, ids[len(ids)] AS last_id,
+SELECT doc_id, len(ids)::INT AS n_tokens, ids[1] AS first_id, ids[len(ids)] AS last_id,
        list_sum(ids)::BIGINT AS id_sum
 FROM (SELECT doc_id, list_concat([257], {_BYTES.format(t='text')}) AS ids FROM documents)
 """)
@@ -201,7 +201,7 @@ def q_pack_blocks(spark, sf):
 
 @query("assign_ranks", _BLOCKS_ORACLE + f"""
 , bl AS (SELECT DISTINCT split, shard, block FROM b)
-SELECT split, shard, (block // 4) % 3 AS rank, count(*) AS n_blocks, min(block // 12) AS first_step,
+SELECT split, shard, ((block // 4) % 3)::INT AS rank, count(*) AS n_blocks, min(block // 12) AS first_step,
        max(block // 12) AS last_step
 FROM bl GROUP BY 1, 2, 3
 """)
@@ -215,7 +215,7 @@ def q_assign_ranks(spark, sf):
 
 @query("blocks_per_shard", _ORACLE_TOKENS + f"""
 , sz AS (SELECT split, (start + p) // {SHARD} AS shard, count(*) AS n FROM t GROUP BY 1, 2)
-SELECT split, shard, r.rank, greatest(1, floor((n - 1 - 2 * 4 * r.rank) / (2 * 4 * 3)))::BIGINT AS batches
+SELECT split, shard, r.rank::INT AS rank, greatest(1, floor((n - 1 - 2 * 4 * r.rank) / (2 * 4 * 3)))::BIGINT AS batches
 FROM sz, (SELECT unnest(range(0, 3)) AS rank) r
 """)
 def q_blocks_per_shard(spark, sf):

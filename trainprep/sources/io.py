@@ -124,7 +124,7 @@ def write_token_shards(slices: DataFrame, path: str, mode: str = "errorifexists"
 
 def read_token_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Read shards back with partition discovery; ``split`` prunes partitions."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).withColumn("shard", F.col("shard").cast("bigint"))  # inferred as int
     return df.where(F.col("split") == split) if split else df
 
 
