@@ -50,3 +50,17 @@ def test_prepare_instruct_and_preference(spark):
     out = scratch_path(spark, "test-dpo")
     summary = {(r.source, r.split): r.n_rows for r in prepare_preference(spark, spec, reg, out).collect()}
     assert summary[(None, "val")] == math.ceil(summary[(None, None)] * 0.01)
+
+
+def test_command_line_pretraining(spark, tmp_path):
+    import json
+
+    from trainprep.__main__ import main
+
+    cfg = {"corpus": {"all": {"format": "parquet", "path": f"{SF}/documents.parquet", "kind": "text"}}}
+    (tmp_path / "sources.json").write_text(json.dumps(cfg))
+    out = scratch_path(spark, "test-cli")
+    main(["--pretraining", "--sources", str(tmp_path / "sources.json"), "--out", out, "--shard-size", "100000"])
+    total = spark.read.parquet(out).agg(F.sum(F.size("tokens"))).first()[0]
+    expected = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(octet_length(text) + 1)").first()[0]
+    assert total == expected  # no token lost
