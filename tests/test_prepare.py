@@ -64,3 +64,41 @@ def test_command_line_pretraining(spark, tmp_path):
     total = spark.read.parquet(out).agg(F.sum(F.size("tokens"))).first()[0]
     expected = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(octet_length(text) + 1)").first()[0]
     assert total == expected  # no token lost
+
+
+def test_resume_pretraining_with_fingerprint(spark):
+    import pytest
+
+    from trainprep.operators import mix
+    from trainprep.plans.prepare import _fingerprint_path, spec_fingerprint
+    from trainprep.plans.pretrain import place_documents, write_pretraining
+
+    reg = _registry()
+    spec = {"seed": 42, "shard_size": 3000,
+            "datasets": {"corpus": {"src0": {"weight": 0.5, "transforms": {}},
+                                    "src1": {"weight": 0.5, "transforms": {}}}}}
+    full_out = scratch_path(spark, "test-full")
+    full = {(r.split, r.shard): r.n_tokens for r in prepare_pretraining(spark, spec, reg, full_out).collect()}
+
+    # an interrupted run: the same stream, only shards 0..3 of each split were written
+    m = mix.mixture_table(spec, reg.supported(), require_shard_size=True)
+    docs = _union_sources(spark, reg)
+    mixed = mix.interleave(docs, m.probabilities(), m.seed, "doc_id")
+    slices = place_documents(mixed.select("mix_pos", "text"), seed=42, shard_size=3000, order_col="mix_pos")
+    part_out = scratch_path(spark, "test-part")
+    write_pretraining(slices.where("shard < 4"), part_out)
+    spark.createDataFrame([(spec_fingerprint(spec, "bytes"),)], "fingerprint string").write.json(
+        _fingerprint_path(part_out))
+    resumed = {(r.split, r.shard): r.n_tokens
+               for r in prepare_pretraining(spark, spec, reg, part_out, resume=True).collect()}
+    assert resumed == full
+
+    changed = dict(spec, seed=7)
+    with pytest.raises(ValueError):
+        prepare_pretraining(spark, changed, reg, part_out, resume=True)
+
+
+def _union_sources(spark, reg):
+    a = reg.read(spark, "corpus", "src0").select("doc_id", "text").withColumn("source", F.lit("corpus_src0"))
+    b = reg.read(spark, "corpus", "src1").select("doc_id", "text").withColumn("source", F.lit("corpus_src1"))
+    return a.unionByName(b)

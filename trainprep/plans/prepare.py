@@ -9,6 +9,8 @@ Each returns a small summary DataFrame (rows per source and split).
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from trainprep.operators import mix, normalize as nz, tokenize
 from trainprep.plans.pretrain import place_documents, write_pretraining
-from trainprep.sources.io import SourceRegistry, write_examples
+from trainprep.operators.pack import stored_tokens
+from trainprep.sources.io import SourceRegistry, read_token_shards, write_examples
 
 # Fixed value: 1 % validation share of the exact split.
 VAL_FRACTION = 0.01
@@ -48,16 +51,51 @@ def _sources(spark: SparkSession, spec_mix: mix.Mixture, registry: SourceRegistr
     return _union(parts)
 
 
+def spec_fingerprint(spec: dict, tokenizer: str) -> str:
+    """Stable digest of everything that decides the token stream: the mixture spec
+    (seed, shard size, sources, weights, transforms) and the tokenizer."""
+    text = json.dumps({"spec": spec, "tokenizer": tokenizer}, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+def _fingerprint_path(out_path: str) -> str:
+    return out_path.rstrip("/") + "_spec"
+
+
 def prepare_pretraining(spark: SparkSession, spec: dict, registry: SourceRegistry, out_path: str,
-                        tokenizer: str = "bytes", order_col: str = "doc_id", mode: str = "errorifexists") -> DataFrame:
-    """Write token shards of the mixture; returns tokens and slices per split and shard."""
+                        tokenizer: str = "bytes", order_col: str = "doc_id", mode: str = "errorifexists",
+                        resume: bool = False) -> DataFrame:
+    """Write token shards of the mixture; returns tokens and slices per split and shard.
+
+    The spec fingerprint is stored next to the shards (``<out>_spec``). With
+    ``resume=True`` an existing output is continued: the stored fingerprint must
+    match (else the run is refused), the stored tokens of each split are skipped
+    (also mid-document) and numbering continues after the last stored shard, whose
+    partial content stays as it is.
+    """
     m = mix.mixture_table(spec, registry.supported(), require_shard_size=True)
+    fp = spec_fingerprint(spec, tokenizer)
     docs = _sources(spark, m, registry, order_col, lambda df, e: nz.adapt_text(df, order_col))
     mixed = mix.interleave(docs, m.probabilities(), m.seed, order_col)  # adds mix_pos
-    slices = place_documents(mixed.select(F.col("mix_pos"), "text"), seed=m.seed, shard_size=m.shard_size,
-                             tokenizer=tokenizer, order_col="mix_pos")
-    write_pretraining(slices, out_path, mode)
-    return (spark.read.parquet(out_path).groupBy("split", "shard")
+    if not resume:
+        slices = place_documents(mixed.select(F.col("mix_pos"), "text"), seed=m.seed, shard_size=m.shard_size,
+                                 tokenizer=tokenizer, order_col="mix_pos")
+        write_pretraining(slices, out_path, mode)
+        spark.createDataFrame([(fp,)], "fingerprint string").coalesce(1).write.mode("overwrite").json(
+            _fingerprint_path(out_path))
+    else:
+        stored_fp = spark.read.json(_fingerprint_path(out_path)).first()["fingerprint"]
+        if stored_fp != fp:
+            raise ValueError("stored shards were made with another spec or tokenizer; refusing to resume")
+        done = stored_tokens(read_token_shards(spark, out_path))
+        for split in ("train", "val"):
+            st = done.where(F.col("split") == split)
+            skip = F.coalesce(st.select("done_tokens").scalar(), F.lit(0))
+            nxt = F.coalesce(st.select(F.col("last_shard") + 1).scalar(), F.lit(0))
+            part = place_documents(mixed.select(F.col("mix_pos"), "text"), seed=m.seed, shard_size=m.shard_size,
+                                   tokenizer=tokenizer, order_col="mix_pos", skip_tokens=skip, first_shard=nxt)
+            write_pretraining(part.where(F.col("split") == split), out_path, "append")
+    return (read_token_shards(spark, out_path).groupBy("split", "shard")
             .agg(F.sum(F.size("tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_slices")))
 
 
