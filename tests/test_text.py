@@ -105,3 +105,10 @@ def test_take_first_large_n_path(spark, monkeypatch):
     got = sorted(r.k for r in nz.take_first(df, 123, "k").collect())
     assert got == sorted(r.k for r in df.orderBy("k").limit(123).collect())
     assert nz.take_first(df, 5000, "k").count() == 1000
+
+
+def test_prompt_mismatch_report(spark):
+    df = spark.createDataFrame([("\n\nHuman: q\n\nAssistant: a", "\n\nHuman: q\n\nAssistant: b"),
+                                ("\n\nHuman: q\n\nAssistant: a", "\n\nHuman: other\n\nAssistant: b")],
+                               "chosen string, rejected string")
+    assert [r.m for r in df.select(nz.prompt_mismatch().alias("m")).collect()] == [False, True]

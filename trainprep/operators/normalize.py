@@ -202,6 +202,14 @@ def preference_triple(df: DataFrame, chosen_col: str = "chosen", rejected_col: s
             .drop("__ch", "__rj"))
 
 
+def prompt_mismatch(chosen_col: str = "chosen", rejected_col: str = "rejected") -> Column:
+    """True where the rejected transcript's prompt (all turns but the last) differs
+    from the chosen one: the triple keeps the chosen prompt, this reports the rest."""
+    ch = parse_transcript(chosen_col)
+    rj = parse_transcript(rejected_col)
+    return F.slice(ch, 1, F.greatest(F.size(ch) - 1, F.lit(0))) != F.slice(rj, 1, F.greatest(F.size(rj) - 1, F.lit(0)))
+
+
 def non_empty_prompt(df: DataFrame, prompt_col: str = "prompt") -> DataFrame:
     return df.where(F.size(prompt_col) > 0)
 
