@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trainprep.operators import mix, pack, tokenize
 from trainprep.plans.pretrain import place_documents
+from trainprep.plans.q_chat import _SFT as _SFT_SQL
 from trainprep.plans.registry import query, table
 
 SEED = 42
@@ -108,15 +109,21 @@ def q_clamp(spark, sf):
     return d.select("doc_id", tokenize.clamp_token_ids("ids", 200, 258).alias("ids"))
 
 
-@query("special_tokens", """
-SELECT * FROM (VALUES ('<|begin_of_text|>', 256), ('<|end_of_text|>', 257),
-  ('<|start_header_id|>', 262), ('<|end_header_id|>', 263), ('<|eot_id|>', 265),
-  ('<|reserved_special_token_0|>', 258)) v(token, id)
+@query("special_tokens", _SFT_SQL + """
+, cnt AS (SELECT (SELECT count(*) FROM s) AS nc, (SELECT count(*) FROM ft) AS nt)
+SELECT v.token, v.id::INT AS id, v.n::BIGINT AS n FROM cnt, LATERAL (VALUES
+  ('<|begin_of_text|>', 256, nc), ('<|start_header_id|>', 262, nc + nt),
+  ('<|end_header_id|>', 263, nc + nt), ('<|eot_id|>', 265, nc + nt)) v(token, id, n)
 """)
 def q_special_tokens(spark, sf):
-    names = ["<|begin_of_text|>", "<|end_of_text|>", "<|start_header_id|>", "<|end_header_id|>",
-             "<|eot_id|>", "<|reserved_special_token_0|>"]
-    return tokenize.special_tokens(spark).where(F.col("token").isin(names))
+    """How often each special token occurs in the encoded chat corpus (the table of
+    256 specials is broadcast: its size is fixed)."""
+    from trainprep.plans.q_chat import sft
+
+    e = tokenize.encode_chat(sft(spark, sf))
+    ids = e.select(F.explode(F.filter("input_ids", lambda x: x >= 256)).alias("id"))
+    counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(tokenize.special_tokens(spark)).join(counts, "id").select("token", "id", "n")
 
 
 @query("check_shard_sequence", _ORACLE_TOKENS + f"""
@@ -258,23 +265,37 @@ def q_resume_blocks(spark, sf):
 
 # ------------------------------------------------------------------ mixing
 
-# Mixture spec of the mixing queries, validated and normalised by mixture_table.
-MIX_SPEC = {"seed": SEED, "datasets": {"src0": {"default": {"weight": 0.25}},
-                                      "src1": {"default": {"weight": 0.25}},
-                                      "src2": {"default": {"weight": 0.50}}}}
-_MIX = mix.mixture_table(MIX_SPEC).probabilities()
+# Mixture spec of the mixing queries, validated and normalised by mixture_table:
+# every source of ``documents`` (src0 .. src19) with weight (i + 1) / 210.
+MIX_SPEC = {"seed": SEED, "datasets": {f"src{i}": {"default": {"weight": (i + 1) / 210}} for i in range(20)}}
+_MIXTURE = mix.mixture_table(MIX_SPEC)
+_MIX = _MIXTURE.probabilities()
+
+
+def _d(x: float) -> str:
+    """A double literal that DuckDB parses to exactly the same value."""
+    return f"'{x!r}'::DOUBLE"
+
+
+def _pick_sql() -> str:
+    """The CASE that mirrors ``mix.pick_source`` (same thresholds, same order)."""
+    parts, cum = [], 0.0
+    items = list(_MIX.items())
+    for i, (label, p) in enumerate(items):
+        cum += p
+        hi = cum if i < len(items) - 1 else 2.0
+        parts.append(f"WHEN u < {_d(hi)} THEN '{label}'")
+    return "CASE " + " ".join(parts) + " END"
 
 
 def _mix_oracle(take: int | None) -> str:
     limit = "" if take is None else f"WHERE r <= {take}"
-    cases = "CASE WHEN u < 0.25 THEN 'src0' WHEN u < 0.5 THEN 'src1' ELSE 'src2' END"
     return f"""
-WITH src AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
-             FROM documents WHERE source IN ('src0', 'src1', 'src2')),
+WITH src AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 s AS (SELECT * FROM src {limit}),
 n AS (SELECT source, count(*) AS n FROM s GROUP BY source),
-dr AS (SELECT i, {cases} AS source FROM (
-         SELECT i, ('0x'||substr(md5('{SEED}|'||i),1,15))::BIGINT / 1152921504606846976.0 AS u
+dr AS (SELECT i, {_pick_sql()} AS source FROM (
+         SELECT i, ('0x'||substr(md5('{SEED}|'||i),1,15))::BIGINT::DOUBLE / 1152921504606846976::DOUBLE AS u
          FROM range(0, (SELECT sum(n) FROM n)::BIGINT + 1) t(i))),
 rk AS (SELECT i, source, row_number() OVER (PARTITION BY source ORDER BY i) AS r FROM dr),
 cut AS (SELECT min(i) AS c FROM rk JOIN n USING (source) WHERE r > n)
@@ -319,11 +340,12 @@ def q_exact_split(spark, sf):
     return mix.exact_split(convs, "conv_id", SEED, 0.01).select("conv_id", "split")
 
 
-@query("mixture_table", """
-WITH spec AS (SELECT * FROM (VALUES ('src0', 0.25, 0.0, 0.25), ('src1', 0.25, 0.25, 0.5), ('src2', 0.5, 0.5, 1.0))
-              v(source, p, cum_lo, cum_hi))
-SELECT spec.source, spec.p::DOUBLE AS p, spec.cum_lo::DOUBLE AS cum_lo, spec.cum_hi::DOUBLE AS cum_hi,
-       count(d.doc_id) AS n_docs
+_MT_VALUES = ", ".join(f"('{e.label}', {_d(e.p)}, {_d(e.cum_lo)}, {_d(min(e.cum_hi, 1.0))})" for e in _MIXTURE.entries)
+
+
+@query("mixture_table", f"""
+WITH spec AS (SELECT * FROM (VALUES {_MT_VALUES}) v(source, p, cum_lo, cum_hi))
+SELECT spec.source, spec.p AS p, spec.cum_lo AS cum_lo, spec.cum_hi AS cum_hi, count(d.doc_id) AS n_docs
 FROM spec LEFT JOIN documents d ON d.source = spec.source GROUP BY 1, 2, 3, 4
 """)
 def q_mixture_table(spark, sf):

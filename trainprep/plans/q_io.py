@@ -41,12 +41,13 @@ def q_adapt_text(spark, sf):
     return nz.normalize_pretrain(table(spark, sf, "documents"), "doc_id", source="web")
 
 
-@query("tag_source", "SELECT source, count(*) AS n_docs FROM documents WHERE source = 'src3' GROUP BY 1")
+@query("tag_source", "SELECT source, 'web' AS tag, count(*) AS n_docs, sum(strlen(text) + 1)::BIGINT AS n_tokens FROM documents GROUP BY source")
 def q_tag_source(spark, sf):
-    """Rows of one source, tagged with its id (the tag survives tokenisation)."""
-    d = table(spark, sf, "documents").where(F.col("source") == "src3").select("doc_id", "text")
-    d = tokenize.encode_corpus(nz.tag_source(d, "src3"))
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Every document tagged with a source id that survives tokenisation."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    d = tokenize.encode_corpus(nz.tag_source(d, "web", col="tag"))
+    return d.groupBy("source", "tag").agg(F.count(F.lit(1)).alias("n_docs"),
+                                          F.sum(F.size("ids")).cast("bigint").alias("n_tokens"))
 
 
 @query("drop_empty_tokens", "SELECT count(*) AS n_docs FROM documents")
