@@ -25,3 +25,45 @@ def test_shards_are_the_concatenated_stream(spark, lengths, shard, parts):
         assert sorted(sizes) == list(range(len(sizes)))
         assert all(v == shard for k, v in sizes.items() if k < max(sizes))
         assert 0 < sizes[max(sizes)] <= shard
+
+
+def _sequential_mix(rows, probs, seed):
+    import hashlib
+
+    queues = {s: sorted(d for d, src in rows if src == s) for s in probs}
+    out, i = [], 0
+    while True:
+        u = int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:15], 16) / float(1 << 60)
+        cum, pick = 0.0, None
+        items = list(probs.items())
+        for k, (s, p) in enumerate(items):
+            cum += p
+            if u < (cum if k < len(items) - 1 else 2.0):
+                pick = s
+                break
+        if not queues[pick]:
+            return out
+        out.append((queues[pick].pop(0), i))
+        i += 1
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(sizes=st.lists(st.integers(min_value=0, max_value=40), min_size=2, max_size=4),
+       weights=st.lists(st.integers(min_value=1, max_value=9), min_size=4, max_size=4),
+       seed=st.integers(min_value=0, max_value=1000))
+def test_interleave_matches_sequential_loop(spark, sizes, weights, seed):
+    from trainprep.operators import mix
+
+    names = [f"s{i}" for i in range(len(sizes))]
+    total = sum(weights[: len(sizes)])
+    probs = {n: w / total for n, w in zip(names, weights)}
+    rows, k = [], 0
+    for n, size in zip(names, sizes):
+        for _ in range(size):
+            rows.append((k, n))
+            k += 1
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = [(r.doc_id, r.mix_pos) for r in mix.interleave(df, probs, seed).orderBy("mix_pos").collect()]
+    assert got == _sequential_mix(rows, probs, seed)
