@@ -19,6 +19,7 @@ SEED = 42
 
 
 def registry(sf: str) -> SourceRegistry:
+    sf = sf.rstrip("/")
     reg = SourceRegistry()
     reg.register("corpus", "documents", Source("parquet", f"{sf}/documents.parquet",
                                                adapter=lambda df: nz.adapt_text(df, "doc_id")))
@@ -205,7 +206,8 @@ def q_normalize_pretrain(spark, sf):
 @query("read_corpus_stream", "SELECT doc_id, strlen(text) AS n_bytes FROM documents")
 def q_read_corpus_stream(spark, sf):
     """Single-pass incremental read of the corpus (availableNow) into parquet."""
-    stream = read_corpus_stream(spark, Source("parquet", f"{sf}/documents.parquet"), max_files_per_trigger=1)
+    stream = read_corpus_stream(spark, Source("parquet", f"{sf.rstrip('/')}/documents.parquet"),
+                                max_files_per_trigger=1)
     out = scratch_path(spark, "stream-read")
     q = (stream.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes")).writeStream
          .format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-read-ckpt"))
