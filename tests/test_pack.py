@@ -136,3 +136,33 @@ def test_null_text_is_skipped(spark):
     docs = spark.createDataFrame([(0, "ab"), (1, None), (2, "c")], "doc_id long, text string")
     sl = place_documents(docs, seed=42, shard_size=100).collect()
     assert sorted(r.doc_id for r in sl) == [0, 2]
+
+
+def test_pretraining_batches_follow_the_loader(spark):
+    from trainprep.plans.feed import pretraining_batches
+
+    B, S, P = 2, 4, 2
+    lens = {0: 40, 1: 23, 2: 57}
+    rows = []
+    for shard, n in lens.items():
+        toks = [shard * 1000 + i for i in range(n)]
+        rows.append(("train", shard, 0, 0, toks[:10]))
+        rows.append(("train", shard, 10, 1, toks[10:]))
+    sl = spark.createDataFrame(rows, "split string, shard long, pos long, doc_id long, tokens array<int>")
+    fed = pretraining_batches(sl, S, B, P, seed=3, epoch=0, shuffle=False).collect()
+    got = {}
+    for r in fed:
+        got.setdefault((r["rank"], r.global_step), []).append((r.row, list(r.x), list(r.y)))
+    # plain loop: shards in natural order, the last rank's count for every rank
+    exp = {}
+    for rank in range(P):
+        step = 0
+        for shard, n in lens.items():
+            toks = [shard * 1000 + i for i in range(n)]
+            count = max(1, (n - 1 - B * S * (P - 1)) // (B * S * P))
+            for j in range(count):
+                pos = B * S * (j * P + rank)
+                buf = toks[pos: pos + B * S + 1]
+                exp[(rank, step)] = [(b, buf[b * S:(b + 1) * S], buf[b * S + 1:(b + 1) * S + 1]) for b in range(B)]
+                step += 1
+    assert {k: sorted(v) for k, v in got.items()} == exp

@@ -365,3 +365,32 @@ def q_stable_hash(spark, sf):
 
     d = table(spark, sf, "documents")
     return d.select("doc_id", stable_hash("text", SEED).alias("h_seeded"), stable_hash("text").alias("h_plain"))
+
+
+@query("pretraining_batches", _BLOCKS_ORACLE + f"""
+, bl AS (SELECT DISTINCT split, shard, block FROM b)
+, s AS (SELECT DISTINCT split, shard FROM sz)
+, ord AS (SELECT split, shard, (row_number() OVER (PARTITION BY split ORDER BY
+           ('0x'||substr(md5('{SEED}|1|'||shard),1,15))::BIGINT, shard) - 1) AS epoch_pos FROM s)
+, cnt AS (SELECT split, shard, epoch_pos,
+           greatest(1, floor((n - 1 - 4 * {SEQ} * 2) / (4 * {SEQ} * 3)))::BIGINT AS c FROM sz JOIN ord USING (split, shard))
+, off AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY split ORDER BY epoch_pos
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cnt)
+, r AS (SELECT split, shard, block, ((block // 4) % 3)::INT AS rank, (block // 4) // 3 AS step FROM bl)
+SELECT split, rank, epoch_pos, count(*) AS n_rows, count(DISTINCT step) AS n_batches,
+       min(o + step)::BIGINT AS first_step, min(block) AS first_block, max(block) AS last_block
+FROM r JOIN off USING (split, shard) WHERE step < c GROUP BY 1, 2, 3
+""")
+def q_pretraining_batches(spark, sf):
+    """Stored shards fed to 3 ranks in batches of 4 blocks of 128 tokens, epoch 1:
+    per rank and shard position, the rows, batches, first global step and blocks."""
+    from trainprep.plans.feed import pretraining_batches
+    from trainprep.sources.io import read_token_shards, scratch_path, write_token_shards
+
+    path = scratch_path(spark, "feed")
+    write_token_shards(_slices(spark, sf), path)
+    fed = pretraining_batches(read_token_shards(spark, path), SEQ, 4, 3, SEED, 1)
+    return fed.groupBy("split", "rank", "epoch_pos").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("global_step").alias("n_batches"),
+        F.min("global_step").alias("first_step"), F.min("block").alias("first_block"),
+        F.max("block").alias("last_block"))
