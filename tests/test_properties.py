@@ -67,3 +67,30 @@ def test_interleave_matches_sequential_loop(spark, sizes, weights, seed):
     df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
     got = [(r.doc_id, r.mix_pos) for r in mix.interleave(df, probs, seed).orderBy("mix_pos").collect()]
     assert got == _sequential_mix(rows, probs, seed)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(runs=st.lists(st.lists(st.sampled_from([0.5, 1.0, 1.5, 2.0]), min_size=1, max_size=15), min_size=1, max_size=4),
+       patience=st.integers(min_value=1, max_value=4), skip=st.integers(min_value=0, max_value=6))
+def test_early_stopping_matches_state_machine(spark, runs, patience, skip):
+    from trainprep.operators import metrics
+
+    rows, exp = [], {}
+    for run, losses in enumerate(runs):
+        best, cnt, out = float("inf"), 0, []
+        for step, loss in enumerate(losses):
+            rows.append((run, step * 10, loss))
+            improved = loss < best
+            if improved:
+                best, cnt = loss, 0
+            elif step * 10 >= skip * 10:
+                cnt += 1
+            out.append((step * 10, improved, cnt, cnt >= patience))
+            if cnt >= patience:
+                break
+        exp[run] = out
+    df = spark.createDataFrame(rows, "run long, step long, loss double")
+    got = {}
+    for r in metrics.early_stopping(df, patience, skip * 10, checkpoint=False).orderBy("run", "step").collect():
+        got.setdefault(r.run, []).append((r.step, r.improved, r.no_improve, r.should_stop))
+    assert got == exp
