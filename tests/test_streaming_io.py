@@ -1,9 +1,6 @@
-import uuid
-
 import pytest
 from pyspark.sql import functions as F
 
-from trainprep.operators import mix
 from trainprep.plans.pretrain import place_documents
 from trainprep.sources.io import (Source, SourceRegistry, read_token_shards, scratch_path,
                                   write_token_shards)
