@@ -18,3 +18,17 @@ def test_h60_equals_python_md5(spark):
     got = [r.h for r in df.select(h60(42, F.col("t")).alias("h")).collect()]
     exp = [int(hashlib.md5(f"42|{t}".encode()).hexdigest()[:15], 16) for t in texts]
     assert got == exp
+
+
+def test_blake2b_split_query_against_hashlib(spark):
+    """The registered query without an SQL oracle, checked by brute force on sf0.001."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.split for r in entry.queries()["hash_split_blake2b"](spark, sf).collect()}
+    thr = int(0.01 * (1 << 64))
+    exp = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        h = int.from_bytes(hashlib.blake2b(r.text.encode(), digest_size=8, key=b"42-salt").digest(), "big")
+        exp[r.doc_id] = "val" if h < thr else "train"
+    assert got == exp
