@@ -76,7 +76,7 @@ def read_corpus_stream(spark: SparkSession, src: Source, max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     path = src.path.rstrip("/")
     last = path.rsplit("/", 1)[-1]
-    if "." in last and "*" not in last and not _is_dir(spark, path):
+    if "." in last and "*" not in last and not is_directory(spark, path):
         # a single file: stream its folder, filtered to that file name
         r = r.option("pathGlobFilter", last)
         path = path.rsplit("/", 1)[0]
@@ -84,7 +84,7 @@ def read_corpus_stream(spark: SparkSession, src: Source, max_files_per_trigger:
     return src.adapter(df) if src.adapter else df
 
 
-def _is_dir(spark: SparkSession, path: str) -> bool:
+def is_directory(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a directory, asked through the Hadoop file system API."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

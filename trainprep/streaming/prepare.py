@@ -22,13 +22,13 @@ from trainprep.operators.mix import hash_split
 from trainprep.operators.pack import pack_shards
 from trainprep.operators.tokenize import encode_corpus, token_count_col
 from trainprep.functions.order import prefix_sum
-from trainprep.sources.io import _is_dir
+from trainprep.sources.io import is_directory
 
 STATE_SCHEMA = "batch long, split string, end long"
 
 
 def _state(spark: SparkSession, path: str) -> DataFrame:
-    if not _is_dir(spark, f"{path}/_state"):  # no batch committed yet
+    if not is_directory(spark, f"{path}/_state"):  # no batch committed yet
         return spark.createDataFrame([], STATE_SCHEMA)
     return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/_state")
 
