@@ -166,3 +166,24 @@ def test_pretraining_batches_follow_the_loader(spark):
                 exp[(rank, step)] = [(b, buf[b * S:(b + 1) * S], buf[b * S + 1:(b + 1) * S + 1]) for b in range(B)]
                 step += 1
     assert {k: sorted(v) for k, v in got.items()} == exp
+
+
+def test_pretraining_batches_per_rank_counts(spark):
+    from trainprep.plans.feed import pretraining_batches
+
+    B, S, P = 1, 4, 3
+    lens = {0: 31, 1: 45}
+    rows = [("train", sh, 0, 0, [sh * 1000 + i for i in range(n)]) for sh, n in lens.items()]
+    sl = spark.createDataFrame(rows, "split string, shard long, pos long, doc_id long, tokens array<int>")
+    fed = pretraining_batches(sl, S, B, P, seed=0, epoch=0, shuffle=False, global_count=False).collect()
+    got = sorted((r["rank"], r.global_step, list(r.x)) for r in fed)
+    exp = []
+    for rank in range(P):
+        step = 0
+        for sh, n in lens.items():
+            toks = [sh * 1000 + i for i in range(n)]
+            for j in range(max(1, (n - 1 - B * S * rank) // (B * S * P))):
+                pos = B * S * (j * P + rank)
+                exp.append((rank, step, toks[pos:pos + S]))
+                step += 1
+    assert got == sorted(exp)
