@@ -29,6 +29,7 @@ def adapt_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def tag_source(df: DataFrame, source: str, col: str = "source") -> DataFrame:
+    """Constant source id column, kept through tokenisation."""
     return df.withColumn(col, F.lit(source))
 
 
@@ -96,6 +97,7 @@ def ensure_user_first(conv) -> Column:
 
 
 def limit_turns(conv, max_turns: int = DEFAULT_MAX_TURNS) -> Column:
+    """First ``max_turns`` turns (an inserted empty user turn counts)."""
     return F.slice(_c(conv), 1, max_turns)
 
 
@@ -211,6 +213,7 @@ def prompt_mismatch(chosen_col: str = "chosen", rejected_col: str = "rejected")
 
 
 def non_empty_prompt(df: DataFrame, prompt_col: str = "prompt") -> DataFrame:
+    """Drop preference triples without a prompt."""
     return df.where(F.size(prompt_col) > 0)
 
 
@@ -221,9 +224,11 @@ def normalize_dpo(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_tokens(df: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """Skip records that encode to no tokens."""
     return df.where(F.size(ids_col) > 0)
 
 
 def normalize_pretrain(df: DataFrame, id_col: str = "doc_id", source: str | None = None) -> DataFrame:
+    """Corpus adapter: id and text, optionally tagged with a source id."""
     out = adapt_text(df, id_col)
     return tag_source(out, source) if source is not None else out

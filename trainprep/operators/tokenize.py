@@ -103,6 +103,7 @@ def encode_corpus(df: DataFrame, text_col: str = "text", out: str = "ids",
 
 def decode_corpus(df: DataFrame, ids_col: str = "ids", out: str = "text",
                   tokenizer: str = "bytes") -> DataFrame:
+    """Token ids back to text (special ids rendered by name)."""
     return df.withColumn(out, decode_col(ids_col, tokenizer))
 
 

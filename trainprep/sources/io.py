@@ -60,6 +60,7 @@ class SourceRegistry:
 
 
 def read_corpus(spark: SparkSession, src: Source) -> DataFrame:
+    """Batch read of a registered source, adapter applied."""
     r = spark.read.format(src.fmt).options(**src.options)
     if src.schema:
         r = r.schema(src.schema)
@@ -135,10 +136,12 @@ def read_token_shards(spark: SparkSession, path: str, split: str | None = None)
 # ---------------------------------------------------------------- example splits
 
 def write_examples(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Example splits as ``split=train|val`` folders."""
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
 def read_examples(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One split of stored examples (partition pruning on ``split``)."""
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
@@ -154,10 +157,12 @@ def write_choice_jsonl(items: DataFrame, path: str, mode: str = "ignore") -> Non
 
 
 def read_choice_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Prepared choice items with a declared schema; every stored item is valid."""
     return spark.read.schema(CHOICE_SCHEMA).json(path).withColumn("valid", F.lit(True))
 
 
 def write_if_absent(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write only when the output does not exist yet."""
     df.write.mode("ignore").format(fmt).save(path)
 
 

@@ -35,6 +35,7 @@ def _state(spark: SparkSession, path: str) -> DataFrame:
 
 def prepare_batch(batch: DataFrame, batch_id: int, out_path: str, seed: int, shard_size: int,
                   order_col: str = "doc_id") -> None:
+    """Process one micro-batch exactly once (see the module docstring)."""
     spark = batch.sparkSession
     state = _state(spark, out_path)
     if state.where(F.col("batch") == batch_id).limit(1).count():
@@ -71,4 +72,5 @@ def stream_prepare(stream: DataFrame, out_path: str, checkpoint: str, seed: int
 
 
 def read_prepared(spark: SparkSession, out_path: str) -> DataFrame:
+    """All slices written by the incremental job."""
     return spark.read.parquet(f"{out_path}/slices")
