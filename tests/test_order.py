@@ -40,15 +40,59 @@ def test_prefix_sum_independent_of_width_and_partitions(spark):
         assert got == exp
 
 
-def test_recursive_bucket_table(spark, monkeypatch):
-    # sparse keys with a small row bound: the bucket table is ranked one level down
-    monkeypatch.setattr(order, "MAX_BROADCAST_BUCKETS", 50)
-    rows = _rows(500, seed=5)
+def test_sparse_keys_get_even_buckets_and_no_more_scans(spark):
+    """60-bit keys (hashes, snowflake ids): buckets follow the row count, not the span."""
+    rnd = random.Random(9)
+    sparse = sorted({rnd.randrange(1 << 60) for _ in range(3000)})
+    clumped = [*range(1000, 4000), 1 << 59]          # one key far from all others
+    for keys in (sparse, clumped):
+        df = spark.createDataFrame([(k, 1) for k in keys], "k long, v long").repartition(5)
+        stats = order.key_stats(df, "k", rows_per_bucket=100)
+        b, n = order._bucketed(df, F.col("k"), stats, None, 100)
+        sizes = [r["count"] for r in b.groupBy("__b").count().collect()]
+        assert n <= 100 and max(sizes) <= 400
+        got = {r.k: r.o for r in prefix_sum(df, "v", ["k"], "o", rows_per_bucket=100).collect()}
+        assert got == {k: i for i, k in enumerate(keys)}
+    dense = spark.range(3000).selectExpr("id AS k", "1 AS v")
+    wide = spark.createDataFrame([(k, 1) for k in sparse], "k long, v long")
+    plans = [prefix_sum(d, "v", ["k"], "o")._jdf.queryExecution().executedPlan().toString() for d in (dense, wide)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+
+
+def test_quantile_ranges_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(order, "MAX_QUANTILES", 4)
+    rows = _rows(600, seed=5)
     df = spark.createDataFrame(rows, "k long, p string, v long")
-    got = {r.k: r.o for r in prefix_sum(df, "v", ["k"], "o", ["p"], rows_per_bucket=100).collect()}
+    got = {r.k: r.o for r in prefix_sum(df, "v", ["k"], "o", ["p"], rows_per_bucket=10).collect()}
     assert got == _expected(rows, False)
 
 
+def test_offsets_over_groups_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(order, "GROUP", 3)
+    monkeypatch.setattr(order, "MAX_BROADCAST_BUCKETS", 5)
+    rows = _rows(500, seed=6)
+    df = spark.createDataFrame(rows, "k long, p string, v long")
+    assert {r.k: r.o for r in prefix_sum(df, "v", ["k"], "o", ["p"], rows_per_bucket=10).collect()} == _expected(rows, False)
+    for k in (1, 250, 500):
+        assert order.kth_row(df, ["k"], k).first().k == sorted(r[0] for r in rows)[k - 1]
+    assert order.kth_row(df, ["k"], 501).collect() == []
+
+
+def test_no_window_over_the_whole_table(spark):
+    df = spark.createDataFrame(_rows(300, seed=8), "k long, p string, v long")
+    for out in (dense_rank_by(df, ["k"]), order.kth_row(df, ["k"], 5)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        wide = [x for x in plan.split("\n") if "Exchange SinglePartition" in x]
+        # only the groups of 1000 buckets meet in one task
+        assert len(wide) <= 1
+
+
+def test_null_keys_and_parts_are_kept(spark):
+    df = spark.createDataFrame([(None, "a", 5), (3, "a", 1), (1, None, 2), (2, None, 4)], "k long, p string, v long")
+    got = {(r.k, r.p): r.o for r in prefix_sum(df, "v", ["k"], "o", ["p"]).collect()}
+    assert got == {(None, "a"): 0, (3, "a"): 5, (1, None): 0, (2, None): 2}
+
+
 def test_prefix_min_and_rank(spark):
     rows = _rows(400, seed=7)
     df = spark.createDataFrame(rows, "k long, p string, v long")

@@ -52,6 +52,15 @@ def test_prepare_instruct_and_preference(spark):
     assert summary[(None, "val")] == math.ceil(summary[(None, None)] * 0.01)
 
 
+def test_strict_take_raises_on_a_short_table(spark):
+    import pytest
+
+    spec = {"seed": 42, "datasets": {"chat": {"default": {"weight": 1.0, "transforms": {"max_datapoints": 10**6}}}}}
+    with pytest.raises(ValueError, match="only"):
+        prepare_instruct(spark, spec, _registry(), scratch_path(spark, "test-strict"), strict=True)
+    assert prepare_instruct(spark, spec, _registry(), scratch_path(spark, "test-lenient")).count() > 0
+
+
 def test_command_line_pretraining(spark, tmp_path):
     import json
 
@@ -71,7 +80,8 @@ def test_resume_pretraining_with_fingerprint(spark):
 
     from trainprep.operators import mix
     from trainprep.plans.prepare import _fingerprint_path, spec_fingerprint
-    from trainprep.plans.pretrain import place_documents, write_pretraining
+    from trainprep.plans.pretrain import place_documents
+    from trainprep.sources.io import write_token_shards
 
     reg = _registry()
     spec = {"seed": 42, "shard_size": 3000,
@@ -86,13 +96,26 @@ def test_resume_pretraining_with_fingerprint(spark):
     mixed = mix.interleave(docs, m.probabilities(), m.seed, "doc_id")
     slices = place_documents(mixed.select("mix_pos", "text"), seed=42, shard_size=3000, order_col="mix_pos")
     part_out = scratch_path(spark, "test-part")
-    write_pretraining(slices.where("shard < 4"), part_out)
+    write_token_shards(slices.where("shard < 4"), part_out)
     spark.createDataFrame([(spec_fingerprint(spec, "bytes"),)], "fingerprint string").write.json(
         _fingerprint_path(part_out))
     resumed = {(r.split, r.shard): r.n_tokens
                for r in prepare_pretraining(spark, spec, reg, part_out, resume=True).collect()}
     assert resumed == full
 
+    gap_out = scratch_path(spark, "test-gap")
+    write_token_shards(slices.where("shard IN (0, 2)"), gap_out)
+    spark.createDataFrame([(spec_fingerprint(spec, "bytes"),)], "fingerprint string").write.json(
+        _fingerprint_path(gap_out))
+    with pytest.raises(ValueError, match="gap"):
+        prepare_pretraining(spark, spec, reg, gap_out, resume=True)
+
+    # a run that failed before its first shard left the fingerprint only
+    early_out = scratch_path(spark, "test-early")
+    spark.createDataFrame([(spec_fingerprint(spec, "bytes"),)], "fingerprint string").write.json(
+        _fingerprint_path(early_out))
+    assert {(r.split, r.shard): r.n_tokens for r in prepare_pretraining(spark, spec, reg, early_out, resume=True).collect()} == full
+
     changed = dict(spec, seed=7)
     with pytest.raises(ValueError):
         prepare_pretraining(spark, changed, reg, part_out, resume=True)

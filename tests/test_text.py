@@ -95,16 +95,50 @@ def test_adapt_messages_sparse_turn_numbers(spark):
             (2, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {r.conv_id: [t.content for t in r.conversation]
-           for r in nz.adapt_messages(df, max_turns=3, dense_turns=False).collect()}
+           for r in nz.adapt_messages(df, max_turns=3).collect()}
     assert out == {1: ["a", "b", "c"], 2: ["x"]}
 
 
-def test_take_first_large_n_path(spark, monkeypatch):
-    monkeypatch.setattr(nz, "SMALL_TAKE", 10)
+def test_turn_limit_keeps_the_first_turns_wherever_they_start(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(1, 11)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = nz.adapt_messages(df, max_turns=8).first()
+    assert [t.content for t in got.conversation] == [f"t{t}" for t in range(1, 9)]
+
+
+def test_turn_limit_is_applied_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, t, "user", "x") for t in range(10)], "conv_id long, turn long, role string, text string")
+    plan = nz.adapt_messages(df, max_turns=3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Partial") > plan.index("Exchange")
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 11, 14, 15, 500])
+def test_take_first_is_one_operator_for_any_size(spark, n):
+    """Ties, NULL keys (last) and whole repeated rows; exactly n rows where there are n."""
+    rows = [("b", 1), ("a", 2), ("a", 3), ("a", 3), (None, 4), (None, 4), (None, 5), ("c", 6), ("c", 7), ("c", 7), ("c", 7), ("d", 8), ("e", 9), ("é", 1)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(3)
+    got = [r.k for r in nz.take_first(df, n, "k").collect()]
+    order = sorted((k for k, _ in rows), key=lambda k: (k is None, (k or "").encode()))
+    assert sorted(got, key=str) == sorted(order[:n], key=str)
+    ints = df.selectExpr("ascii(k) AS k", "v")
+    assert nz.take_first(ints, n, "k").count() == min(n, len(rows))
+    if n > len(rows):
+        with pytest.raises(ValueError):
+            nz.take_first(df, n, "k", strict=True)
+
+
+def test_take_first_of_many_rows(spark):
     df = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)], "k long, v string")
-    got = sorted(r.k for r in nz.take_first(df, 123, "k").collect())
-    assert got == sorted(r.k for r in df.orderBy("k").limit(123).collect())
-    assert nz.take_first(df, 5000, "k").count() == 1000
+    for n in (1, 123, 999, 1000):
+        assert sorted(r.k for r in nz.take_first(df, n, "k").collect()) == list(range(n))
+
+
+def test_replacement_names_are_literal(spark):
+    df = spark.createDataFrame([(1, [("user", "I am NAME_1, not NAME_10"), ("assistant", "hi NAME_1")])],
+                               "conv_id long, conversation array<struct<role:string,content:string>>")
+    for name in ("$1", "a\\b", "x$", "$", "\\"):
+        c = df.select(nz.replace_placeholders("conversation", [name], 1, key=F.col("conv_id")).alias("c")).first().c
+        assert [t.content for t in c] == [f"I am {name}, not {name}", f"hi {name}"]
 
 
 def test_prompt_mismatch_report(spark):

@@ -3,16 +3,16 @@
 ``Window.orderBy`` with no ``partitionBy`` moves every row into one task. A prefix
 sum over a large table is built in three steps instead:
 
-1. every row gets a bucket that is a function of its order key alone
-   (``(key - min) div width`` for integral keys);
-2. a grouped sum per bucket gives a table with one row per bucket; its own prefix
-   sum is either a window over that small table (when the number of buckets is
-   proven small) or, recursively, another distributed prefix sum;
+1. every row gets a bucket that follows the order of its key: equal-width ranges where
+   the keys are dense or uniform, else ranges between approximate quantiles of the key,
+   so that buckets hold about equally many rows whatever the key distribution;
+2. a grouped sum per bucket gives a table with one row per bucket, whose own prefix sum
+   is taken in groups of 1000 buckets and then over the groups;
 3. bucket offsets are joined back (broadcast when small) and a window partitioned
    by bucket adds the running sum inside the bucket.
 
-Because the order key is unique, a bucket of width ``w`` holds at most ``w`` rows,
-so the per-bucket window has a hard size bound whatever the key distribution.
+The number of buckets comes from the row count and the parallelism, never from the span
+of the keys.
 """
 
 from __future__ import annotations
@@ -20,52 +20,123 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest bucket table that is windowed in place and broadcast back.
+# Largest bucket table that is broadcast back.
 MAX_BROADCAST_BUCKETS = 200_000
-# Default upper bound of rows per bucket (the key is unique, so width bounds rows).
-# A bucket is one window group; wide rows in it spill, but stay a bounded unit.
-DEFAULT_ROWS_PER_BUCKET = 200_000
-# Target rows per bucket for uniform hash keys.
-HASH_ROWS_PER_BUCKET = 100_000
+# Rows aimed at per bucket. A bucket is one window group, sorted with spilling.
+DEFAULT_ROWS_PER_BUCKET = 50_000
+# Most quantiles asked for in one pass; with more buckets, each quantile range is cut
+# into equal-width parts.
+MAX_QUANTILES = 2_000
+# Keys spread over at most this many times their number are dense: equal widths do.
+DENSE = 4
+# Buckets whose offsets are summed in one window.
+GROUP = 1000
 
 
 @dataclass(frozen=True)
 class RankStats:
-    """Range and count of an integral order key (one aggregate row)."""
+    """Range and count of an integral order key (one aggregate row) and, for sparse keys,
+    its approximate quantiles."""
 
     kmin: int
     kmax: int
     count: int
     parts: int = 1
+    cuts: tuple = ()
 
 
-def key_stats(df: DataFrame, key: str | Column, part_cols=()) -> RankStats:
-    """One aggregate row: min/max/count of the key. Only the key column is read
-    (column pruning), so the statistics pass never touches wide columns."""
+def key_stats(df: DataFrame, key: str | Column, part_cols=(),
+              rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> RankStats:
+    """Min, max and count of the key, and its quantiles when the keys are sparse. Only the
+    key column is read (column pruning), so this never touches wide columns."""
     k = F.col(key) if isinstance(key, str) else key
-    row = df.agg(F.min(k).alias("a"), F.max(k).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    keys = df.select(k.alias("k"))
+    row = keys.agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).first()
     if row is None or row["n"] == 0 or row["a"] is None:
         return RankStats(0, 0, 0, 1)
-    return RankStats(int(row["a"]), int(row["b"]), int(row["n"]), 1)
+    a, b, n = int(row["a"]), int(row["b"]), int(row["n"])
+    cuts = ()
+    if b - a >= DENSE * n:
+        want = min(MAX_QUANTILES, bucket_target(n, df.sparkSession.sparkContext.defaultParallelism, rows_per_bucket))
+        if want > 1:
+            at = [i / want for i in range(1, want)]
+            found = keys.agg(F.percentile_approx("k", at, 20 * MAX_QUANTILES).alias("q")).first()["q"]
+            cuts = tuple(sorted({int(x) for x in found if a < x <= b}))
+    return RankStats(a, b, n, 1, cuts)
+
+
+def bucket_target(n_rows: int, parallelism: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
+    """Buckets to aim at: enough for the parallelism and for buckets of bounded size."""
+    return max(4 * parallelism, math.ceil(n_rows / rows_per_bucket), 1)
 
 
 def choose_width(stats: RankStats, parallelism: int,
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
-    """Bucket width: enough buckets for parallelism, never more rows than the bound."""
+    """Width of equal ranges that gives about ``bucket_target`` buckets."""
     span = stats.kmax - stats.kmin + 1
-    if span <= 0:
-        return 1
-    target = max(4 * parallelism, math.ceil(stats.count / rows_per_bucket), 1)
-    width = max(1, math.ceil(span / target))
-    return min(width, rows_per_bucket)
+    return max(1, math.ceil(span / bucket_target(stats.count, parallelism, rows_per_bucket)))
 
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def _bucketed(df: DataFrame, kcol: Column, stats: RankStats, width: int | None,
+              rows_per_bucket: int) -> tuple[DataFrame, int]:
+    """``df`` with ``__b``, the bucket of the key, and the number of buckets."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    df = df.withColumn("__k0", kcol.cast("bigint"))
+    if width is not None or not stats.cuts:
+        width = width or choose_width(stats, parallelism, rows_per_bucket)
+        # exact integer bucket (no double rounding for 60-bit keys)
+        df = df.withColumn("__b", F.expr(f"(__k0 - {stats.kmin}L) div {int(width)}L"))
+        return df.drop("__k0"), (stats.kmax - stats.kmin) // width + 1
+    # quantile ranges, looked up by binary search; doubles keep the order of the keys
+    splits = sorted({float("-inf"), *map(float, stats.cuts), float("inf")})
+    parts = math.ceil(bucket_target(stats.count, parallelism, rows_per_bucket) / (len(splits) - 1))
+    df = df.withColumn("__kd", F.coalesce(F.col("__k0"), F.lit(stats.kmin)).cast("double"))
+    df = Bucketizer(splits=splits, inputCol="__kd", outputCol="__q").transform(df).withColumn("__b", F.col("__q").cast("bigint"))
+    if parts > 1:
+        edges = [stats.kmin, *(int(x) for x in splits[1:-1]), stats.kmax + 1]
+        lows = F.array(*[F.lit(x) for x in edges])
+        at = F.col("__b").cast("int")
+        low, high = lows[at], lows[at + 1]
+        step = F.greatest(F.lit(1), F.ceil((high - low) / F.lit(parts)))
+        sub = F.floor((F.greatest(F.col("__k0"), low) - low) / step)
+        df = df.withColumn("__b", F.col("__b") * parts + F.least(sub, F.lit(parts - 1)).cast("bigint"))
+    return df.drop("__k0", "__kd", "__q"), (len(splits) - 1) * parts
+
+
+def _offsets(bt: DataFrame, sums: dict, part_cols, combine=F.sum) -> DataFrame:
+    """Per bucket, the running value of all buckets before it: ``{out: column}`` over a table
+    with one row per bucket, in groups of ``GROUP`` buckets and then over the groups."""
+    before = lambda cols, by: Window.partitionBy(*cols).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.withColumn("__g", F.expr(f"__b div {GROUP}"))
+    groups = bt.groupBy(*part_cols, "__g").agg(*[combine(c).alias(f"__t_{o}") for o, c in sums.items()])
+    w = before(part_cols, "__g")
+    groups = groups.select(*part_cols, "__g", *[combine(f"__t_{o}").over(w).alias(f"__p_{o}") for o in sums])
+    w = before([*part_cols, "__g"], "__b")
+    merge = {F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}[combine]
+    rows = bt.select(*part_cols, "__b", "__g", *[combine(c).over(w).alias(f"__i_{o}") for o, c in sums.items()])
+    # null-safe: a NULL partition value is a group of its own
+    on = [rows["__g"] == groups["__g"], *[rows[c].eqNullSafe(groups[c]) for c in part_cols]]
+    return rows.join(groups, on).select(*[rows[c] for c in part_cols], rows["__b"],
+                                        *[merge(F.col(f"__p_{o}"), F.col(f"__i_{o}")).alias(o) for o in sums])
+
+
+def _with_offsets(b: DataFrame, offsets: DataFrame, part_cols, bound: float) -> DataFrame:
+    """Join bucket offsets back; broadcast only when their number is proven small (AQE may
+    still choose to when it has measured them)."""
+    offsets = F.broadcast(offsets) if bound <= MAX_BROADCAST_BUCKETS else offsets
+    names = [c for c in offsets.columns if c not in (*part_cols, "__b")]
+    right = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in (*part_cols, "__b")], *names)
+    on = [F.col("__b").eqNullSafe(F.col("__o___b")), *[F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in part_cols]]
+    return b.join(right, on).drop(*[f"__o_{c}" for c in (*part_cols, "__b")])
+
+
 def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
                part_cols=(), inclusive: bool = False, fn: str = "sum",
                width: int | None = None, stats: RankStats | None = None,
@@ -75,8 +146,9 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
     ``part_cols``.
 
     ``order_cols`` must give a unique order within ``part_cols``; the first one must be
-    integral and is used for bucketing. For ``sum`` a missing prefix is 0, for min/max
-    it is NULL.
+    integral and is used for bucketing; a NULL key comes first. For ``sum`` a missing
+    prefix is 0, for min/max it is NULL. ``width`` cuts the key into equal ranges without
+    looking at it (for uniform hashes).
     """
     order_cols = [order_cols] if isinstance(order_cols, (str, Column)) else list(order_cols)
     part_cols = list(part_cols)
@@ -84,52 +156,20 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
     kcol = F.col(key) if isinstance(key, str) else key
     vcol = F.col(value) if isinstance(value, str) else value
     agg = _COMBINE[fn]
-    spark = df.sparkSession
-
     if stats is None:
-        stats = key_stats(df, kcol, part_cols)
-    if width is None:
-        width = choose_width(stats, spark.sparkContext.defaultParallelism, rows_per_bucket)
-    n_buckets = (stats.kmax - stats.kmin) // width + 1
-    # exact upper bound of bucket-table rows: never more than the input rows, and
-    # never more than the number of buckets when there is no partition column
-    proven_rows = stats.count if stats.count else float("inf")
-    if not part_cols:
-        proven_rows = min(proven_rows, n_buckets)
-
-    # exact integer bucket: (key - min) div width (no double rounding for 60-bit keys)
-    b = df.withColumn("__v", vcol).withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
-    b = b.withColumn("__b", F.expr(f"__k0 div {int(width)}")).drop("__k0")
+        stats = key_stats(df, kcol, part_cols, rows_per_bucket)
+    b, n_buckets = _bucketed(df.withColumn("__v", vcol), kcol, stats, width, rows_per_bucket)
+    b = b.withColumn("__b", F.coalesce("__b", F.lit(-1).cast("bigint")))
+    bound = min(stats.count or float("inf"), n_buckets + 1 if not part_cols else float("inf"))
     bt = b.groupBy(*part_cols, "__b").agg(agg("__v").alias("__bs"))
-
-    if n_buckets <= MAX_BROADCAST_BUCKETS:
-        # The bucket table has at most n_buckets rows per partition value: a window
-        # partitioned by the partition columns stays small.
-        wb = Window.partitionBy(*part_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        bt = bt.withColumn("__bstart", agg("__bs").over(wb))
-    else:
-        # Sparse keys: too many buckets for one window, so the bucket table is ranked
-        # by the same method, recursively.
-        bt = prefix_agg(bt.withColumnRenamed("__b", "__bk"), "__bs", ["__bk"], "__bpre",
-                        part_cols, inclusive=False, fn=fn, rows_per_bucket=rows_per_bucket)
-        bt = bt.withColumnRenamed("__bk", "__b").withColumnRenamed("__bpre", "__bstart")
-    offsets = bt.select(*part_cols, "__b", "__bstart")
-    if proven_rows <= MAX_BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)  # size proven by the bound above
-    # otherwise no hint: AQE measures the aggregated bucket table at run time and
-    # broadcasts it only if it is actually small
-    joined = b.join(offsets, [*part_cols, "__b"])
-
-    frame_end = Window.currentRow if inclusive else -1
+    joined = _with_offsets(b, _offsets(bt, {"__bstart": "__bs"}, part_cols, agg), part_cols, bound)
     w = Window.partitionBy(*part_cols, "__b").orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, frame_end)
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     inner = agg("__v").over(w)
     if fn == "sum":
         res = F.coalesce(F.col("__bstart"), F.lit(0)) + F.coalesce(inner, F.lit(0))
-    elif fn == "min":
-        res = F.least(F.col("__bstart"), inner)
     else:
-        res = F.greatest(F.col("__bstart"), inner)
+        res = (F.least if fn == "min" else F.greatest)(F.col("__bstart"), inner)
     return joined.withColumn(out, res).drop("__v", "__b", "__bstart")
 
 
@@ -153,16 +193,11 @@ def dense_rank_by(df: DataFrame, order_cols, out: str = "rank", part_cols=(),
                       width=width, stats=stats, rows_per_bucket=rows_per_bucket)
 
 
-def hash_bucket_width(n_rows: int | None = None, bits: int | None = None) -> int:
-    """Width that cuts a 60-bit hash key into ``2**bits`` equal buckets; with
-    ``n_rows`` the bits grow with the data (about 100k rows per bucket, 12 to 24 bits)."""
-    if bits is None:
-        need = math.ceil(math.log2(max(n_rows or 1, 1) / HASH_ROWS_PER_BUCKET)) if n_rows else 12
-        bits = min(max(12, need), 24)
-    return 1 << (60 - bits)
-
-
-HASH_KEY_STATS = RankStats(0, (1 << 60) - 1, 0, 1)
+def hash_bucket_width(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
+    """Width that cuts a uniform 60-bit hash key into equal buckets of about
+    ``rows_per_bucket`` rows (at least 64 buckets)."""
+    bits = max(6, math.ceil(math.log2(max(n_rows, 1) / rows_per_bucket)) if n_rows > rows_per_bucket else 6)
+    return 1 << (60 - min(bits, 40))
 
 
 def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive: bool = False,
@@ -174,32 +209,18 @@ def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive
     part_cols = list(part_cols)
     kcol = F.col(order_cols[0]) if isinstance(order_cols[0], str) else order_cols[0]
     if stats is None:
-        stats = key_stats(df, kcol, part_cols)
-    if width is None:
-        width = choose_width(stats, df.sparkSession.sparkContext.defaultParallelism, rows_per_bucket)
-    n_buckets = (stats.kmax - stats.kmin) // width + 1
-    if n_buckets > MAX_BROADCAST_BUCKETS:
-        for out, v in values.items():
-            df = prefix_sum(df, v, order_cols, out, part_cols, inclusive, width, stats, rows_per_bucket)
-        return df
+        stats = key_stats(df, kcol, part_cols, rows_per_bucket)
     names = list(values)
     b = df
     for i, out in enumerate(names):
         v = values[out]
         b = b.withColumn(f"__v{i}", (F.col(v) if isinstance(v, str) else v).cast("bigint"))
-    b = b.withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
-    b = b.withColumn("__b", F.expr(f"__k0 div {int(width)}")).drop("__k0")
+    b, n_buckets = _bucketed(b, kcol, stats, width, rows_per_bucket)
+    b = b.withColumn("__b", F.coalesce("__b", F.lit(-1).cast("bigint")))
+    bound = min(stats.count or float("inf"), n_buckets + 1 if not part_cols else float("inf"))
     bt = b.groupBy(*part_cols, "__b").agg(*[F.sum(f"__v{i}").alias(f"__bs{i}") for i in range(len(names))])
-    wb = Window.partitionBy(*part_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    for i in range(len(names)):
-        bt = bt.withColumn(f"__bstart{i}", F.sum(f"__bs{i}").over(wb))
-    offsets = bt.select(*part_cols, "__b", *[f"__bstart{i}" for i in range(len(names))])
-    proven_rows = stats.count if stats.count else float("inf")
-    if not part_cols:
-        proven_rows = min(proven_rows, n_buckets)
-    if proven_rows <= MAX_BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)
-    joined = b.join(offsets, [*part_cols, "__b"])
+    offsets = _offsets(bt, {f"__bstart{i}": f"__bs{i}" for i in range(len(names))}, part_cols)
+    joined = _with_offsets(b, offsets, part_cols, bound)
     w = Window.partitionBy(*part_cols, "__b").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     for i, out in enumerate(names):
@@ -212,24 +233,20 @@ def prefix_sums(df: DataFrame, values: dict, order_cols, part_cols=(), inclusive
 def kth_row(df: DataFrame, order_cols, k: int, width: int | None = None,
             stats: RankStats | None = None) -> DataFrame:
     """The row (of ``order_cols`` only) at 1-based position ``k`` in ``order_cols``
-    order, without ranking the table: bucket counts and their prefix (a small
-    table) locate the one bucket that holds position ``k``, and only that bucket's
-    rows (bounded by the bucket width for a unique key) are ordered. Returns one row
-    (none when ``k`` exceeds the row count)."""
+    order, without ranking the table: bucket counts and their prefix locate the one
+    bucket that holds position ``k``, and only that bucket's rows are ordered. Returns
+    one row (none when ``k`` exceeds the row count)."""
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     keys = df.select(*order_cols)
     kcol = F.col(order_cols[0])
     if stats is None:
         stats = key_stats(keys, kcol)
-    if width is None:
-        width = choose_width(stats, df.sparkSession.sparkContext.defaultParallelism)
-    b = keys.withColumn("__k0", (kcol - F.lit(stats.kmin)).cast("bigint"))
-    b = b.withColumn("__b", F.expr(f"__k0 div {int(width)}")).drop("__k0")
-    wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = (b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))   # one row per bucket
-          .withColumn("__before", F.coalesce(F.sum("__n").over(wb), F.lit(0))))
+    b, _ = _bucketed(keys, kcol, stats, width, DEFAULT_ROWS_PER_BUCKET)
+    b = b.withColumn("__b", F.coalesce("__b", F.lit(-1).cast("bigint")))
+    bt = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))   # one row per bucket
+    bt = bt.join(_offsets(bt, {"__before": "__n"}, []), "__b")
     target = bt.where((F.col("__before") < k) & (F.col("__before") + F.col("__n") >= k)).select("__b", "__before")
     rows = b.join(F.broadcast(target), "__b")  # one target row
-    w = Window.orderBy(*order_cols)
+    w = Window.partitionBy("__b").orderBy(*order_cols)
     return (rows.withColumn("__pos", F.row_number().over(w) + F.col("__before"))
             .where(F.col("__pos") == k).select(*order_cols))

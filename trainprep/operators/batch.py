@@ -17,18 +17,21 @@ from trainprep.operators.tokenize import IGNORE_INDEX
 
 
 def epoch_order(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
-                shuffle: bool = True, out: str = "pos") -> DataFrame:
+                shuffle: bool = True, out: str = "pos", n_rows: int | None = None) -> DataFrame:
     """0-based position of each example in the epoch: a seeded permutation when
-    ``shuffle`` (train), natural id order otherwise (validation)."""
+    ``shuffle`` (train), natural id order otherwise (validation).
+
+    Only the ids are ranked; the examples move once, in the join with their positions.
+    ``n_rows`` (counted when not given) sets the number of hash buckets. Ids are unique."""
+    ids = df.select(id_col)
     if shuffle:
-        # 2^16 equal hash buckets: no counting pass over the examples, a bucket
-        # table small enough to broadcast, ~15k rows per bucket at 10^9 examples
-        keyed = df.withColumn("__h", h60(seed, epoch, F.col(id_col)))
-        ranked = dense_rank_by(keyed, ["__h", id_col], out, width=hash_bucket_width(bits=16),
-                               stats=RankStats(0, (1 << 60) - 1, 0, 1)).drop("__h")
+        n = ids.count() if n_rows is None else n_rows
+        keyed = ids.withColumn("__h", h60(seed, epoch, F.col(id_col)))
+        ranked = dense_rank_by(keyed, ["__h", id_col], out, width=hash_bucket_width(n),
+                               stats=RankStats(0, (1 << 60) - 1, n, 1)).drop("__h")
     else:
-        ranked = dense_rank_by(df, [id_col], out)
-    return ranked.withColumn(out, F.col(out) - 1)
+        ranked = dense_rank_by(ids, [id_col], out)
+    return df.drop(out).join(ranked.withColumn(out, F.col(out) - 1), id_col)
 
 
 def assign_examples(df: DataFrame, n_examples, world_size: int, pos_col: str = "pos") -> DataFrame:

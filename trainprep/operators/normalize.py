@@ -7,15 +7,13 @@ projection over the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainprep.functions.hashing import h60
-from trainprep.functions.order import dense_rank_by, kth_row
+from trainprep.session import materialize
 
 TURN_TYPE = "struct<role:string,content:string>"
-# Largest n taken with a sorted limit (one task holds n rows); above it, ranks.
-SMALL_TAKE = 100_000
 DEFAULT_MAX_TURNS = 8
 
 
@@ -34,45 +32,56 @@ def tag_source(df: DataFrame, source: str, col: str = "source") -> DataFrame:
 
 
 def take_first(df: DataFrame, n: int, order_col: str, strict: bool = False) -> DataFrame:
-    """First ``n`` rows by ``order_col``.
-
-    Up to ``SMALL_TAKE`` rows: a sorted limit over the key column alone (one long per
-    row, so at most 8 * n bytes in the final task), broadcast back as a semi-join —
-    wide rows never meet in one task. Larger ``n``: the n-th key is located from
-    bucket counts and the rows are filtered against it (no ranking, no shuffle of
-    the rows); fewer than ``n`` rows keeps them all.
-    ``strict`` raises when fewer than ``n`` rows exist (a table past its end);
-    otherwise the take is lenient, like on a stream.
+    """First ``n`` rows by ``order_col``, of any orderable type and for any ``n``.
+
+    A NULL key comes last; rows with one key follow each other by a hash of the whole row,
+    so exactly ``n`` rows come back wherever there are that many, and all rows otherwise.
+    ``strict`` raises when there are fewer (a table past its end).
+
+    The keys alone are range-partitioned and written out once; the counts of the ranges
+    locate the n-th key, and the rows are filtered against it, without being ranked or
+    moved. Only rows that equal the n-th one in every column are counted off.
     """
-    if strict:
-        have = df.count()
-        if have < n:
-            raise ValueError(f"asked for {n} rows, only {have} exist")
-    if n <= SMALL_TAKE:
-        keys = df.select(order_col).orderBy(order_col).limit(n)
-        return df.join(F.broadcast(keys), order_col, "left_semi")  # n keys: proven bound
-    # large n: find the n-th key (bucket counts + one bucket), then a plain filter
-    bound = kth_row(df, [order_col], n).select(order_col).scalar()
-    return df.where(F.coalesce(F.col(order_col) <= bound, F.lit(True)))  # no n-th row: keep all
+    if n <= 0:
+        return df.limit(0)
+    place = F.struct(F.col(order_col).isNull().alias("a"), F.col(order_col).alias("k"),
+                     F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    keys = df.select(place.alias("place"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(keys.repartitionByRange(parts, "place").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one row per partition
+    if sum(sizes.values()) < n:
+        if strict:
+            raise ValueError(f"asked for {n} rows, only {sum(sizes.values())} exist")
+        return df
+    before = 0
+    for part in sorted(sizes):
+        if before + sizes[part] >= n:
+            break
+        before += sizes[part]
+    # one partition's keys, counted per place: a frequent place is one row
+    inside = ranged.where(F.col("part") == part).groupBy("part", "place").count()
+    w = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("before", before + F.coalesce(F.sum("count").over(w), F.lit(0)))
+    last = inside.where((F.col("before") < n) & (F.col("before") + F.col("count") >= n))
+    edge = last.select("place").scalar()
+    head, ties = df.where(place < edge), df.where(place == edge)
+    return head.unionByName(ties.limit(n - last.first()["before"]))
 
 
 def adapt_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                    role_col: str = "role", text_col: str = "text",
-                   max_turns: int | None = None, dense_turns: bool = True) -> DataFrame:
+                   max_turns: int | None = None) -> DataFrame:
     """Flat turn rows to one ``conversation`` array per conversation, ordered by turn.
 
-    With ``max_turns`` only the first ``max_turns`` turns are collected, which bounds
-    every group; a conversation is never longer than the limit needs, even when one
-    conversation holds most rows. ``dense_turns`` says ``turn`` is already the
-    0-based position; otherwise positions are ranked first (bucketed, per
-    conversation).
+    ``turn`` need only order the turns: it may start anywhere and have gaps. With
+    ``max_turns`` only the first ``max_turns`` turns are collected. The limit is applied
+    in every task before the shuffle (a window group limit), so a conversation that
+    holds most rows moves ``max_turns`` rows per task.
     """
     if max_turns is not None:
-        if not dense_turns:
-            turns = dense_rank_by(turns, [turn_col], "__pos", [conv_col])
-            turns = turns.where(F.col("__pos") <= max_turns).drop("__pos")
-        else:
-            turns = turns.where(F.col(turn_col) < max_turns)
+        order = Window.partitionBy(conv_col).orderBy(turn_col, role_col, text_col)
+        turns = turns.withColumn("__pos", F.row_number().over(order)).where(F.col("__pos") <= max_turns).drop("__pos")
     grouped = turns.groupBy(conv_col).agg(
         F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("t"), F.col(role_col).alias("role"),
                                              F.col(text_col).alias("content")))).alias("__turns"))
@@ -135,7 +144,7 @@ def replace_placeholders(conv, options: list, seed, key=None) -> Column:
     Replacement respects word boundaries, so ``NAME_1`` never touches ``NAME_10``.
     """
     if not options:
-        raise ValueError('List of replacements("random_options") cannot be empty')
+        raise ValueError("placeholders need at least one replacement name")
     c = _c(conv)
     full = F.array_join(F.transform(c, lambda t: t["content"]), " ")
     key = full if key is None else _c(key)
@@ -148,13 +157,16 @@ def replace_placeholders(conv, options: list, seed, key=None) -> Column:
     shuffled = F.transform(F.array_sort(dealt), lambda s: s["name"])
     pairs = F.arrays_zip(ids.alias("id"), shuffled.alias("name"))
 
-    def repl(t):
-        content = F.aggregate(
-            pairs, t["content"],
-            lambda acc, p: F.regexp_replace(acc, F.concat(F.lit(r"\bNAME_"), p["id"], F.lit(r"\b")), p["name"]))
-        return F.struct(t["role"].alias("role"), content.alias("content"))
+    def step(turns, p):
+        # a replacement is literal text: its backslashes and dollar signs are quoted
+        name = F.replace(F.replace(p["name"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.transform(turns, lambda t: F.struct(
+            t["role"].alias("role"),
+            F.regexp_replace(t["content"], F.concat(F.lit(r"\bNAME_"), p["id"], F.lit(r"\b")), name).alias("content")))
 
-    return F.transform(c, repl)
+    # one pass over the turns per distinct id; the pairs are computed once per conversation
+    plain = F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return F.aggregate(pairs, plain, step)
 
 
 # ---------------------------------------------------------------- transcripts

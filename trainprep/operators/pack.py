@@ -163,7 +163,7 @@ def shuffle_shards(shards: DataFrame, seed: int, epoch: int, part_cols=("split",
             "epoch_pos", F.col("epoch_pos") - 1)
     ranked = present.withColumn("__h", h60(seed, epoch, F.col("shard")))
     ranked = dense_rank_by(ranked, ["__h", "shard"], "epoch_pos", part_cols,
-                           width=hash_bucket_width(bits=12), stats=RankStats(0, (1 << 60) - 1, 0, 4))
+                           width=hash_bucket_width(0), stats=RankStats(0, (1 << 60) - 1, 0, 4))
     return ranked.withColumn("epoch_pos", F.col("epoch_pos") - 1).drop("__h")
 
 

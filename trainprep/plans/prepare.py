@@ -3,7 +3,7 @@
 ``prepare_pretraining``: sources -> take -> normalise -> interleave -> hash split ->
 encode -> offsets -> token shards (``split=/shard=`` folders).
 ``prepare_instruct`` / ``prepare_preference``: sources -> take -> normalise ->
-encode -> interleave -> exact split -> example folders (``split=train|val``).
+interleave -> encode -> exact split -> example folders (``split=train|val``).
 Each returns a small summary DataFrame (rows per source and split).
 """
 
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainprep.operators import mix, normalize as nz, tokenize
-from trainprep.plans.pretrain import place_documents, write_pretraining
-from trainprep.operators.pack import stored_tokens
-from trainprep.sources.io import SourceRegistry, read_token_shards, write_examples
+from trainprep.operators.pack import check_shard_sequence, stored_tokens
+from trainprep.plans.pretrain import place_documents
+from trainprep.sources.io import SourceRegistry, is_directory, read_token_shards, write_examples, write_token_shards
 
 # Fixed value: 1 % validation share of the exact split.
 VAL_FRACTION = 0.01
@@ -30,7 +30,9 @@ def _union(frames):
 
 
 def _sources(spark: SparkSession, spec_mix: mix.Mixture, registry: SourceRegistry, order_col: str,
-             prepare) -> DataFrame:
+             prepare, strict: bool = False) -> DataFrame:
+    """The normalised rows of all sources. ``strict`` makes a source that is shorter than
+    its ``max_datapoints`` an error; otherwise all its rows are taken."""
     parts = []
     for e in spec_mix.entries:
         src = registry.get(e.source, e.name)
@@ -46,7 +48,7 @@ def _sources(spark: SparkSession, spec_mix: mix.Mixture, registry: SourceRegistr
             df = registry.read(spark, e.source, e.name)
         n = e.transforms.get("max_datapoints")
         if n:
-            df = nz.take_first(df, int(n), order_col)
+            df = nz.take_first(df, int(n), order_col, strict=strict)
         parts.append(prepare(df, e).withColumn("source", F.lit(e.label)))
     return _union(parts)
 
@@ -67,50 +69,59 @@ def prepare_pretraining(spark: SparkSession, spec: dict, registry: SourceRegistr
                         resume: bool = False) -> DataFrame:
     """Write token shards of the mixture; returns tokens and slices per split and shard.
 
-    The spec fingerprint is stored next to the shards (``<out>_spec``). With
-    ``resume=True`` an existing output is continued: the stored fingerprint must
-    match (else the run is refused), the stored tokens of each split are skipped
-    (also mid-document) and numbering continues after the last stored shard, whose
-    partial content stays as it is.
+    The spec fingerprint is stored next to the shards (``<out>_spec``) before the first
+    shard, so a run that fails at any later point can be continued. With ``resume=True``
+    an existing output is continued: the stored fingerprint must match and the stored
+    shard numbers must have no gap (else the run is refused), the stored tokens of each
+    split are skipped (also mid-document) and numbering continues after the last stored
+    shard, whose partial content stays as it is.
     """
     m = mix.mixture_table(spec, registry.supported(), require_shard_size=True)
     fp = spec_fingerprint(spec, tokenizer)
     docs = _sources(spark, m, registry, order_col, lambda df, e: nz.adapt_text(df, order_col))
     mixed = mix.interleave(docs, m.probabilities(), m.seed, order_col)  # adds mix_pos
-    if not resume:
-        slices = place_documents(mixed.select(F.col("mix_pos"), "text"), seed=m.seed, shard_size=m.shard_size,
-                                 tokenizer=tokenizer, order_col="mix_pos")
-        write_pretraining(slices, out_path, mode)
-        spark.createDataFrame([(fp,)], "fingerprint string").coalesce(1).write.mode("overwrite").json(
-            _fingerprint_path(out_path))
-    else:
+    if resume:
         stored_fp = spark.read.json(_fingerprint_path(out_path)).first()["fingerprint"]
         if stored_fp != fp:
             raise ValueError("stored shards were made with another spec or tokenizer; refusing to resume")
-        done = stored_tokens(read_token_shards(spark, out_path))
+    else:
+        spark.createDataFrame([(fp,)], "fingerprint string").coalesce(1).write.mode(
+            "overwrite" if mode == "overwrite" or not is_directory(spark, out_path) else "errorifexists").json(_fingerprint_path(out_path))
+    if not resume or not is_directory(spark, out_path):
+        slices = place_documents(mixed.select(F.col("mix_pos"), "text"), seed=m.seed, shard_size=m.shard_size,
+                                 tokenizer=tokenizer, order_col="mix_pos")
+        write_token_shards(slices, out_path, mode)
+    else:
+        shards = read_token_shards(spark, out_path)
+        gap = check_shard_sequence(shards.select("split", "shard").distinct()).where(~F.col("gapless")).first()
+        if gap:
+            raise ValueError(f"stored {gap['split']} shards have a gap; refusing to resume")
+        done = stored_tokens(shards)
         for split in ("train", "val"):
             st = done.where(F.col("split") == split)
             skip = F.coalesce(st.select("done_tokens").scalar(), F.lit(0))
             nxt = F.coalesce(st.select(F.col("last_shard") + 1).scalar(), F.lit(0))
             part = place_documents(mixed.select(F.col("mix_pos"), "text"), seed=m.seed, shard_size=m.shard_size,
                                    tokenizer=tokenizer, order_col="mix_pos", skip_tokens=skip, first_shard=nxt)
-            write_pretraining(part.where(F.col("split") == split), out_path, "append")
+            write_token_shards(part.where(F.col("split") == split), out_path, "append")
     return (read_token_shards(spark, out_path).groupBy("split", "shard")
             .agg(F.sum(F.size("tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_slices")))
 
 
-def _finish_examples(spark, examples: DataFrame, m: mix.Mixture, order_col: str, out_path: str,
-                     mode: str) -> DataFrame:
-    mixed = mix.interleave(examples, m.probabilities(), m.seed, order_col)
+def _finish_examples(spark, rows: DataFrame, m: mix.Mixture, order_col: str, out_path: str,
+                     mode: str, encode) -> DataFrame:
+    """Mix the normalised rows, encode those that the mix took, split and write them."""
+    mixed = encode(mix.interleave(rows, m.probabilities(), m.seed, order_col))
     split = mix.exact_split(mixed, "mix_pos", m.seed, VAL_FRACTION)
     write_examples(split, out_path, mode)
     return mix.mixture_summary(spark.read.parquet(out_path))
 
 
 def prepare_instruct(spark: SparkSession, spec: dict, registry: SourceRegistry, out_path: str,
-                     tokenizer: str = "bytes", order_col: str = "conv_id", mode: str = "errorifexists") -> DataFrame:
+                     tokenizer: str = "bytes", order_col: str = "conv_id", mode: str = "errorifexists",
+                     strict: bool = False) -> DataFrame:
     """Chat sources (``conv_id, conversation``) -> SFT examples with labels, split
-    train/val exactly; returns rows per source and split."""
+    train/val exactly; returns rows per source and split. ``strict``: see ``_sources``."""
     m = mix.mixture_table(spec, registry.supported())
 
     def prepare(df, e):
@@ -120,20 +131,27 @@ def prepare_instruct(spark: SparkSession, spec: dict, registry: SourceRegistry,
         if ph.get("replace"):
             conv = nz.replace_placeholders(conv, ph.get("random_options") or [], m.seed, key=F.col(order_col))
         out = nz.normalize_sft(df.withColumn("conversation", conv), max_turns=int(t.get("max_turns", 8)))
-        return tokenize.encode_chat(out, tokenizer=tokenizer).select(order_col, "input_ids", "labels")
+        return out.select(order_col, "conversation")
 
-    return _finish_examples(spark, _sources(spark, m, registry, order_col, prepare), m, order_col, out_path, mode)
+    def encode(df):
+        return tokenize.encode_chat(df, tokenizer=tokenizer).select("source", order_col, "mix_pos", "input_ids", "labels")
+
+    return _finish_examples(spark, _sources(spark, m, registry, order_col, prepare, strict), m, order_col, out_path, mode, encode)
 
 
 def prepare_preference(spark: SparkSession, spec: dict, registry: SourceRegistry, out_path: str,
-                       tokenizer: str = "bytes", order_col: str = "pair_id", mode: str = "errorifexists") -> DataFrame:
+                       tokenizer: str = "bytes", order_col: str = "pair_id", mode: str = "errorifexists",
+                       strict: bool = False) -> DataFrame:
     """Preference sources (``pair_id, chosen, rejected`` transcripts) -> prompt /
-    chosen / rejected ids, split train/val exactly; returns rows per source and split."""
+    chosen / rejected ids, split train/val exactly; returns rows per source and split.
+    ``strict``: see ``_sources``."""
     m = mix.mixture_table(spec, registry.supported())
 
     def prepare(df, e):
-        out = nz.normalize_dpo(df)
-        return tokenize.encode_preference(out, tokenizer=tokenizer).select(
-            order_col, "prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
+        return nz.normalize_dpo(df).select(order_col, "prompt", "chosen", "rejected")
+
+    def encode(df):
+        return tokenize.encode_preference(df, tokenizer=tokenizer).select(
+            "source", order_col, "mix_pos", "prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
 
-    return _finish_examples(spark, _sources(spark, m, registry, order_col, prepare), m, order_col, out_path, mode)
+    return _finish_examples(spark, _sources(spark, m, registry, order_col, prepare, strict), m, order_col, out_path, mode, encode)

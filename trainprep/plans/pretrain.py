@@ -39,26 +39,9 @@ def place_documents(docs: DataFrame, seed: int = 42, shard_size: int = 100_000_0
                        order_col=order_col)
 
 
-def write_pretraining(slices: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write placed slices as ``split=.../shard=...`` directories. Slices arrive
-    clustered by document range, so each task writes few shard files; within a task
-    rows are sorted by shard and position."""
-    (slices.sortWithinPartitions("split", "shard", "pos")
-     .write.mode(mode).partitionBy("split", "shard").parquet(path))
-
-
 def mixed_corpus(docs: DataFrame, probabilities: dict, seed: int, order_col: str = "doc_id",
                  take: dict | None = None) -> DataFrame:
     """Interleave sources of ``docs.source`` with optional per-source ``take`` limits
-    (first ``n`` by ``order_col``); the mixed position becomes the new order key."""
-    from trainprep.operators.normalize import take_first
-
-    if take:
-        parts = None
-        for label in probabilities:
-            sub = docs.where(F.col("source") == label)
-            if take.get(label):
-                sub = take_first(sub, take[label], order_col)
-            parts = sub if parts is None else parts.unionByName(sub)
-        docs = parts
-    return interleave(docs, probabilities, seed, order_col)
+    (first ``n`` by ``order_col``); the mixed position becomes the new order key. The
+    limits only cap the rows that the mix counts on, so taking costs no pass of its own."""
+    return interleave(docs, probabilities, seed, order_col, take=take)

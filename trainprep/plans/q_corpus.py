@@ -272,35 +272,28 @@ _MIXTURE = mix.mixture_table(MIX_SPEC)
 _MIX = _MIXTURE.probabilities()
 
 
-def _d(x: float) -> str:
-    """A double literal that DuckDB parses to exactly the same value."""
-    return f"'{x!r}'::DOUBLE"
-
-
-def _pick_sql() -> str:
-    """The CASE that mirrors ``mix.pick_source`` (same thresholds, same order)."""
-    parts, cum = [], 0.0
-    items = list(_MIX.items())
-    for i, (label, p) in enumerate(items):
-        cum += p
-        hi = cum if i < len(items) - 1 else 2.0
-        parts.append(f"WHEN u < {_d(hi)} THEN '{label}'")
-    return "CASE " + " ".join(parts) + " END"
+# Written from the description of the mix, not from the code: twenty sources, source i
+# with weight (i + 1) / 210, picked where the draw falls in the running sum of the
+# weights; the mix ends with the draw that gives some source its last row.
+_WEIGHTS_SQL = """
+w AS (SELECT 'src' || i AS source, i, ((i + 1)::DOUBLE / 210) AS p FROM range(0, 20) t(i)),
+c AS (SELECT source, i, p, sum(p) OVER (ORDER BY i) AS hi FROM w)"""
 
 
 def _mix_oracle(take: int | None) -> str:
     limit = "" if take is None else f"WHERE r <= {take}"
     return f"""
-WITH src AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+WITH {_WEIGHTS_SQL},
+src AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 s AS (SELECT * FROM src {limit}),
 n AS (SELECT source, count(*) AS n FROM s GROUP BY source),
-dr AS (SELECT i, {_pick_sql()} AS source FROM (
-         SELECT i, ('0x'||substr(md5('{SEED}|'||i),1,15))::BIGINT::DOUBLE / 1152921504606846976::DOUBLE AS u
-         FROM range(0, (SELECT sum(n) FROM n)::BIGINT + 1) t(i))),
-rk AS (SELECT i, source, row_number() OVER (PARTITION BY source ORDER BY i) AS r FROM dr),
-cut AS (SELECT min(i) AS c FROM rk JOIN n USING (source) WHERE r > n)
-SELECT s.doc_id, s.source, rk.i AS mix_pos FROM rk JOIN s USING (source, r)
-WHERE rk.i < (SELECT c FROM cut)
+u AS (SELECT k, ('0x'||substr(md5('{SEED}|'||k),1,15))::BIGINT::DOUBLE / 1152921504606846976::DOUBLE AS u
+      FROM range(0, (SELECT sum(n) FROM n)::BIGINT) t(k)),
+dr AS (SELECT k, u, 'src' || least(19, (SELECT count(*) FROM c WHERE c.hi <= u.u)) AS source FROM u),
+rk AS (SELECT k, source, row_number() OVER (PARTITION BY source ORDER BY k) AS r FROM dr),
+last AS (SELECT min(k) AS k FROM rk JOIN n USING (source) WHERE r = n)
+SELECT s.doc_id, s.source, rk.k AS mix_pos FROM rk JOIN s USING (source, r)
+WHERE rk.k <= (SELECT k FROM last)
 """
 
 
@@ -340,20 +333,18 @@ def q_exact_split(spark, sf):
     return mix.exact_split(convs, "conv_id", SEED, 0.01).select("conv_id", "split")
 
 
-_MT_VALUES = ", ".join(f"('{e.label}', {_d(e.p)}, {_d(e.cum_lo)}, {_d(min(e.cum_hi, 1.0))})" for e in _MIXTURE.entries)
-
-
 @query("mixture_table", f"""
-WITH spec AS (SELECT * FROM (VALUES {_MT_VALUES}) v(source, p, cum_lo, cum_hi))
-SELECT spec.source, spec.p AS p, spec.cum_lo AS cum_lo, spec.cum_hi AS cum_hi, count(d.doc_id) AS n_docs
-FROM spec LEFT JOIN documents d ON d.source = spec.source GROUP BY 1, 2, 3, 4
+WITH {_WEIGHTS_SQL}
+SELECT c.source, round(c.p, 12) AS p, round(c.hi - c.p, 12) AS cum_lo, round(c.hi, 12) AS cum_hi, count(d.doc_id) AS n_docs
+FROM c LEFT JOIN documents d ON d.source = c.source GROUP BY 1, 2, 3, 4
 """)
 def q_mixture_table(spark, sf):
     """The validated, normalised mixture with the rows each source offers."""
     m = mix.mixture_frame(spark, mix.mixture_table(MIX_SPEC))
     counts = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     out = F.broadcast(m).join(counts, "source", "left")  # the spec has a few entries
-    return out.select("source", "p", "cum_lo", "cum_hi", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    rounded = [F.round(c, 12).alias(c) for c in ("p", "cum_lo", "cum_hi")]
+    return out.select("source", *rounded, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query("stable_hash", """

@@ -3,34 +3,49 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What this library expects of a session that it creates itself.
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches of at most 1000 records (long documents make large batches)
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "trainprep") -> SparkSession:
-    """Local session with the settings this library expects.
+    """The running session as it is, or a new one.
 
-    On a cluster the session is normally created by the launcher; this helper only
-    fills in what is missing (AQE on, UTC, no UI) and never overrides a setting the
-    cluster already provides.
+    A session that the launcher made is returned untouched. A new one gets the launcher's
+    settings (``spark-submit`` and its files), and ``DEFAULTS`` only where those say
+    nothing. The master is set only when asked for, or when nothing else names one: then
+    ``local[$BENCH_CPUS]`` (all cores without it) with a driver of 16 GB.
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.driver.memory", "16g")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Arrow batches of at most 1000 records (long documents make large batches)
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    )
-    spark = builder.getOrCreate()
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
+    given = SparkConf()
+    conf = {k: v for k, v in DEFAULTS.items() if not given.contains(k)}
+    if master:
+        conf["spark.master"] = master
+    elif not given.contains("spark.master"):
+        conf["spark.master"] = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
+    if conf.get("spark.master", "").startswith("local") and not given.contains("spark.driver.memory"):
+        conf["spark.driver.memory"] = "16g"
+    if shuffle_partitions and not given.contains("spark.sql.shuffle.partitions"):
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    spark = SparkSession.builder.appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -38,7 +53,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a folder under /tmp is set.
+    Where it is unset, local mode uses a new temporary folder; a cluster raises, since
+    every node would write to a disk of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,7 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = "/tmp/trainprep-checkpoints"
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="trainprep-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

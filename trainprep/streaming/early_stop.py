@@ -1,11 +1,14 @@
 """Early stopping over arriving validation losses, one state per run
-(``applyInPandasWithState``). The state is three values per run; each call sees
-the run's new rows of one micro-batch in step order."""
+(``applyInPandasWithState``). The state is three values per run; each call gathers the
+run's rows of one micro-batch (24 bytes each) and evaluates them in step order, however
+they were cut into Arrow batches. A late row, with a step before those of an earlier
+micro-batch, counts in order of arrival. NULL losses are not improvements."""
 
 from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -15,25 +18,31 @@ OUT_SCHEMA = ("run long, step long, loss double, best_loss double, improved bool
 STATE_SCHEMA = "best double, cnt long, stopped boolean"
 
 
+def _evaluate(step: np.ndarray, loss: np.ndarray, best: float, count: int, patience: int, first_counted: int):
+    """Columns for a run's rows in step order, cut after the stop, from prefix minima."""
+    before = np.fmin.accumulate(np.r_[best, loss])[:-1]
+    improved = loss < before
+    counted = np.cumsum(~improved & (step >= first_counted))
+    # the count restarts at each improvement
+    since = np.maximum.accumulate(np.where(improved, counted, -count))
+    no_improve = counted - since
+    end = np.flatnonzero(no_improve >= patience)
+    n = int(end[0]) + 1 if len(end) else len(step)
+    return n, np.fmin(before, loss)[:n], improved[:n], no_improve[:n]
+
+
 def _make_fn(patience: int, skip_steps: int, start_step: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        run = key[0]
-        best, cnt, stopped = state.get if state.exists else (float("inf"), 0, False)
-        out = []
-        for pdf in pdfs:
-            for step, loss in pdf.sort_values("step")[["step", "loss"]].itertuples(index=False):
-                if stopped:
-                    break
-                improved = loss < best
-                if improved:
-                    best, cnt = loss, 0
-                elif step >= skip_steps + start_step:
-                    cnt += 1
-                stopped = cnt >= patience
-                out.append((run, int(step), float(loss), best, improved, cnt, stopped))
-        state.update((best, cnt, stopped))
-        if out:
-            yield pd.DataFrame(out, columns=["run", "step", "loss", "best_loss", "improved", "no_improve", "should_stop"])
+        best, count, stopped = state.get if state.exists else (float("inf"), 0, False)
+        rows = pd.concat(list(pdfs), ignore_index=True)  # all of the run's rows in the micro-batch
+        if stopped or not len(rows):
+            return
+        rows = rows.sort_values("step", kind="stable")
+        step, loss = rows["step"].to_numpy(), rows["loss"].to_numpy()
+        n, best_loss, improved, no_improve = _evaluate(step, loss, best, count, patience, skip_steps + start_step)
+        state.update((float(best_loss[-1]), int(no_improve[-1]), bool(no_improve[-1] >= patience)))
+        yield pd.DataFrame({"run": key[0], "step": step[:n], "loss": loss[:n], "best_loss": best_loss,
+                            "improved": improved, "no_improve": no_improve, "should_stop": no_improve >= patience})
 
     return fn
 
