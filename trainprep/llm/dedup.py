@@ -10,8 +10,8 @@ the threshold is dropped; the others are confirmed on the full sets.
 
 Candidates come without listing the pairs of a bucket: first every member is compared
 with the bucket's smallest and largest member. Components of the confirmed links are
-found, and only buckets that still hold several components are searched pair by pair,
-across components, in blocks of bounded size inside tasks.
+found, and only buckets that still hold several components are searched across
+components, in blocks of bounded size inside tasks that return joining links only.
 """
 
 from __future__ import annotations
@@ -234,35 +234,50 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _cross_pairs(members: DataFrame, kind: str, limit: int, percent: int) -> DataFrame:
-    """Pairs of different components inside a bucket that may reach the threshold by size
-    and sketch. Buckets are cut into blocks; a task holds two blocks at a time."""
-    blocks = F.ceil(F.col("n_members") / BLOCK)
-    spread = members.withColumn("__nb", blocks).withColumn("__k", F.pmod(F.xxhash64("id"), F.col("__nb")))
+def _cross_links(members: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links between different components inside a bucket, confirmed on the full sets.
+
+    Buckets are cut into blocks of bounded size and every two blocks of a bucket meet in
+    one task. A task looks at the pairs whose sizes and sketches allow a link, skips those
+    that its links so far have joined, and returns only links that join two components, so
+    its output is smaller than its input however many pairs are similar."""
+    blocks = F.greatest(F.ceil(F.col("n_members") / BLOCK), F.ceil(F.col("n_hashes") / (BLOCK * BLOCK)))
+    spread = members.withColumn("__nb", blocks).withColumn("k", F.pmod(F.xxhash64("id"), F.col("__nb")))
     spread = spread.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1)))
-    spread = spread.select("bucket", F.least("__k", "__o").alias("p"), F.greatest("__k", "__o").alias("q"), "__k",
-                           "id", "root", "n_shingles", "sketch")
+    spread = spread.select("bucket", F.least("k", "__o").alias("p"), F.greatest("k", "__o").alias("q"), "k",
+                           "id", "root", "sketch").join(sets, "id")
     spread = spread.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
 
     def compare(t: pa.Table):
-        k, size = t["__k"].to_numpy(), t["n_shingles"].to_numpy()
-        ids, root = t["id"].to_pylist(), t["root"].to_pylist()
-        names = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        root = np.array([names[r] for r in root])
+        t = t.combine_chunks()
+        k, p, q = (t[c].to_numpy() for c in "kpq")
+        ids, roots = t["id"].to_pylist(), t["root"].to_pylist()
+        column = t["set"].chunk(0)
+        cuts, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        size = np.diff(cuts)
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        same_block = t["p"][0].as_py() == t["q"][0].as_py()
-        left = np.flatnonzero(k == t["p"][0].as_py())
-        right = left if same_block else np.flatnonzero(k == t["q"][0].as_py())
-        a, b = [], []
+        names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        comp = np.array([names[r] for r in roots])
+        left = np.flatnonzero(k == p[0])
+        right = np.flatnonzero(k == q[0])
+        found = []
         for i in left:
-            r = right[right > i] if same_block else right
-            r = r[root[r] != root[i]]
+            r = right[right > i] if p[0] == q[0] else right
+            r = r[comp[r] != comp[i]]
             r = r[100 * np.minimum(size[r], size[i]) >= percent * np.maximum(size[r], size[i])]
-            if len(r):
-                r = r[np.bitwise_count(bits[r] ^ bits[i]).sum(axis=1) <= limit]
-                a += [ids[i]] * len(r)
-                b += [ids[j] for j in r]
-        return a, b
+            r = r[np.bitwise_count(bits[r] ^ bits[i]).sum(axis=1) <= limit]
+            own = np.sort(flat[cuts[i]:cuts[i + 1]])
+            for j in r:
+                if comp[j] == comp[i]:
+                    continue
+                both = len(np.intersect1d(own, flat[cuts[j]:cuts[j + 1]], assume_unique=True))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    comp[comp == comp[j]] = comp[i]
+                    found.append((ids[i], ids[j]))
+        return found
+
+    kind = members.schema["id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def run(batches):
         rest = None
@@ -277,15 +292,11 @@ def _cross_pairs(members: DataFrame, kind: str, limit: int, percent: int) -> Dat
         if rest is not None and len(rest):
             yield from emit(compare(rest))
 
-    typ = members.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[typ]
-
-    def emit(pairs):
-        if pairs[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], arrow), pa.array(pairs[1], arrow)], names=["x", "y"])
+    def emit(links):
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], arrow) for i in (0, 1)], names=["a", "b"])
 
-    return spread.mapInArrow(run, f"x {kind}, y {kind}").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return spread.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 RESULT = ("n_shingles", "component_id", "kept")
@@ -335,16 +346,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     roots = components(links)
 
     # buckets of up to three members are fully compared by now
-    large = members.where("n_members > 3").select("bucket", "id", "n_members")
-    rooted = (large.join(roots.withColumnRenamed("node", "id"), "id", "left")
-              .withColumn("root", F.coalesce("root", "id")))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("bucket")
-    open_ = rooted.join(mixed, "bucket").join(sized, "id")
-    more = stored(_cross_pairs(open_, kind, limit, percent).join(first, ["a", "b"], "left_anti"), "dedup-cross")
-    if not more.isEmpty():
-        again = stored(_confirmed(more, docs, key, text, width, percent), "dedup-edges")
-        if not again.isEmpty():
-            roots = components(links.union(again))
+    large = members.where("n_members > 3").select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    large = large.withColumn("root", F.coalesce("root", "id")).join(sized, "id")
+    mixed = (large.groupBy("bucket").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"),
+                                         F.count(F.lit(1)).alias("n_members"), F.sum("n_shingles").alias("n_hashes"))
+             .where("__lo <> __hi").drop("__lo", "__hi"))
+    open_ = stored(large.drop("n_shingles").join(mixed, "bucket"), "dedup-open")
+    if not open_.isEmpty():
+        sets = stored(_set_rows(docs, open_.select("id").distinct(), key, text, width), "dedup-sets")
+        more = stored(_cross_links(open_, sets, limit, percent), "dedup-edges")
+        if not more.isEmpty():
+            # the components so far stand for their links
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     found = (reps.select("fa", "fb", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
              .select("fa", "fb", F.coalesce("root", "id").alias("component_id")))
     out = rows.select("key", "n_shingles", "fa", "fb").join(found, ["fa", "fb"], "left")
