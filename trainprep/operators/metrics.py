@@ -31,10 +31,13 @@ def validation_loss(df: DataFrame, group_cols=("run",), loss_col: str = "loss",
 
 
 def masked_mean_loss(df: DataFrame, group_cols=("seq",), label_col: str = "label", logp_col: str = "logp",
-                     ignore_index: int = -100) -> DataFrame:
-    """Cross-entropy mean over positions whose label is not ``ignore_index``."""
-    return df.groupBy(*group_cols).agg(
-        F.avg(F.when(F.col(label_col) != ignore_index, -F.col(logp_col))).alias("loss"))
+                     ignore_index: int = -100, aux_col: str | None = None, n_layers: int = 1) -> DataFrame:
+    """Cross-entropy mean over positions whose label is not ``ignore_index``. ``aux_col``
+    holds auxiliary (routing) losses: their sum over ``n_layers`` is added."""
+    loss = F.avg(F.when(F.col(label_col) != ignore_index, -F.col(logp_col)))
+    if aux_col:
+        loss = loss + F.coalesce(F.sum(aux_col), F.lit(0)) / n_layers
+    return df.groupBy(*group_cols).agg(loss.alias("loss"))
 
 
 def early_stopping(df: DataFrame, patience: int, skip_steps: int = 0, start_step: int = 0,
@@ -90,28 +93,46 @@ def throughput(df: DataFrame, group_cols=("run",), tokens_col: str = "tokens", d
 TOKENS_PER_PARAM = {"pretrain": 20.0, "instruct": 0.3}
 
 
+def grad_accum_steps(total_batch_size: int, micro_batch: int, seq_len: int, world_size: int) -> int:
+    """Micro-steps per optimizer step; the tokens of a step must divide evenly."""
+    per_step = micro_batch * seq_len * world_size
+    if total_batch_size % per_step:
+        raise ValueError(f"{total_batch_size} tokens per step are no multiple of {micro_batch} x {seq_len} x {world_size}")
+    return total_batch_size // per_step
+
+
 def workload_summary(tokens: DataFrame, n_tokens_col: str, params: int, total_batch_size: int,
-                     max_steps: int, stage: str = "pretrain") -> DataFrame:
+                     max_steps: int = 0, stage: str = "pretrain", trainable_params: int | None = None,
+                     micro_batch: int | None = None, seq_len: int | None = None, world_size: int = 1) -> DataFrame:
     """One row: tokens needed for the model size (x20 pretrain, x0.3 SFT), steps
     needed, tokens per step, coverage ratio (2 digits) and heuristic booleans; other
-    stages report counts only."""
+    stages report counts only. Without ``max_steps`` the tokens decide: one pass over
+    them, rounded up. With a micro-batch the accumulation steps are given, or an error
+    when the batch cannot be divided."""
     total = F.sum(F.col(n_tokens_col)).cast("bigint")
     base = tokens.agg(total.alias("total_tokens")).withColumn("model_params_count", F.lit(params).cast("bigint"))
+    base = base.withColumn("model_trainable_params_count",
+                           F.lit(params if trainable_params is None else trainable_params).cast("bigint"))
+    steps = F.lit(max_steps) if max_steps > 0 else F.ceil(F.col("total_tokens") / total_batch_size)
+    base = base.withColumn("max_steps", steps.cast("bigint"))
+    if micro_batch:
+        n = grad_accum_steps(total_batch_size, micro_batch, seq_len, world_size)
+        base = base.withColumn("grad_accum_steps", F.lit(n).cast("bigint"))
     if stage not in ("pretrain", "instruct"):
         return base
     m = TOKENS_PER_PARAM[stage]
     need = int(params * m)
-    steps = math.ceil(need / total_batch_size)
-    cover = max_steps * total_batch_size
+    wanted = math.ceil(need / total_batch_size)
+    cover = F.col("max_steps") * total_batch_size
     return (base.withColumn("m_factor", F.lit(m))
             .withColumn("tokens_required_for_model_size", F.lit(need).cast("bigint"))
             .withColumn("dataset_covers_heuristic", F.col("total_tokens") >= need)
-            .withColumn("steps_needed_for_target", F.lit(steps).cast("bigint"))
+            .withColumn("steps_needed_for_target", F.lit(wanted).cast("bigint"))
             .withColumn("tokens_per_step", F.lit(total_batch_size).cast("bigint"))
-            .withColumn("tokens_processed_this_run", F.lit(cover).cast("bigint"))
+            .withColumn("tokens_processed_this_run", cover.cast("bigint"))
             .withColumn("dataset_coverage_ratio",
-                        F.when(F.col("total_tokens") > 0, F.round(F.lit(cover) / F.col("total_tokens"), 2)))
-            .withColumn("max_steps_covers_heuristic", F.lit(max_steps >= steps)))
+                        F.when(F.col("total_tokens") > 0, F.round(cover / F.col("total_tokens"), 2)))
+            .withColumn("max_steps_covers_heuristic", F.col("max_steps") >= wanted))
 
 
 # ---------------------------------------------------------------- expert routing
@@ -120,7 +141,7 @@ def routing_counts(scores: DataFrame, n_experts: int, top_k: int, layer_col: str
                    token_col: str = "token", expert_col: str = "expert", logit_col: str = "logit") -> DataFrame:
     """Per layer and expert: top-1 count, top-k count, probability sum (softmax over
     all experts of a token), and the layer's token count. The window covers one
-    token's experts only; a left join to the full expert list keeps zero rows."""
+    token's experts only; experts that no token reached have zero counts."""
     wt = Window.partitionBy(layer_col, token_col)
     ranked = (scores
               .withColumn("__rn", F.row_number().over(wt.orderBy(F.col(logit_col).desc(), F.col(expert_col))))
@@ -131,12 +152,15 @@ def routing_counts(scores: DataFrame, n_experts: int, top_k: int, layer_col: str
         F.count(F.when(F.col("__rn") == 1, 1)).alias("c1"),
         F.count(F.when(F.col("__rn") <= top_k, 1)).alias("ck"),
         F.sum("__p").alias("p_sum"))
-    tokens = scores.groupBy(layer_col).agg(F.countDistinct(token_col).alias("n_tokens"))
-    experts = tokens.select(layer_col, "n_tokens", F.explode(F.sequence(F.lit(0), F.lit(n_experts - 1))).alias(expert_col))
-    return (experts.join(per, [layer_col, expert_col], "left")
-            .select(layer_col, expert_col, F.coalesce("c1", F.lit(0)).cast("bigint").alias("c1"),
-                    F.coalesce("ck", F.lit(0)).cast("bigint").alias("ck"),
-                    F.coalesce("p_sum", F.lit(0.0)).alias("p_sum"), "n_tokens"))
+    # one row per layer with its experts, at most n_experts; every token has one top-1
+    layers = per.groupBy(layer_col).agg(
+        F.sum("c1").alias("n_tokens"),
+        F.map_from_entries(F.collect_list(F.struct(F.col(expert_col).cast("int"), F.struct("c1", "ck", "p_sum")))).alias("__per"))
+    every = layers.select(layer_col, "n_tokens", "__per", F.explode(F.sequence(F.lit(0), F.lit(n_experts - 1))).alias(expert_col))
+    got = F.col("__per")[F.col(expert_col)]
+    return every.select(layer_col, expert_col, F.coalesce(got["c1"], F.lit(0)).cast("bigint").alias("c1"),
+                        F.coalesce(got["ck"], F.lit(0)).cast("bigint").alias("ck"),
+                        F.coalesce(got["p_sum"], F.lit(0.0)).alias("p_sum"), "n_tokens")
 
 
 def routing_utilisation(counts: DataFrame, layer_col: str = "layer") -> DataFrame:
@@ -172,6 +196,7 @@ def routing_summary(util: DataFrame, layer_col: str = "layer") -> DataFrame:
             F.avg(eff).alias(f"{tag}_eff_experts_mean"), F.min(eff).alias(f"{tag}_eff_experts_min"),
             F.avg(ms).alias(f"{tag}_max_share_mean"), F.max(ms).alias(f"{tag}_max_share_max"),
             F.sum(dead).cast("bigint").alias(f"{tag}_dead_experts_sum"),
+            F.max(dead).cast("bigint").alias(f"{tag}_dead_experts_max"),
             F.avg(cv).alias(f"{tag}_cv_mean"), F.max(cv).alias(f"{tag}_cv_max"),
             F.min_by(L, F.struct(eff, L)).alias(f"{tag}_worst_eff_layer"),
             F.max_by(L, F.struct(ms, -L)).alias(f"{tag}_worst_max_share_layer"),
@@ -193,15 +218,16 @@ def routing_losses(scores: DataFrame, n_experts: int, top_k: int, lb_coef: float
          .withColumn("__m", F.max(logit_col).over(wt)))
     s = s.withColumn("__e", F.exp(F.col(logit_col) - F.col("__m")))
     s = s.withColumn("__se", F.sum("__e").over(wt)).withColumn("__p", F.col("__e") / F.col("__se"))
-    per_e = s.groupBy(layer_col, expert_col).agg(F.count(F.when(F.col("__rn") <= top_k, 1)).alias("__ck"),
-                                                 F.sum("__p").alias("__ps"))
-    per_t = s.groupBy(layer_col, token_col).agg((F.first("__m") + F.log(F.first("__se"))).alias("__lse"))
-    zl = per_t.groupBy(layer_col).agg(F.count(F.lit(1)).alias("__n"), F.avg(F.col("__lse") ** 2).alias("__z"))
-    j = per_e.join(zl, layer_col)
-    return j.groupBy(layer_col).agg(
-        (lb_coef * n_experts * F.sum((F.col("__ck") / F.greatest(F.col("__n") * top_k, F.lit(1)))
-                                     * (F.col("__ps") / F.col("__n")))).alias("load_balance_loss"),
-        (z_coef * F.first("__z")).alias("z_loss"))
+    # a token's logsumexp rides on its top row, so one pass gives both losses
+    top = F.col("__rn") == 1
+    lse = F.col("__m") + F.log("__se")
+    per = s.groupBy(layer_col, expert_col).agg(
+        F.count(F.when(F.col("__rn") <= top_k, 1)).alias("__ck"), F.sum("__p").alias("__ps"),
+        F.count(F.when(top, 1)).alias("__n"), F.sum(F.when(top, lse * lse)).alias("__z"))
+    n = F.sum("__n")
+    return per.groupBy(layer_col).agg(
+        (lb_coef * n_experts * F.sum(F.col("__ck") * F.col("__ps")) / (F.greatest(n * top_k, F.lit(1)) * n)).alias("load_balance_loss"),
+        (z_coef * F.sum("__z") / n).alias("z_loss"))
 
 
 # ---------------------------------------------------------------- preference and distillation
@@ -250,7 +276,8 @@ def distillation_kl(teacher: DataFrame, student: DataFrame, temperature: float =
         return d.select(row_col, token_col, (F.col("__x") - F.col("__lse")).alias(name))
 
     j = logsoft(teacher, "lt").join(logsoft(student, "ls"), [row_col, token_col])
-    return j.agg((F.sum(F.exp("lt") * (F.col("lt") - F.col("ls"))) / F.countDistinct(row_col) * (T * T)).alias("kl"))
+    rows = j.groupBy(row_col).agg(F.sum(F.exp("lt") * (F.col("lt") - F.col("ls"))).alias("__kl"))
+    return rows.agg((F.sum("__kl") / F.count(F.lit(1)) * (T * T)).alias("kl"))
 
 
 def fold_names(names: DataFrame, name_col: str = "name", pos_col: str = "pos") -> DataFrame:
@@ -260,6 +287,25 @@ def fold_names(names: DataFrame, name_col: str = "name", pos_col: str = "pos") -
     return folded.groupBy("folded").agg(F.min(pos_col).alias("first_pos"))
 
 
+# The columns that a step record of each type adds to its metrics.
+STEP_COLUMNS = {
+    "train": ["Learning rate (adamw)", "Learning rate (muon)", "Norm", "Step time (seconds)", "Tokens (per sec)",
+              "Peak Alloc MiB", "Peak Reserved MiB", "Alloc MiB", "Reserved MiB"],
+    "val": ["Validation Loss"],
+    "choice": [],  # one "<set> accuracy" column per item set, given by name
+}
+
+
+def step_records(metrics: DataFrame, step_type: str, names=(), key_cols=("run", "step"),
+                 type_col: str = "step_type", metric_col: str = "metric", value_col: str = "value") -> DataFrame:
+    """Wide records of the steps of one type: its fixed columns and further metric
+    ``names`` (routing statistics, further losses), NULL where a step has no value."""
+    if step_type not in STEP_COLUMNS:
+        raise ValueError(f"no such step type: {step_type}")
+    rows = metrics.where(F.col(type_col) == step_type)
+    return to_wide(rows, key_cols, metric_col, value_col, [*STEP_COLUMNS[step_type], *names])
+
+
 def to_wide(metrics: DataFrame, key_cols=("run", "step"), metric_col: str = "metric",
             value_col: str = "value", names=None) -> DataFrame:
     """Long metric rows to one wide record per step (``write_metrics``)."""

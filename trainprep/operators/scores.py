@@ -39,12 +39,10 @@ def sample_one(df: DataFrame, seed: int, seq_col: str = "seq", token_col: str =
     w = Window.partitionBy(seq_col).orderBy(F.col(prob_col).desc(), F.col(token_col))
     d = df.withColumn("__cum", F.sum(prob_col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     d = d.withColumn("__u", h60_unit(seed, F.col(seq_col)))
-    hit = d.where(F.col("__cum") >= F.col("__u"))
-    last = d  # rounding: if no cumulative value reaches u, the last token is taken
-    first_hit = hit.groupBy(seq_col).agg(F.min_by(token_col, F.struct("__cum", token_col)).alias("__t"))
-    fallback = last.groupBy(seq_col).agg(F.max_by(token_col, F.struct("__cum", F.col(token_col))).alias("__f"))
-    return fallback.join(first_hit, seq_col, "left").select(
-        seq_col, F.coalesce("__t", "__f").alias("token"))
+    place = F.struct("__cum", token_col)
+    # the first token that reaches u; rounding may leave none, then the last token
+    reached = F.min_by(token_col, F.when(F.col("__cum") >= F.col("__u"), place))
+    return d.groupBy(seq_col).agg(F.coalesce(reached, F.max_by(token_col, place)).alias("token"))
 
 
 def greedy(df: DataFrame, seq_col: str = "seq", token_col: str = "token", logit_col: str = "logit") -> DataFrame:
@@ -74,11 +72,29 @@ def ngram_bans(tokens: Column, n: int) -> Column:
     if n <= 1:
         return F.slice(t, 1, 0)
     size = F.size(t)
-    starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-    offs = F.sequence(F.lit(0), F.lit(n - 2))
-    hit = F.filter(starts, lambda i: (size >= n) & F.forall(
-        offs, lambda j: F.element_at(t, i + j) == F.element_at(t, size - (n - 2) + j)))
-    return F.array_distinct(F.transform(hit, lambda i: F.element_at(t, i + n - 1)))
+    # n is known here: the prefix is compared by n - 1 written-out equalities
+    prefix = [F.element_at(t, size - (n - 2) + j) for j in range(n - 1)]
+    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+
+    def same(i):
+        hit = F.element_at(t, i) == prefix[0]
+        for j in range(1, n - 1):
+            hit = hit & (F.element_at(t, i + j) == prefix[j])
+        return hit
+
+    return F.array_distinct(F.transform(F.filter(starts, same), lambda i: F.element_at(t, i + (n - 1))))
+
+
+def corpus_ngrams(docs: DataFrame, n: int, id_col: str = "doc_id", tokens_col: str = "tokens", min_count: int = 2) -> DataFrame:
+    """N-grams that occur at least ``min_count`` times in the corpus: gram (tokens joined by
+    a space), n and n_docs. Counts are summed per document before the shuffle of grams, so
+    a gram that is everywhere meets as one row per task."""
+    t = F.col(tokens_col)
+    grams = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                                               lambda i: F.array_join(F.slice(t, i, n), " ")))
+    per_doc = docs.select(id_col, F.explode(grams).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return (per_doc.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+            .where(F.col("n") >= min_count))
 
 
 def apply_ngram_bans(scores: DataFrame, bans: DataFrame, seq_col: str = "seq", token_col: str = "token",

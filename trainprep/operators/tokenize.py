@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainprep.operators.tokenizers import (PRETOKENIZE_PATTERN, get_tokenizer,
-                                            special_token_list)
+                                            special_token_list, tokenizer_data)
 
 # Default system prompt and label ignore index.
 DEFAULT_SYSTEM_PROMPT = "You are a helpful AI assistant"
@@ -33,9 +33,11 @@ def int_array(values) -> Column:
 def encode_col(col, tokenizer: str = "bytes") -> Column:
     """string -> array<int> token ids (no specials added)."""
 
+    data = tokenizer_data(tokenizer)
+
     @F.arrow_udf("array<int>")
     def _enc(texts: pa.Array) -> pa.Array:
-        return get_tokenizer(tokenizer).encode_arrow(texts)
+        return get_tokenizer(tokenizer, data).encode_arrow(texts)
 
     return _enc(_c(col))
 
@@ -43,11 +45,13 @@ def encode_col(col, tokenizer: str = "bytes") -> Column:
 def encode_many_col(col, tokenizer: str = "bytes") -> Column:
     """array<string> -> array<array<int>>, each element encoded by itself."""
 
+    data = tokenizer_data(tokenizer)
+
     @F.arrow_udf("array<array<int>>")
     def _enc_many(lists: pa.Array) -> pa.Array:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
-        inner = get_tokenizer(tokenizer).encode_arrow(lists.flatten())
+        inner = get_tokenizer(tokenizer, data).encode_arrow(lists.flatten())
         offs = lists.offsets.to_numpy()
         offs = pa.array((offs - offs[0]).astype("int32"), pa.int32())
         mask = lists.is_null() if lists.null_count else None
@@ -59,9 +63,11 @@ def encode_many_col(col, tokenizer: str = "bytes") -> Column:
 def decode_col(col, tokenizer: str = "bytes") -> Column:
     """array<int> -> string; special ids are rendered by name."""
 
+    data = tokenizer_data(tokenizer)
+
     @F.arrow_udf("string")
     def _dec(ids: pa.Array) -> pa.Array:
-        return get_tokenizer(tokenizer).decode_arrow(ids)
+        return get_tokenizer(tokenizer, data).decode_arrow(ids)
 
     return _dec(_c(col))
 
@@ -117,6 +123,13 @@ def _system_part(tok, system_prompt: str) -> list[int]:
             + tok.encode("\n" + system_prompt) + [tok.eot_id])
 
 
+def _filled(conv: Column) -> Column:
+    """Turns with empty strings for NULL roles and contents."""
+    turns = F.coalesce(conv, F.array().cast("array<struct<role:string,content:string>>"))
+    return F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"),
+                                                 F.coalesce(t["content"], F.lit("")).alias("content")))
+
+
 def encode_chat(df: DataFrame, conv_col: str = "conversation", tokenizer: str = "bytes",
                 system_prompt: str = DEFAULT_SYSTEM_PROMPT,
                 ignore_index: int = IGNORE_INDEX) -> DataFrame:
@@ -125,11 +138,12 @@ def encode_chat(df: DataFrame, conv_col: str = "conversation", tokenizer: str =
     ``input_ids`` = bos sh "system" eh "\\n"+prompt eot, then per turn
     sh role eh "\\n" content eot. ``labels`` carry the ids of assistant content and its
     eot, ``ignore_index`` elsewhere, shifted left by one with ``ignore_index`` last.
+    A NULL role or content is an empty one; a NULL conversation has no turns.
     """
     tok = get_tokenizer(tokenizer)
     head = _system_part(tok, system_prompt)
     nl = tok.encode("\n")
-    conv = F.col(conv_col)
+    conv = _filled(F.col(conv_col))
     enc = encode_many_col(F.flatten(F.transform(conv, lambda t: F.array(t["role"], t["content"]))),
                           tokenizer)
     df = df.withColumn("__enc", enc)
@@ -164,9 +178,9 @@ def encode_preference(df: DataFrame, prompt_col: str = "prompt", chosen_col: str
     tok = get_tokenizer(tokenizer)
     head = _system_part(tok, system_prompt)
     nl = tok.encode("\n")
-    prompt = F.col(prompt_col)
+    prompt = _filled(F.col(prompt_col))
     strings = F.concat(F.flatten(F.transform(prompt, lambda t: F.array(t["role"], t["content"]))),
-                       F.array(F.col(chosen_col), F.col(rejected_col)))
+                       F.array(F.coalesce(F.col(chosen_col), F.lit("")), F.coalesce(F.col(rejected_col), F.lit(""))))
     df = df.withColumn("__enc", encode_many_col(strings, tokenizer))
     n = F.size(prompt)
 

@@ -1,4 +1,9 @@
-"""Feeding pretraining batches from stored shards.
+"""Feeding batches from stored shards and from stored examples.
+
+Chat and preference examples: a seeded order of the epoch, even shares of the ranks,
+batches of ``B`` rows, padding to the batch, and a first batch to go on from.
+
+Pretraining shards:
 
 For an epoch: shards in a seeded order; inside each shard, blocks of S+1 tokens;
 batch ``j`` of rank ``r`` is blocks ``(j*P + r)*B .. +B-1`` of the shard; a shard
@@ -14,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trainprep.functions.order import prefix_sum
+from trainprep.operators import batch
 from trainprep.operators.pack import assign_ranks, blocks_per_shard, pack_blocks, shuffle_shards
 
 
@@ -39,3 +45,32 @@ def pretraining_batches(shards: DataFrame, seq_len: int, batch_size: int, world_
     fed = fed.where(F.col("step") < F.col("__count"))
     return fed.select("split", "rank", (F.col("__offset") + F.col("step")).alias("global_step"), "row",
                       "epoch_pos", "shard", "block", "x", "y")
+
+
+def _example_batches(examples: DataFrame, id_col: str, batch_size: int, world_size: int, seed: int, epoch: int,
+                     shuffle: bool, first_batch: int) -> DataFrame:
+    """Examples with rank, batch and row. In training (``shuffle``) a rank's last short
+    batch is dropped; ``first_batch`` skips the batches that every rank has had."""
+    n = examples.count()  # a count of the ids; no tokens are read
+    placed = batch.epoch_order(examples, id_col, seed, epoch, shuffle, n_rows=n)
+    shared = batch.assign_examples(placed, n, world_size)
+    rows = batch.batch_examples(shared, batch_size, n, world_size, drop_last=shuffle)
+    return rows.where(F.col("batch") >= first_batch).withColumn("row", (F.col("local_pos") % batch_size).cast("int"))
+
+
+def chat_batches(examples: DataFrame, id_col: str, seq_len: int, batch_size: int, world_size: int, pad_id: int,
+                 seed: int = 0, epoch: int = 0, shuffle: bool = True, first_batch: int = 0) -> DataFrame:
+    """Rows rank, batch, row, ``id_col``, padded input_ids and labels, valid_tokens."""
+    rows = _example_batches(examples, id_col, batch_size, world_size, seed, epoch, shuffle, first_batch)
+    rows = rows.withColumn("valid_tokens", batch.valid_tokens("labels"))
+    return batch.pad_batch(rows, seq_len, pad_id).select("rank", "batch", "row", id_col, "input_ids", "labels", "valid_tokens")
+
+
+def preference_batches(examples: DataFrame, id_col: str, seq_len: int, batch_size: int, world_size: int, pad_id: int,
+                       seed: int = 0, epoch: int = 0, shuffle: bool = True, first_batch: int = 0) -> DataFrame:
+    """Rows rank, batch, row, ``id_col``, the three padded id columns, and the tokens
+    processed for the triple."""
+    rows = _example_batches(examples, id_col, batch_size, world_size, seed, epoch, shuffle, first_batch)
+    rows = rows.withColumn("processed", batch.processed_tokens_dpo())
+    return batch.pad_preference_batch(rows, seq_len, pad_id).select(
+        "rank", "batch", "row", id_col, "prompt_input_ids", "chosen_input_ids", "rejected_input_ids", "processed")

@@ -16,10 +16,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainprep.operators import mix, normalize as nz, tokenize
+from trainprep.operators import choice, mix, normalize as nz, tokenize
 from trainprep.operators.pack import check_shard_sequence, stored_tokens
 from trainprep.plans.pretrain import place_documents
-from trainprep.sources.io import SourceRegistry, is_directory, read_token_shards, write_examples, write_token_shards
+from trainprep.sources.io import (SourceRegistry, is_directory, read_choice_jsonl, read_token_shards,
+                                  write_choice_jsonl, write_examples, write_token_shards)
 
 # Fixed value: 1 % validation share of the exact split.
 VAL_FRACTION = 0.01
@@ -155,3 +156,26 @@ def prepare_preference(spark: SparkSession, spec: dict, registry: SourceRegistry
             "source", order_col, "mix_pos", "prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
 
     return _finish_examples(spark, _sources(spark, m, registry, order_col, prepare, strict), m, order_col, out_path, mode, encode)
+
+
+def prepare_choice(spark: SparkSession, registry: SourceRegistry, out_path: str, kind: str,
+                   tokenizer: str = "bytes", size: int | None = None, strict: bool = False) -> DataFrame:
+    """Multiple-choice sources -> one JSON-lines folder ``<out>/<label>`` per source,
+    written once: an existing folder stays as it is. ``kind`` is ``completion`` or
+    ``blank``; ``size`` takes the first items by id. Returns items and choices per
+    source, read back."""
+    prepare = {"completion": choice.prepare_completion_choice, "blank": choice.prepare_blank_choice}[kind]
+    parts = []
+    for source, names in registry.supported().items():
+        for name in names:
+            label = mix.MixEntry(source, name, 1.0).label
+            df = registry.read(spark, source, name)
+            if "item_id" not in df.columns:
+                df = df.withColumn("item_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+            df = df.withColumn("item_id", F.col("item_id").cast("bigint"))
+            if size:
+                df = nz.take_first(df, size, "item_id", strict=strict)
+            path = f"{out_path.rstrip('/')}/{label}"
+            write_choice_jsonl(prepare(df, tokenizer=tokenizer), path)
+            parts.append(read_choice_jsonl(spark, path).select(F.lit(label).alias("source"), F.size("tokens").alias("n")))
+    return _union(parts).groupBy("source").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_choices"))

@@ -11,7 +11,31 @@ SEED = 42
 _OPTS = ", ".join(f"'{o}'" for o in nz.DEFAULT_NAME_OPTIONS)
 _BSUM = "list_sum(list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda b: ('0x'||b)::INT))"
 HEAD_LEN = 41      # bos sh "system" eh "\n"+prompt eot with byte tokens
-HEAD_SUM = 4495    # sum of those ids
+
+# Byte ids of a text in DuckDB, and the ids of the parts of the template.
+_BY = "coalesce(list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda b: ('0x'||b)::INT), [])"
+_HEAD = ("list_concat([256, 262], " + _BY.format(t="'system'") + ", [263], "
+         + _BY.format(t="chr(10) || '" + tokenize.DEFAULT_SYSTEM_PROMPT.replace("'", "''") + "'") + ", [265])")
+
+
+def _turns(roles: str, contents: str) -> str:
+    """Ids of all turns, role header and closing id included."""
+    one = (f"list_concat([262], {_BY.format(t=f'{roles}[i]')}, [263, 10], {_BY.format(t=f'{contents}[i]')}, [265])")
+    return f"flatten(list_transform(range(1, len({roles}) + 1), lambda i: {one}))"
+
+
+def _answer(text: str) -> str:
+    return f"list_concat([262], {_BY.format(t=chr(39) + 'assistant' + chr(39))}, [263, 10], {_BY.format(t=text)}, [265])"
+
+
+def _labels(roles: str, contents: str) -> str:
+    """Labels before the shift: ids of assistant content and its closing id, else -100."""
+    off = lambda n: f"list_transform(range(0, {n}), lambda k: -100)"
+    head = f"3 + strlen({roles}[i])"
+    one = (f"CASE WHEN {roles}[i] = 'assistant' THEN list_concat({off(head)}, {_BY.format(t=f'{contents}[i]')}, [265]) "
+           f"ELSE {off(f'{head} + strlen({contents}[i]) + 1')} END")
+    return f"list_concat({off(HEAD_LEN)}, flatten(list_transform(range(1, len({roles}) + 1), lambda i: {one})))"
+
 
 
 def convs(spark, sf, max_turns=None):
@@ -69,21 +93,12 @@ def q_normalize_sft(spark, sf):
 
 
 @query("encode_chat", _SFT + f"""
-SELECT conv_id, ({HEAD_LEN} + sum(4 + strlen(role) + strlen(content)))::BIGINT AS n_ids,
-  sum(CASE WHEN role = 'assistant' THEN strlen(content) + 1 ELSE 0 END)::BIGINT AS n_valid,
-  ({HEAD_SUM} + sum(262 + 263 + 10 + 265 + {_BSUM.format(t='role')} + coalesce({_BSUM.format(t='content')}, 0)))::BIGINT AS id_sum,
-  true AS aligned
-FROM ft GROUP BY conv_id
+, e AS (SELECT conv_id, list_concat({_HEAD}, {_turns('roles', 'contents')}) AS input_ids, {_labels('roles', 'contents')} AS raw FROM s)
+SELECT conv_id, input_ids, list_concat(raw[2:], [-100]) AS labels FROM e
 """)
 def q_encode_chat(spark, sf):
-    e = tokenize.encode_chat(sft(spark, sf))
-    aligned = F.forall(F.sequence(F.lit(1), F.size("input_ids") - 1),
-                       lambda i: (F.element_at("labels", i) == -100) |
-                                 (F.element_at("labels", i) == F.element_at("input_ids", i + 1)))
-    return e.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"),
-                    batch.valid_tokens("labels").cast("bigint").alias("n_valid"),
-                    F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("id_sum"),
-                    aligned.alias("aligned"))
+    """Ids and labels of every conversation."""
+    return tokenize.encode_chat(sft(spark, sf)).select("conv_id", "input_ids", "labels")
 
 
 _PH = f"""WITH t AS (SELECT conv_id, turn, text || ' NAME_' || (turn + 1) || ' NAME_' || (turn + 10) AS content
@@ -179,27 +194,20 @@ def q_normalize_dpo(spark, sf):
                     F.transform("prompt", lambda x: x["content"]).alias("contents"), "chosen", "rejected")
 
 
-@query("non_empty_prompt", _TRIPLE + "SELECT count(*) FILTER (WHERE len(pr) > 0) AS kept, count(*) FILTER (WHERE len(pr) = 0) AS dropped FROM tr")
+@query("non_empty_prompt", _TRIPLE + "SELECT conv_id AS pair_id, len(pr) AS n_turns FROM tr WHERE len(pr) > 0")
 def q_non_empty_prompt(spark, sf):
-    t = nz.preference_triple(pairs(spark, sf))
-    return t.agg(F.count(F.when(F.size("prompt") > 0, 1)).alias("kept"),
-                 F.count(F.when(F.size("prompt") == 0, 1)).alias("dropped"))
+    t = nz.non_empty_prompt(nz.preference_triple(pairs(spark, sf)))
+    return t.select("pair_id", F.size("prompt").cast("bigint").alias("n_turns"))
 
 
 @query("encode_preference", _DPO + f"""
-, ft AS (SELECT conv_id, unnest(pr) AS role, unnest(pt) AS content FROM u)
-, pl AS (SELECT conv_id, {HEAD_LEN} + sum(4 + strlen(role) + strlen(content)) AS n_prompt FROM ft GROUP BY conv_id)
-SELECT conv_id AS pair_id, n_prompt::BIGINT AS n_prompt, (13 + strlen(chosen))::BIGINT AS n_chosen,
-       (13 + strlen(rejected))::BIGINT AS n_rejected,
-       (4 * n_prompt + 2 * (13 + strlen(chosen)) + 2 * (13 + strlen(rejected)))::BIGINT AS processed
-FROM u JOIN pl USING (conv_id)
+SELECT conv_id AS pair_id, list_concat({_HEAD}, {_turns('pr', 'pt')}) AS prompt_input_ids,
+       {_answer('chosen')} AS chosen_input_ids, {_answer('rejected')} AS rejected_input_ids FROM u
 """)
 def q_encode_preference(spark, sf):
+    """Ids of prompt, chosen and rejected answer of every pair."""
     e = tokenize.encode_preference(nz.normalize_dpo(pairs(spark, sf)))
-    return e.select("pair_id", F.size("prompt_input_ids").cast("bigint").alias("n_prompt"),
-                    F.size("chosen_input_ids").cast("bigint").alias("n_chosen"),
-                    F.size("rejected_input_ids").cast("bigint").alias("n_rejected"),
-                    batch.processed_tokens_dpo().cast("bigint").alias("processed"))
+    return e.select("pair_id", "prompt_input_ids", "chosen_input_ids", "rejected_input_ids")
 
 
 # ---------------------------------------------------------------- example batches
@@ -311,3 +319,43 @@ def q_pad_preference_batch(spark, sf):
                     F.size("prompt_input_ids").alias("w_prompt"), real("prompt_input_ids").alias("real_prompt"),
                     F.size("chosen_input_ids").alias("w_chosen"), real("chosen_input_ids").alias("real_chosen"),
                     F.size("rejected_input_ids").alias("w_rejected"), real("rejected_input_ids").alias("real_rejected"))
+
+
+@query("feed_chat_examples", _EX + f"""
+, x AS (SELECT conv_id, list_concat({_HEAD}, {_turns('roles', 'contents')}) AS ids FROM s)
+, b AS (SELECT asg.*, x.ids, local_pos // 4 AS batch, max(n_ids) OVER (PARTITION BY rank, local_pos // 4) AS L FROM asg JOIN x USING (conv_id))
+SELECT rank::INT AS rank, batch, (local_pos % 4)::INT AS row, conv_id,
+  list_concat(ids, list_transform(range(0, L - n_ids), lambda k: 258))[greatest(L - 256, 0) + 1:] AS input_ids
+FROM b WHERE local_pos < floor(ceil(n / 3) / 4) * 4 AND batch >= 2
+""")
+def q_feed_chat(spark, sf):
+    """Chat examples written, read back and fed to 3 ranks in batches of 4 rows of at most
+    256 tokens, epoch 1, continued after batch 1 of every rank."""
+    from trainprep.plans.feed import chat_batches
+    from trainprep.sources.io import read_examples, scratch_path, write_examples
+
+    path = scratch_path(spark, "feed-chat")
+    write_examples(tokenize.encode_chat(sft(spark, sf)).select("conv_id", "input_ids", "labels").withColumn("split", F.lit("train")), path)
+    fed = chat_batches(read_examples(spark, path, "train"), "conv_id", 256, 4, 3, 258, seed=SEED, epoch=1, first_batch=2)
+    return fed.select("rank", "batch", "row", "conv_id", "input_ids")
+
+
+@query("feed_preference_examples", _DPO_EX + """
+SELECT rank::INT AS rank, batch, (local_pos % 4)::INT AS row, conv_id AS pair_id, least(lp, 128)::INT AS w_prompt,
+  greatest(0, np - greatest(lp - 128, 0))::INT AS real_prompt, least(lc, 128)::INT AS w_chosen, least(lr, 128)::INT AS w_rejected,
+  (4 * np + 2 * nc + 2 * nr)::BIGINT AS processed
+FROM b WHERE local_pos < floor(ceil(n / 3) / 4) * 4
+""")
+def q_feed_preference(spark, sf):
+    """Preference examples written, read back and fed to 3 ranks in batches of 4."""
+    from trainprep.plans.feed import preference_batches
+    from trainprep.sources.io import read_examples, scratch_path, write_examples
+
+    e = tokenize.encode_preference(nz.normalize_dpo(pairs(spark, sf)))
+    path = scratch_path(spark, "feed-dpo")
+    write_examples(e.select("pair_id", "prompt_input_ids", "chosen_input_ids", "rejected_input_ids").withColumn("split", F.lit("train")), path)
+    fed = preference_batches(read_examples(spark, path, "train"), "pair_id", 128, 4, 3, 258, seed=SEED, epoch=0)
+    return fed.select("rank", "batch", "row", "pair_id", F.size("prompt_input_ids").alias("w_prompt"),
+                      F.size(F.filter("prompt_input_ids", lambda x: x != 258)).alias("real_prompt"),
+                      F.size("chosen_input_ids").alias("w_chosen"), F.size("rejected_input_ids").alias("w_rejected"),
+                      F.col("processed").cast("bigint").alias("processed"))

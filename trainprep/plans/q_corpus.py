@@ -23,6 +23,14 @@ def _slices(spark, sf):
     return place_documents(table(spark, sf, "documents"), seed=SEED, shard_size=SHARD)
 
 
+def _stored_slices(spark, sf):
+    from trainprep.sources.io import read_token_shards, scratch_path, write_token_shards
+
+    path = scratch_path(spark, "blocks")
+    write_token_shards(_slices(spark, sf), path)
+    return read_token_shards(spark, path)
+
+
 _ORACLE_TOKENS = f"""
 WITH d AS (SELECT doc_id, text, {_SPLIT} AS split, strlen(text) + 1 AS n FROM documents),
 o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY split ORDER BY doc_id
@@ -203,7 +211,8 @@ SELECT split, shard, block,
 FROM b GROUP BY 1, 2, 3
 """)
 def q_pack_blocks(spark, sf):
-    return pack.pack_blocks(_slices(spark, sf), SEQ)
+    """Shards are written first; only blocks across slice borders are shuffled."""
+    return pack.pack_blocks(_stored_slices(spark, sf), SEQ, stored_input=True)
 
 
 @query("assign_ranks", _BLOCKS_ORACLE + f"""
@@ -214,7 +223,7 @@ FROM bl GROUP BY 1, 2, 3
 """)
 def q_assign_ranks(spark, sf):
     """B=4 blocks per batch, P=3 ranks: per shard and rank, blocks and step range."""
-    r = pack.assign_ranks(pack.pack_blocks(_slices(spark, sf), SEQ), 4, 3)
+    r = pack.assign_ranks(pack.pack_blocks(_stored_slices(spark, sf), SEQ, stored_input=True), 4, 3)
     return r.groupBy("split", "shard", "rank").agg(F.count(F.lit(1)).alias("n_blocks"),
                                                    F.min("step").alias("first_step"),
                                                    F.max("step").alias("last_step"))
@@ -255,8 +264,8 @@ GROUP BY 1, 2
 """)
 def q_resume_blocks(spark, sf):
     """Blocks left after position (shard 2 of the epoch order, block 100)."""
-    sl = _slices(spark, sf)
-    blocks = pack.pack_blocks(sl, SEQ)
+    sl = _stored_slices(spark, sf)
+    blocks = pack.pack_blocks(sl, SEQ, stored_input=True)
     order = pack.shuffle_shards(sl, SEED, 0)
     r = pack.resume_blocks(blocks, order, 2, 100)
     return r.groupBy("split", "epoch_pos").agg(F.count(F.lit(1)).alias("n_blocks"),

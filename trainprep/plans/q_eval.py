@@ -20,18 +20,18 @@ def r6(c):
 # ---------------------------------------------------------------- choice items
 
 def completion_items(spark, sf):
-    """Completion items cut from ``benchmark``: context = first sentence, endings =
-    the next two sentences plus the last one; label = item_id mod count."""
+    """Completion items cut from ``benchmark``: context = first sentence, endings = all
+    others (the sentence itself where it is the only one); label = item_id mod count."""
     b = table(spark, sf, "benchmark")
     parts = F.split("text", r"\. ", -1)
     ctx = F.element_at(parts, 1)
-    ends = F.concat(F.slice(parts, 2, 2), F.array(F.element_at(parts, -1)))
+    ends = F.when(F.size(parts) == 1, parts).otherwise(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))))
     return b.select("item_id", ctx.alias("ctx"), ends.alias("endings"),
                     (F.col("item_id") % F.size(ends)).alias("label"))
 
 
 _ITEMS = """WITH b AS (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark),
-it AS (SELECT item_id, parts[1] AS ctx, list_concat(parts[2:3], [parts[-1]]) AS endings FROM b),
+it AS (SELECT item_id, parts[1] AS ctx, CASE WHEN len(parts) = 1 THEN parts ELSE parts[2:] END AS endings FROM b),
 ite AS (SELECT item_id, ctx, endings, item_id % len(endings) AS label FROM it),
 ce AS (SELECT item_id, ctx, label, unnest(endings) AS e, unnest(range(0, len(endings))) AS choice FROM ite)
 """
@@ -103,8 +103,8 @@ def q_shard_items(spark, sf):
 _LOSS = _ITEMS + f""",
 tok AS (SELECT item_id, choice, label, strlen(ctx) AS nc,
           unnest({_BL.format(t='ctx || e')}) AS t, unnest(range(0, strlen(ctx) + strlen(e))) AS pos FROM ce),
-m AS (SELECT item_id, choice, label, sum(CASE WHEN pos >= nc THEN ln(1 + t) ELSE 0 END) / greatest(sum(CASE WHEN pos >= nc THEN 1 ELSE 0 END), 1) AS mean_loss
-      FROM tok WHERE pos >= 1 GROUP BY 1, 2, 3),
+m AS (SELECT item_id, choice, label, sum(CASE WHEN pos >= 1 AND pos >= nc THEN ln(1 + t) ELSE 0 END) / greatest(sum(CASE WHEN pos >= 1 AND pos >= nc THEN 1 ELSE 0 END), 1) AS mean_loss
+      FROM tok GROUP BY 1, 2, 3),
 best AS (SELECT item_id, label, choice AS pred, mean_loss, row_number() OVER (PARTITION BY item_id ORDER BY mean_loss, choice) AS rn FROM m)
 """
 
@@ -165,16 +165,20 @@ def q_validation_loss(spark, sf):
 
 
 @query("masked_mean_loss", f"""
-SELECT user_id AS seq, avg(CASE WHEN event_type <> 'error' THEN {_VC} END) / 100 AS loss FROM events GROUP BY 1
+SELECT user_id AS seq, avg(CASE WHEN event_type <> 'error' THEN {_VC} END) / 100 AS loss,
+       round(avg(CASE WHEN event_type <> 'error' THEN {_VC} END) / 100 + sum({_W}) / 12.0, 6) AS loss_with_aux
+FROM events GROUP BY 1
 """)
 def q_masked_mean_loss(spark, sf):
     """Token table from events: label -100 on ``error`` rows, logp = -value (in
     hundredths)."""
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("seq"), F.when(F.col("event_type") == "error", -100).otherwise(1).alias("label"),
-        (-F.round(F.col("value") * 100).cast("bigint")).alias("logp"))
-    m = metrics.masked_mean_loss(e)
-    return m.select("seq", (F.col("loss") / 100).alias("loss"))
+        (-F.round(F.col("value") * 100).cast("bigint")).alias("logp"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("aux"))
+    plain = metrics.masked_mean_loss(e).select("seq", (F.col("loss") / 100).alias("loss"))
+    added = metrics.masked_mean_loss(e.withColumn("logp", F.col("logp") / 100), aux_col="aux", n_layers=12)
+    return plain.join(added.select("seq", r6(F.col("loss")).alias("loss_with_aux")), "seq")
 
 
 def val_history(spark, sf):
@@ -223,28 +227,35 @@ def q_throughput(spark, sf):
 , ex AS (SELECT conv_id, {HEAD_LEN} + sum(4 + strlen(role) + strlen(content)) AS n FROM ft GROUP BY conv_id)
 SELECT sum(n)::BIGINT AS total_tokens, 100000::BIGINT AS model_params_count, 0.3::DOUBLE AS m_factor,
   30000::BIGINT AS tokens_required_for_model_size, sum(n) >= 30000 AS dataset_covers_heuristic,
-  8::BIGINT AS steps_needed_for_target, 4096::BIGINT AS tokens_per_step, 40960::BIGINT AS tokens_processed_this_run,
-  round(40960 / sum(n), 2) AS dataset_coverage_ratio, true AS max_steps_covers_heuristic FROM ex
+  8::BIGINT AS steps_needed_for_target, 4096::BIGINT AS tokens_per_step,
+  (ceil(sum(n) / 4096) * 4096)::BIGINT AS tokens_processed_this_run, round(ceil(sum(n) / 4096) * 4096 / sum(n), 2) AS dataset_coverage_ratio,
+  ceil(sum(n) / 4096) >= 8 AS max_steps_covers_heuristic, 90000::BIGINT AS model_trainable_params_count,
+  ceil(sum(n) / 4096)::BIGINT AS max_steps, 2::BIGINT AS grad_accum_steps FROM ex
 """)
 def q_workload_summary(spark, sf):
-    """SFT token table, 100k parameters, 4096 tokens per step, 10 steps."""
+    """SFT token table, 100k parameters (90k trained), 4096 tokens per step in micro-batches
+    of 4 rows of 128 tokens on 4 devices, as many steps as the tokens give."""
     e = tokenize.encode_chat(sft(spark, sf)).select(F.size("input_ids").alias("n"))
-    return metrics.workload_summary(e, "n", 100_000, 4096, 10, stage="instruct")
+    return metrics.workload_summary(e, "n", 100_000, 4096, stage="instruct", trainable_params=90_000,
+                                    micro_batch=4, seq_len=128, world_size=4)
 
 
 # ---------------------------------------------------------------- routing
 
+N_EXPERTS = 64
+
+
 def router_scores(spark, sf):
     """``embeddings`` as router logits: layer = label, token = vec_id, expert j =
-    dimension j of the first 8."""
+    dimension j; all 64 dimensions are experts."""
     e = table(spark, sf, "embeddings")
     return e.select(F.col("label").alias("layer"), F.col("vec_id").alias("token"),
-                    F.posexplode(F.slice("embedding", 1, 8)).alias("expert", "logit")).withColumn(
+                    F.posexplode("embedding").alias("expert", "logit")).withColumn(
         "logit", F.col("logit").cast("double"))
 
 
-_ROUTE = """WITH s AS (SELECT label AS layer, vec_id AS token, unnest(range(0, 8)) AS expert,
-                  unnest(embedding[1:8])::DOUBLE AS logit FROM embeddings),
+_ROUTE = """WITH s AS (SELECT label AS layer, vec_id AS token, unnest(range(0, 64)) AS expert,
+                  unnest(embedding)::DOUBLE AS logit FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY layer, token ORDER BY logit DESC, expert) AS rn,
         exp(logit - max(logit) OVER (PARTITION BY layer, token)) AS e FROM s),
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY layer, token) AS p FROM r),
@@ -252,7 +263,7 @@ per AS (SELECT layer, expert, count(*) FILTER (WHERE rn = 1) AS c1, count(*) FIL
         FROM p GROUP BY 1, 2),
 nt AS (SELECT layer, count(DISTINCT token) AS n_tokens FROM s GROUP BY 1),
 cnt AS (SELECT nt.layer, x.expert, coalesce(c1, 0) AS c1, coalesce(ck, 0) AS ck, coalesce(p_sum, 0) AS p_sum, n_tokens
-        FROM nt, (SELECT unnest(range(0, 8)) AS expert) x LEFT JOIN per ON per.layer = nt.layer AND per.expert = x.expert)
+        FROM nt, (SELECT unnest(range(0, 64)) AS expert) x LEFT JOIN per ON per.layer = nt.layer AND per.expert = x.expert)
 """
 
 
@@ -260,7 +271,7 @@ cnt AS (SELECT nt.layer, x.expert, coalesce(c1, 0) AS c1, coalesce(ck, 0) AS ck,
 SELECT layer, expert::INT AS expert, c1::BIGINT AS c1, ck::BIGINT AS ck, round(p_sum, 6) AS p_sum, n_tokens FROM cnt
 """)
 def q_routing_counts(spark, sf):
-    c = metrics.routing_counts(router_scores(spark, sf), 8, 2)
+    c = metrics.routing_counts(router_scores(spark, sf), N_EXPERTS, 2)
     return c.select("layer", "expert", "c1", "ck", r6(F.col("p_sum")).alias("p_sum"), "n_tokens")
 
 
@@ -280,45 +291,48 @@ _UCOLS = ["eff_experts_top1", "max_share_top1", "cv_top1", "eff_experts_topk", "
 @query("routing_utilisation", _UTIL + "SELECT layer, dead_experts_top1, dead_experts_topk, "
        + ", ".join(f"round({c}, 6) AS {c}" for c in _UCOLS) + " FROM u")
 def q_routing_util(spark, sf):
-    u = metrics.routing_utilisation(metrics.routing_counts(router_scores(spark, sf), 8, 2))
+    u = metrics.routing_utilisation(metrics.routing_counts(router_scores(spark, sf), N_EXPERTS, 2))
     return u.select("layer", "dead_experts_top1", "dead_experts_topk", *[r6(F.col(c)).alias(c) for c in _UCOLS])
 
 
-@query("routing_summary", _UTIL + """
-SELECT round(avg(eff_experts_top1), 6) AS top1_eff_experts_mean, round(min(eff_experts_top1), 6) AS top1_eff_experts_min,
-  round(max(max_share_top1), 6) AS top1_max_share_max, sum(dead_experts_top1)::BIGINT AS top1_dead_experts_sum,
-  round(max(cv_top1), 6) AS top1_cv_max,
-  arg_min(layer, (round(eff_experts_top1, 9), layer)) AS top1_worst_eff_layer,
-  arg_max(layer, (round(cv_top1, 9), -layer)) AS top1_worst_cv_layer,
+def _summary_sql(tag: str) -> str:
+    r = lambda c: f"round({c}_{tag}, 9)"
+    return f"""
+  round(avg(eff_experts_{tag}), 6) AS {tag}_eff_experts_mean, round(min(eff_experts_{tag}), 6) AS {tag}_eff_experts_min,
+  round(avg(max_share_{tag}), 6) AS {tag}_max_share_mean, round(max(max_share_{tag}), 6) AS {tag}_max_share_max,
+  sum(dead_experts_{tag})::BIGINT AS {tag}_dead_experts_sum, max(dead_experts_{tag})::BIGINT AS {tag}_dead_experts_max,
+  round(avg(cv_{tag}), 6) AS {tag}_cv_mean, round(max(cv_{tag}), 6) AS {tag}_cv_max,
+  arg_min(layer, ({r('eff_experts')}, layer)) AS {tag}_worst_eff_layer,
+  arg_max(layer, ({r('max_share')}, -layer)) AS {tag}_worst_max_share_layer,
+  arg_max(layer, (dead_experts_{tag}, -layer)) AS {tag}_worst_dead_layer,
+  arg_max(layer, ({r('cv')}, -layer)) AS {tag}_worst_cv_layer,"""
+
+
+@query("routing_summary", _UTIL + "SELECT" + _summary_sql("top1") + _summary_sql("topk") + """
   round(avg(max_p_mean), 6) AS max_p_mean_mean, round(max(max_p_mean), 6) AS max_p_mean_max FROM u
 """)
 def q_routing_summary(spark, sf):
-    u = metrics.routing_utilisation(metrics.routing_counts(router_scores(spark, sf), 8, 2))
-    u = u.withColumn("eff_experts_top1", F.round("eff_experts_top1", 9)).withColumn("cv_top1", F.round("cv_top1", 9))
+    """All columns, for top-1 and top-k; values are rounded before ties are broken."""
+    u = metrics.routing_utilisation(metrics.routing_counts(router_scores(spark, sf), N_EXPERTS, 2))
+    u = u.withColumns({c: F.round(c, 9) for c in u.columns if c.startswith(("eff_", "max_share", "cv_"))})
     s = metrics.routing_summary(u)
-    return s.select(r6(F.col("top1_eff_experts_mean")).alias("top1_eff_experts_mean"),
-                    r6(F.col("top1_eff_experts_min")).alias("top1_eff_experts_min"),
-                    r6(F.col("top1_max_share_max")).alias("top1_max_share_max"),
-                    "top1_dead_experts_sum", r6(F.col("top1_cv_max")).alias("top1_cv_max"),
-                    "top1_worst_eff_layer", "top1_worst_cv_layer",
-                    r6(F.col("max_p_mean_mean")).alias("max_p_mean_mean"),
-                    r6(F.col("max_p_mean_max")).alias("max_p_mean_max"))
+    return s.select(*[r6(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in s.dtypes])
 
 
 @query("routing_losses", """
-WITH s AS (SELECT label AS layer, vec_id AS token, unnest(range(0, 8)) AS expert,
-                  unnest(embedding[1:8])::DOUBLE AS logit FROM embeddings),
+WITH s AS (SELECT label AS layer, vec_id AS token, unnest(range(0, 64)) AS expert,
+                  unnest(embedding)::DOUBLE AS logit FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY layer, token ORDER BY logit DESC, expert) AS rn,
         max(logit) OVER (PARTITION BY layer, token) AS m FROM s),
 e AS (SELECT *, exp(logit - m) AS e, sum(exp(logit - m)) OVER (PARTITION BY layer, token) AS se FROM r),
 pe AS (SELECT layer, expert, count(*) FILTER (WHERE rn <= 2) AS ck, sum(e / se) AS ps FROM e GROUP BY 1, 2),
 pt AS (SELECT layer, token, any_value(m) + ln(any_value(se)) AS lse FROM e GROUP BY 1, 2),
 z AS (SELECT layer, count(*) AS n, avg(lse * lse) AS z FROM pt GROUP BY 1)
-SELECT layer, round(0.01 * 8 * sum((ck / greatest(n * 2, 1)) * (ps / n)), 6) AS load_balance_loss,
+SELECT layer, round(0.01 * 64 * sum((ck / greatest(n * 2, 1)) * (ps / n)), 6) AS load_balance_loss,
        round(0.001 * any_value(z), 6) AS z_loss FROM pe JOIN z USING (layer) GROUP BY layer
 """)
 def q_routing_losses(spark, sf):
-    l = metrics.routing_losses(router_scores(spark, sf), 8, 2, 0.01, 0.001)
+    l = metrics.routing_losses(router_scores(spark, sf), N_EXPERTS, 2, 0.01, 0.001)
     return l.select("layer", r6(F.col("load_balance_loss")).alias("load_balance_loss"), r6(F.col("z_loss")).alias("z_loss"))
 
 
@@ -470,6 +484,17 @@ def q_repeated_ngrams(spark, sf):
     return d.select("doc_id", F.array_sort(scores.ngram_bans(F.col("t"), 3)).alias("banned"))
 
 
+@query("corpus_ngrams", """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(t) - 6, 1)), lambda i: array_to_string(t[i:i + 7], ' '))) AS gram FROM w)
+SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM g GROUP BY gram HAVING count(*) > 1
+""")
+def q_corpus_ngrams(spark, sf):
+    """Word 8-grams that occur more than once in the corpus."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    return scores.corpus_ngrams(table(spark, sf, "documents").select("doc_id", words.alias("t")), 8, "doc_id", "t")
+
+
 @query("truncate_at_stop", _SFT + f"""
 , f AS (SELECT conv_id, roles[1] AS role, contents[1] AS content FROM s)
 , g AS (SELECT conv_id, list_concat([262], {_BL.format(t='role')}, [263, 10], coalesce({_BL.format(t='content')}, [])) AS gen FROM f)

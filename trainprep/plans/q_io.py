@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trainprep.operators import choice, mix, normalize as nz, pack, tokenize
+from trainprep.operators import choice, metrics, mix, normalize as nz, pack, tokenize
 from trainprep.plans import q_corpus, q_eval
 from trainprep.plans.registry import query, table
 from trainprep.sources.io import (Source, SourceRegistry, read_choice_jsonl, read_corpus_stream, read_examples,
@@ -45,16 +45,21 @@ def q_adapt_text(spark, sf):
 @query("tag_source", "SELECT source, 'web' AS tag, count(*) AS n_docs, sum(strlen(text) + 1)::BIGINT AS n_tokens FROM documents GROUP BY source")
 def q_tag_source(spark, sf):
     """Every document tagged with a source id that survives tokenisation."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
-    d = tokenize.encode_corpus(nz.tag_source(d, "web", col="tag"))
+    d = nz.tag_source(table(spark, sf, "documents").select("doc_id", "source", "text"), "web", col="tag")
     return d.groupBy("source", "tag").agg(F.count(F.lit(1)).alias("n_docs"),
-                                          F.sum(F.size("ids")).cast("bigint").alias("n_tokens"))
+                                          F.sum(tokenize.token_count_col("text") + 1).cast("bigint").alias("n_tokens"))
 
 
-@query("drop_empty_tokens", "SELECT count(*) AS n_docs FROM documents")
+@query("drop_empty_tokens", """
+SELECT doc_id, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS n_tokens FROM documents
+WHERE regexp_matches(text, '[0-9]')
+""")
 def q_drop_empty(spark, sf):
-    d = tokenize.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"))
-    return nz.drop_empty_tokens(d).agg(F.count(F.lit(1)).alias("n_docs"))
+    """The digits of every text as records without markers: most documents have none and
+    are dropped."""
+    digits = F.regexp_replace("text", "[^0-9]", "").alias("text")
+    d = tokenize.encode_corpus(table(spark, sf, "documents").select("doc_id", digits), eos_first=False)
+    return nz.drop_empty_tokens(d).select("doc_id", F.size("ids").alias("n_tokens"))
 
 
 @query("write_token_shards", q_corpus._ORACLE_TOKENS + f"""
@@ -86,14 +91,15 @@ def q_read_val_shards(spark, sf):
 @query("write_examples", """
 WITH k AS (SELECT conv_id, row_number() OVER (ORDER BY ('0x'||substr(md5('42|'||conv_id),1,15))::BIGINT, conv_id) AS r,
                   count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations))
-SELECT conv_id FROM k WHERE r <= ceil(n * 0.01)
+SELECT conv_id, CASE WHEN r <= ceil(n * 0.01) THEN 'val' ELSE 'train' END AS split FROM k
 """)
 def q_examples_round_trip(spark, sf):
-    """Exact 1 % split of conversations written by split, validation read back."""
+    """Exact 1 % split of conversations written by split, both halves read back."""
     convs = table(spark, sf, "conversations").select("conv_id").distinct()
     path = scratch_path(spark, "examples")
     write_examples(mix.exact_split(convs, "conv_id", SEED, 0.01), path)
-    return read_examples(spark, path, "val").select("conv_id")
+    halves = [read_examples(spark, path, half).select("conv_id", "split") for half in ("train", "val")]
+    return halves[0].unionByName(halves[1])
 
 
 @query("write_choice_jsonl", q_eval._ITEMS + """
@@ -119,40 +125,55 @@ def q_write_if_absent(spark, sf):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_STEP_TYPE = "CASE event_type WHEN 'click' THEN 'train' WHEN 'view' THEN 'train' WHEN 'purchase' THEN 'choice' ELSE 'val' END"
+_STEP_METRIC = ("CASE event_type WHEN 'click' THEN 'Norm' WHEN 'view' THEN 'Step time (seconds)' WHEN 'purchase' THEN 'blank accuracy' "
+                "WHEN 'error' THEN 'Validation Loss' ELSE 'moe_summary/max_p_mean_max' END")
+
+
 @query("write_metrics", """
-SELECT user_id AS run, CAST(ts AS DATE) AS day,
-  round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click,
-  round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS error,
-  round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS purchase,
-  round(avg(value) FILTER (WHERE event_type = 'signup'), 6) AS signup,
-  round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view
-FROM events GROUP BY 1, 2
+WITH e AS (SELECT user_id AS run, CAST(ts AS DATE) AS day, event_type, event_id, value FROM events),
+l AS (SELECT run, day, event_type, arg_max(value, event_id) AS v FROM e GROUP BY 1, 2, 3)
+SELECT run, day, 'train' AS step_type, max(v) FILTER (WHERE event_type = 'click') AS norm,
+  max(v) FILTER (WHERE event_type = 'view') AS step_time, NULL::DOUBLE AS val_loss, NULL::DOUBLE AS max_p, NULL::DOUBLE AS accuracy
+FROM l WHERE event_type IN ('click', 'view') GROUP BY 1, 2
+UNION ALL
+SELECT run, day, 'val', NULL, NULL, max(v) FILTER (WHERE event_type = 'error'), max(v) FILTER (WHERE event_type = 'signup'), NULL
+FROM l WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY 1, 2
+UNION ALL
+SELECT run, day, 'choice', NULL, NULL, NULL, NULL, max(v) FROM l WHERE event_type = 'purchase' GROUP BY 1, 2
 """)
 def q_write_metrics(spark, sf):
-    """Long metric rows -> one wide record per (run, day), appended to parquet."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.to_date("ts").alias("day"),
-                                          F.col("event_type").alias("metric"), "value")
-    names = ["click", "error", "purchase", "signup", "view"]
-    wide = e.groupBy("run", "day").pivot("metric", names).agg(F.round(F.avg("value"), 6))
+    """Long metric rows -> wide train, val and choice records per (run, day), the last value
+    of a day counting, appended to one parquet output."""
+    e = table(spark, sf, "events").select(
+        F.col("user_id").alias("run"), F.to_date("ts").alias("day"), F.expr(_STEP_TYPE).alias("step_type"),
+        F.expr(_STEP_METRIC).alias("metric"), "event_id", "value")
+    last = e.groupBy("run", "day", "step_type", "metric").agg(F.max_by("value", "event_id").alias("value"))
     path = scratch_path(spark, "metrics")
-    write_metrics(wide, path)
-    return spark.read.parquet(path)
+    more = {"train": [], "val": ["moe_summary/max_p_mean_max"], "choice": ["blank accuracy"]}
+    for kind, names in more.items():
+        wide = metrics.step_records(last, kind, names, ("run", "day"))
+        write_metrics(wide.withColumn("step_type", F.lit(kind)), path)
+    back = spark.read.option("mergeSchema", True).parquet(path)
+    return back.select("run", "day", "step_type", F.col("Norm").alias("norm"), F.col("`Step time (seconds)`").alias("step_time"),
+                       F.col("`Validation Loss`").alias("val_loss"), F.col("`moe_summary/max_p_mean_max`").alias("max_p"),
+                       F.col("`blank accuracy`").alias("accuracy"))
+
+
+#: Files of one staged group, which make one micro-batch.
+GROUP_FILES = 4
 
 
-def _staged_copy(spark, df, key, n_files, tag):
-    """Copy a table into ``n_files`` files written one after another in key order,
-    so a file stream sees them in that order."""
+def _staged_copy(spark, df, key, n_groups, tag):
+    """Copy a table into ``n_groups`` groups of ``GROUP_FILES`` files, each with keys above
+    the group before, so a file stream that takes the oldest files first sees the groups
+    one after another."""
     path = scratch_path(spark, tag)
-    bounds = df.approxQuantile(key, [i / n_files for i in range(1, n_files)], 0.0)
-    lo = None
-    for hi in bounds + [None]:
-        part = df
-        if lo is not None:
-            part = part.where(F.col(key) > lo)
-        if hi is not None:
-            part = part.where(F.col(key) <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-        lo = hi
+    bounds = [None, *df.approxQuantile(key, [i / n_groups for i in range(1, n_groups)], 0.001), None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = df if lo is None else df.where(F.col(key) > lo)
+        part = part if hi is None else part.where(F.col(key) <= hi)
+        part.repartition(GROUP_FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -163,14 +184,14 @@ SELECT split, (start + p) // {q_corpus.SHARD} AS shard, count(*) AS n_tokens,
 FROM t GROUP BY 1, 2
 """)
 def q_stream_prepare(spark, sf):
-    """Documents arrive as 4 files, one micro-batch each; offsets carry over between
+    """Documents arrive in 4 groups of files, one micro-batch each; offsets carry over between
     batches, and the result equals the one-pass flagship."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     src = _staged_copy(spark, docs, "doc_id", 4, "stream-docs")
     out = scratch_path(spark, "stream-out")
     stream = Source("parquet", src)
 
-    q = stream_prepare(read_corpus_stream(spark, stream, max_files_per_trigger=1), out,
+    q = stream_prepare(read_corpus_stream(spark, stream, max_files_per_trigger=GROUP_FILES), out,
                        scratch_path(spark, "stream-ckpt"), SEED, q_corpus.SHARD)
     q.awaitTermination()
     return pack.shard_summary(read_prepared(spark, out))
@@ -178,10 +199,10 @@ def q_stream_prepare(spark, sf):
 
 @query("stream_early_stopping", q_eval.ORACLE_EARLY_STOP)
 def q_stream_early_stopping(spark, sf):
-    """Validation losses (events) arrive in 4 files; state per run carries over."""
+    """Validation losses (events) arrive in 4 micro-batches; state per run carries over."""
     ev = table(spark, sf, "events").select("user_id", "event_id", "value")
     src = _staged_copy(spark, ev, "event_id", 4, "stream-events")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", GROUP_FILES).parquet(src)
     res = stream_early_stopping(stream, 3, q_eval.SKIP_STEPS, run_col="user_id", order_col="event_id",
                                 loss_col="value")
     out = scratch_path(spark, "stream-es")

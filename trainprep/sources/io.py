@@ -106,7 +106,7 @@ def read_prompt_set(spark: SparkSession, path: str, stage: str) -> DataFrame:
     prompt of ``stage`` (``prompt_id`` = position); a missing stage is an error."""
     raw = spark.read.option("multiLine", True).json(path)
     if stage not in raw.columns:
-        raise ValueError(f"Missing test prompts for training stage: {stage}")
+        raise ValueError(f"no prompts are given for the stage {stage}")
     return raw.select(F.posexplode(stage).alias("prompt_id", "prompt"))
 
 
