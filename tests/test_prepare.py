@@ -125,3 +125,41 @@ def _union_sources(spark, reg):
     a = reg.read(spark, "corpus", "src0").select("doc_id", "text").withColumn("source", F.lit("corpus_src0"))
     b = reg.read(spark, "corpus", "src1").select("doc_id", "text").withColumn("source", F.lit("corpus_src1"))
     return a.unionByName(b)
+
+
+def test_choice_stages_write_once(spark, tmp_path):
+    import json
+
+    from trainprep.__main__ import main
+
+    items = [{"item_id": i, "ctx": f"c{i}", "endings": ["a", "bb", "ccc"], "label": i % 3} for i in range(6)]
+    (tmp_path / "items.json").write_text("\n".join(map(json.dumps, items)))
+    cfg = {"quiz": {"default": {"format": "json", "path": str(tmp_path / "items.json")}}}
+    (tmp_path / "sources.json").write_text(json.dumps(cfg))
+    args = ["--completion-choice", "--sources", str(tmp_path / "sources.json"), "--out", str(tmp_path / "out"), "--size", "4"]
+    main(args)
+    rows = sorted((json.loads(x) for f in (tmp_path / "out" / "quiz").glob("part-*") for x in f.read_text().splitlines()),
+                  key=lambda r: r["item_id"])
+    assert [r["item_id"] for r in rows] == [0, 1, 2, 3] and rows[1]["label_index"] == 1
+    assert rows[0]["tokens"][1] == [99, 48, 98, 98, 0] and rows[0]["mask"][2] == [0, 0, 1, 1, 1]
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "quiz").iterdir()}
+    main([*args[:-1], "6"])  # an existing output is left alone
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "quiz").iterdir()} == before
+
+    blanks = [{"sentence": "The _ ran.", "option1": " cat ", "option2": "dog", "answer": "2"}]
+    (tmp_path / "blank.json").write_text("\n".join(map(json.dumps, blanks)))
+    cfg = {"blank": {"v1": {"format": "json", "path": str(tmp_path / "blank.json")}}}
+    (tmp_path / "sources.json").write_text(json.dumps(cfg))
+    main(["--blank-choice", "--sources", str(tmp_path / "sources.json"), "--out", str(tmp_path / "out")])
+    row = spark.read.json(str(tmp_path / "out" / "blank_v1")).first()
+    assert bytes(row.tokens[0]).decode() == "The cat ran." and row.label_index == 1
+
+
+def test_grad_accumulation_must_divide():
+    import pytest
+
+    from trainprep.operators.metrics import grad_accum_steps
+
+    assert grad_accum_steps(4096, 4, 128, 4) == 2
+    with pytest.raises(ValueError):
+        grad_accum_steps(4000, 4, 128, 4)

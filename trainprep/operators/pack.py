@@ -26,8 +26,9 @@ def pack_shards(df: DataFrame, shard_size: int, ids_col: str = "ids", start_col:
                 first_shard=0, order_col: str = "doc_id") -> DataFrame:
     """Place documents into shards of exactly ``shard_size`` tokens (last one partial).
 
-    Output: ``part_cols, shard, pos, <order_col>, tokens`` — one row per document
-    slice; ``pos`` is the slice's position inside its shard. ``skip_tokens`` (a number
+    Output: ``part_cols, shard, pos, <order_col>, n_tokens, tokens`` — one row per
+    document slice; ``pos`` is the slice's position inside its shard, and ``n_tokens`` its
+    length, so that stored shards are sized without reading tokens. ``skip_tokens`` (a number
     or a column) drops the first tokens of the stream, also mid-document, and
     ``first_shard`` numbers the first new shard (resume).
     """
@@ -52,14 +53,20 @@ def pack_shards(df: DataFrame, shard_size: int, ids_col: str = "ids", start_col:
         (F.col("__k") + first).cast("bigint").alias("shard"),
         (a - F.col("__k") * N).cast("bigint").alias("pos"),
         F.col(order_col),
+        (b - a).cast("bigint").alias("n_tokens"),
         F.slice(F.col(ids_col), (a - start + 1).cast("int"), (b - a).cast("int")).alias("tokens"),
     )
 
 
+def slice_tokens(slices: DataFrame):
+    """Tokens of each slice: the stored length, or the array's size where a table has none."""
+    return F.col("n_tokens") if "n_tokens" in slices.columns else F.size("tokens").cast("bigint")
+
+
 def shard_summary(slices: DataFrame, part_cols=("split",), order_col: str = "doc_id") -> DataFrame:
     """Tokens, slices, first/last document and token checksum per shard."""
     return slices.groupBy(*part_cols, "shard").agg(
-        F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
+        F.sum(slice_tokens(slices)).alias("n_tokens"),
         F.count(F.lit(1)).alias("n_slices"),
         F.min(order_col).alias("first_doc"),
         F.max(order_col).alias("last_doc"),
@@ -88,7 +95,7 @@ def check_shard_sequence(shards: DataFrame, part_cols=("split",)) -> DataFrame:
 def stored_tokens(shards: DataFrame, part_cols=("split",)) -> DataFrame:
     """Tokens already stored and the last shard number, per split (resume point)."""
     return shards.groupBy(*part_cols).agg(
-        F.sum(F.size("tokens")).cast("bigint").alias("done_tokens"),
+        F.sum(slice_tokens(shards)).alias("done_tokens"),
         F.max("shard").alias("last_shard"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trainprep.functions.order import prefix_sum
 from trainprep.operators import batch
-from trainprep.operators.pack import assign_ranks, blocks_per_shard, pack_blocks, shuffle_shards
+from trainprep.operators.pack import assign_ranks, blocks_per_shard, pack_blocks, shuffle_shards, slice_tokens
 
 
 def pretraining_batches(shards: DataFrame, seq_len: int, batch_size: int, world_size: int,
@@ -28,7 +28,7 @@ def pretraining_batches(shards: DataFrame, seq_len: int, batch_size: int, world_
                         stored_input: bool = True) -> DataFrame:
     """Rows ``split, rank, global_step, row, epoch_pos, shard, block, x, y``."""
     S, B, P = int(seq_len), int(batch_size), int(world_size)
-    sizes = shards.groupBy("split", "shard").agg(F.sum(F.size("tokens")).alias("__n"))
+    sizes = shards.groupBy("split", "shard").agg(F.sum(slice_tokens(shards)).alias("__n"))
     order = shuffle_shards(shards, seed, epoch, shuffle=shuffle)
     per_shard = sizes.join(order, ["split", "shard"])  # one row per shard
     if global_count:

@@ -106,7 +106,7 @@ def prepare_pretraining(spark: SparkSession, spec: dict, registry: SourceRegistr
                                    tokenizer=tokenizer, order_col="mix_pos", skip_tokens=skip, first_shard=nxt)
             write_token_shards(part.where(F.col("split") == split), out_path, "append")
     return (read_token_shards(spark, out_path).groupBy("split", "shard")
-            .agg(F.sum(F.size("tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_slices")))
+            .agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_slices")))
 
 
 def _finish_examples(spark, rows: DataFrame, m: mix.Mixture, order_col: str, out_path: str,

@@ -175,7 +175,7 @@ def q_resume_shards(spark, sf):
     path = scratch_path(spark, "resume")
     write_token_shards(first.join(F.broadcast(last), "split").where(F.col("shard") < F.col("__m") / 2).drop("__m"),
                        path)
-    stored = read_token_shards(spark, path).select("split", "shard", "pos", "doc_id", "tokens")
+    stored = read_token_shards(spark, path).select("split", "shard", "pos", "doc_id", "n_tokens", "tokens")
     done = pack.stored_tokens(stored)
     parts = []
     for split in ("train", "val"):
@@ -236,7 +236,7 @@ FROM sz, (SELECT unnest(range(0, 3)) AS rank) r
 """)
 def q_blocks_per_shard(spark, sf):
     """Batches each of 3 ranks draws per shard at B=2, S=4."""
-    sizes = _slices(spark, sf).groupBy("split", "shard").agg(F.sum(F.size("tokens")).alias("n"))
+    sizes = _slices(spark, sf).groupBy("split", "shard").agg(F.sum("n_tokens").alias("n"))
     ranks = sizes.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return ranks.select("split", "shard", "rank",
                         pack.blocks_per_shard("n", 2, 4, 3, F.col("rank")).alias("batches"))

@@ -85,7 +85,7 @@ def q_read_val_shards(spark, sf):
     path = scratch_path(spark, "shards")
     write_token_shards(q_corpus._slices(spark, sf), path)
     back = read_token_shards(spark, path, "val")
-    return back.groupBy("shard").agg(F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"))
+    return back.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
 
 
 @query("write_examples", """
