@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from trainprep.llm.common import without, worker_cache
 
-#: Words of the contract: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of the contract, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z, in the
+#: original text.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: One byte for each byte: ASCII letters to lower case, other ASCII but digits to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
                for c in range(256))
@@ -48,7 +49,10 @@ def windows(items: list[tuple[str, str | None]], size: int) -> dict[str, list[st
 
 
 def automaton(patterns: dict[str, list[str]]):
-    """Aho-Corasick automaton whose matches give (words in the pattern, item ids)."""
+    """Aho-Corasick automaton whose matches give (words in the pattern, item ids); None
+    without patterns."""
+    if not patterns:
+        return None
     auto = ahocorasick.Automaton()
     for p, items in patterns.items():
         auto.add_word(p, (p.count(" ") - 1, items))
@@ -60,7 +64,7 @@ def scan(auto, text: str):
     """Number of words and the matches as (first word, words, item ids)."""
     w = words_of(text)
     line = (b" " + b" ".join(w) + b" ").decode("latin-1")
-    hits = list(auto.iter(line)) if w else []
+    hits = list(auto.iter(line)) if w and auto is not None else []
     if not hits:
         return len(w), []
     spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
