@@ -10,23 +10,34 @@ looks across a word border, which is derived from its own description:
 * BPE that drops white space (pattern split with ``Removed``): every space and
   newline is a border.
 * anything else: every text goes to the library whole.
+
+A new word of Latin letters is first cut as the tokenizer's own pattern cuts it, so that
+``word``, ``Word.`` and ``word$$$`` cost one call between them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import regex
 
 from trainprep.llm.common import worker_cache
 
 #: Words kept per Python worker (about 250 bytes each); the table starts afresh beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Characters encoded at a time, so that temporary word lists stay small.
 CHUNK_CHARS = 2_000_000
 
+# The patterns by which the two kinds of tokenizer cut a text into pieces.
+_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WORD_PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Words up to this character are cut here; in others, rules of letter case and of
+# composition could differ between libraries.
+_LAST_LATIN = "\u024f"
+
 _MARK = "\x01"
 _WHOLE = re.compile(r"\s\s|\x01")
 
@@ -51,6 +62,41 @@ def border_rule(spec: str) -> str:
     return "whole"
 
 
+class Table:
+    """Strings and their ids: a row number for each string, the ids end to end."""
+
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
+
+    def add(self, strings: list[str], ids: np.ndarray, lens: np.ndarray):
+        """New strings with their ids."""
+        at = len(self.row)
+        self.row.update(zip(strings, range(at, at + len(strings))))
+        ends = len(self.ids) + np.cumsum(lens)
+        self.starts = np.concatenate([self.starts, (ends - lens).astype(np.int32)])
+        self.lens = np.concatenate([self.lens, lens.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def rows(self, strings: list[str], learn) -> np.ndarray:
+        """Row of every string; ``learn`` adds those that are not known yet."""
+        at = np.fromiter(map(self.row.get, strings, repeat(-1)), np.int32, len(strings))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new = [strings[i] for i in miss.tolist()]
+            learn(list(dict.fromkeys(new)))
+            at[miss] = np.fromiter(map(self.row.__getitem__, new), np.int32, len(new))
+        return at
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows end to end, and how many each has."""
+        lens = self.lens[rows].astype(np.int64)
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[rows] - (ends - lens), lens) + np.arange(total)], lens
+
+
 class Encoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``
     with special strings in a text taken as ordinary text."""
@@ -64,13 +110,12 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.index: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.words, self.pieces = Table(), Table()
+        self.pieces.add(["\n\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))  # stands for the end of a word
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        # the fast form skips character offsets; the ids are the same
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return (np.fromiter(chain.from_iterable(ids), np.int32),
                 np.fromiter(map(len, ids), np.int64, len(ids)))
 
@@ -85,35 +130,37 @@ class Encoder:
             return word
         return word[1:] if word[:1] == _MARK else " " + word
 
+    def _learn_pieces(self, pieces: list[str]):
+        for i in range(0, len(pieces), 10_000):
+            part = pieces[i:i + 10_000]
+            self.pieces.add(part, *self._library(part))
+
     def _learn(self, words: list[str]):
-        new = [w for w in set(words) if w not in self.index]
-        if not new:
+        spelled = list(map(self._spelled, words))
+        plain = [bool(w) and not w[-1].isspace() and (w.isascii() or max(w) <= _LAST_LATIN) for w in spelled]
+        odd = [w for w, p in zip(words, plain) if not p]
+        if odd:
+            self.words.add(odd, *self._library([w for w, p in zip(spelled, plain) if not p]))
+        cut = [w for w, p in zip(spelled, plain) if p]
+        if not cut:
             return
-        flat, lens = self._library([self._spelled(w) for w in new])
-        at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new))))
-        ends = len(self.flat) + np.cumsum(lens)
-        self.starts = np.concatenate([self.starts, ends - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
+        # one pass of the pattern over all words; a line end after each word is a piece
+        line = "\n".join([*cut, ""])
+        found = _BYTE_PIECES.findall(line) if self.rule == "byte" else _WORD_PIECES.findall(line.lower())
+        rows = self.pieces.rows(["\n\n" if p == "\n" else p for p in found], self._learn_pieces)
+        ids, lens = self.pieces.gather(rows)
+        ends = np.cumsum(lens)[rows == 0]
+        self.words.add([w for w, p in zip(words, plain) if p], ids, np.diff(ends, prepend=0))
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.rule == "whole" or (self.rule == "byte" and any(map(_WHOLE.search, texts))):
-            if self.rule == "whole" or len(texts) == 1:
-                return self._library(texts)
-            out = [self._chunk([t]) for t in texts]
-            return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-        if len(self.index) > CACHE_WORDS:
+        if self.rule == "whole":
+            return self._library(texts)
+        if len(self.words.row) > CACHE_WORDS:
             self._clear()
         per = [self._words(t) for t in texts]
         words = list(chain.from_iterable(per))
-        self._learn(words)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, per)])]
+        ids, lens = self.words.gather(self.words.rows(words, self._learn))
+        bounds = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *map(len, per)])]
         return ids, np.diff(bounds)
 
     def encode(self, texts: list[str]):

@@ -97,9 +97,9 @@ def _cut(texts_ids: np.ndarray, lens: np.ndarray, eos: int, capacity: int):
 
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int,
-                  key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token pieces of every document with their place among the pieces of the same
-    length in their partition (``__part``, ``__rank``)."""
+                  key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """Token pieces of every document with their checksum, their place among the pieces of
+    the same length in their partition (``__part``, ``__rank``) and, if wanted, their ids."""
     spec = read_spec(tokenizer_path)
     src = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     key_type = src.schema["__key"].dataType.simpleString()
@@ -124,15 +124,16 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int,
                 cuts = np.r_[0, np.cumsum(length)]
                 raw = flat.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(doc + i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())),
-                    pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int64()), pa.array(rank),
-                ], names=["key", "piece", "start", "length", "ids", "ids_crc32", "__part", "__rank"])
+                cols = {"key": keys.take(pa.array(doc + i)), "piece": pa.array(piece, pa.int32()),
+                        "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+                        "ids_crc32": pa.array(crc, pa.int64()), "__part": pa.array(np.full(len(doc), part), pa.int64()),
+                        "__rank": pa.array(rank)}
+                if with_ids:
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_pydict(cols)
 
-    return src.mapInArrow(run, f"key {key_type}, piece int, start long, length long, ids array<int>, "
-                               "ids_crc32 long, __part long, __rank long")
+    return src.mapInArrow(run, f"key {key_type}, piece int, start long, length long, ids_crc32 long, "
+                               "__part long, __rank long" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, eos: int = 1, capacity: int = 4096,
@@ -150,7 +151,8 @@ def pack(docs: DataFrame, tokenizer_path: str, eos: int = 1, capacity: int = 409
     once each; an empty table gives no rows; other input columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = stored(encode_pieces(docs, tokenizer_path, eos, capacity, key, text), "pieces")
+    encoded = encode_pieces(docs, tokenizer_path, eos, capacity, key, text, with_ids)
+    pieces = stored(encoded, "pieces")
     per_part = pieces.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("__n"))
     counts = np.zeros(capacity + 1, np.int64)
     # at most `capacity` rows
