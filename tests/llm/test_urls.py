@@ -71,7 +71,7 @@ def seeded_pages(spark):
     html = f"<html><script>spamcode()</script><p>{(words + ' ') * 5}</p></html>"
     bad = [f"http://buycheappills{i}.com/online/{i}" for i in range(20)]
     good = [f"http://www.greengarden{i}.org/river/{i}" for i in range(60)]
-    new = ["http://cheapmeds.org/online/2", "http://stonehouse.com/garden/7", "http://spam-farm.net/x"]
+    new = ["http://cheapmeds.org/online/2", "http://stonehouse.org/river/7", "http://spam-farm.net/x"]
     return spark.createDataFrame([(i, u, html) for i, u in enumerate([*bad, *good, *new])], "page_id long, url string, html string")
 
 
@@ -81,7 +81,7 @@ def test_segmented_words_carry_the_verdict(spark):
     assert rows["http://cheapmeds.org/online/2"]["host_words"] == ["cheap", "meds", "org"]
     # neither has a seed word: the company of the words decides
     assert rows["http://cheapmeds.org/online/2"]["verdict"] == "block"
-    assert rows["http://stonehouse.com/garden/7"]["verdict"] == "allow"
+    assert rows["http://stonehouse.org/river/7"]["verdict"] == "allow"
     assert all(r["verdict"] == ("block" if "pills" in u or "spam" in u or "meds" in u else "allow") for u, r in rows.items())
     # the rule has the last word
     ruled = U.judge_urls(seeded_pages(spark), [("allow", "com/")]).where("url like '%pills3.com%'").first()

@@ -169,7 +169,9 @@ class LabelModel:
 
 
 def as_votes(patterns: list[str]) -> np.ndarray:
-    return np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+    """Vote patterns as rows of +1, 0 and -1."""
+    width = len(patterns[0]) if patterns else 0
+    return np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in patterns], np.int64).reshape(len(patterns), width)
 
 
 RESULT = (*FEATURES, "base_failed", "votes", "posterior", "kept")
