@@ -157,18 +157,26 @@ def write_corpus(docs: DataFrame, path: str, tokenizer_path: str, eos: int, voca
                 raise ValueError("a document without a key cannot be stored in key order")
             ks = batch.column(0).to_numpy()
             for i, flat, n_ in enc.encode(batch.column(1).to_pylist()):
-                ends = np.cumsum(n_)
-                keys.append(ks[i:i + len(n_)])
-                lens.append(n_ + 1)
-                ids.append(np.insert(flat, ends, eos).astype(np.uint32))
-                held += len(ids[-1])
-                if held >= file_tokens:
-                    yield close()
+                all_ids = np.insert(flat, np.cumsum(n_), eos).astype(np.uint32)
+                size = n_ + 1
+                ends = np.cumsum(size)
+                a = 0  # documents of this run that are in a file
+                while a < len(size):
+                    done = int(ends[a - 1]) if a else 0
+                    # the document that fills the file, or the last one
+                    b = min(int(np.searchsorted(ends, done + file_tokens - held)) + 1, len(size))
+                    keys.append(ks[i + a:i + b])
+                    lens.append(size[a:b])
+                    ids.append(all_ids[done:int(ends[b - 1])])
+                    held += len(ids[-1])
+                    a = b
+                    if held >= file_tokens:
+                        yield close()
         if keys:
             yield close()
 
     (src.mapInArrow(run, "part int, file int, n_docs long, n_tokens long, payload binary")
-     .write.option("compression", "zstd").parquet(path))
+     .write.option("compression", "uncompressed").parquet(path))  # the bit packing is the compression
 
 
 FILES = "part int, file int, n_docs long, n_tokens long, payload binary"

@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +32,28 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def worker_cache() -> dict:
+def worker_cache(owner: str) -> dict:
     """A dict that lives as long as the Python worker process, across its tasks.
 
     Functions of this package are pickled by value, so their module globals are new
-    in every task; a reused worker keeps costly tables (automata, encoders) here.
+    in every task; a reused worker keeps costly tables (automata, encoders) here. Only one
+    operator's tables are held: the next operator drops them.
     """
     mod = sys.modules.setdefault("_trainprep_worker_cache", types.ModuleType("_trainprep_worker_cache"))
-    return mod.__dict__.setdefault("items", {})
+    if mod.__dict__.get("owner") != owner:
+        mod.__dict__.update(owner=owner, items={})
+        pa.default_memory_pool().release_unused()
+    return mod.__dict__["items"]
+
+
+#: Rows turned into Python objects at a time.
+SLICE_ROWS = 500
+
+
+def slices(batch: pa.RecordBatch):
+    """A batch in parts, so that the texts of a large batch are never all held twice."""
+    for i in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(i, SLICE_ROWS)
 
 
 def totals_before(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -144,7 +144,7 @@ def token_counts(docs: DataFrame, vocab_path: str, text: str = "text", lower: bo
     col = base.columns.index(text)
 
     def run(batches):
-        cache = worker_cache()
+        cache = worker_cache("counts")
         key = ("longest-match", hash(spec), continuing_prefix)
         if key not in cache:
             cache[key] = (Automaton(*vocabulary(spec, continuing_prefix=continuing_prefix)), {})

@@ -40,6 +40,14 @@ _LAST_LATIN = "\u024f"
 
 _MARK = "\x01"
 _WHOLE = re.compile(r"\s\s|\x01")
+# All white space but space and line end, and pairs of those two: found by plain search.
+_RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + [_MARK, "  ", " \n", "\n ", "\n\n"]
+
+
+def _whole(text: str) -> bool:
+    """Two white-space characters in a row, or the marker."""
+    return any(c in text for c in _RARE) and _WHOLE.search(text) is not None
+
 
 
 def border_rule(spec: str) -> str:
@@ -101,9 +109,10 @@ class Encoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``
     with special strings in a text taken as ordinary text."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.cache_words = cache_words
         self.tok = Tokenizer.from_str(spec)
         self.tok.encode_special_tokens = True
         self.rule = border_rule(spec)
@@ -155,7 +164,7 @@ class Encoder:
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.rule == "whole":
             return self._library(texts)
-        if len(self.words.row) > CACHE_WORDS:
+        if len(self.words.row) > self.cache_words:
             self._clear()
         per = [self._words(t) for t in texts]
         words = list(chain.from_iterable(per))
@@ -173,7 +182,7 @@ class Encoder:
                 j += 1
             part = texts[i:j]
             if self.rule == "byte":  # keep texts for the library apart from the rest
-                odd = [bool(_WHOLE.search(t)) for t in part]
+                odd = list(map(_whole, part))
                 j = i + next((k for k in range(1, len(part)) if odd[k] != odd[0]), len(part))
                 part = texts[i:j]
                 ids, lens = self._library(part) if odd[0] else self._chunk(part)
@@ -183,12 +192,12 @@ class Encoder:
             i = j
 
 
-def worker_encoder(spec: str) -> Encoder:
+def worker_encoder(spec: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """The worker's own encoder for a tokenizer file, built once per process."""
-    cache = worker_cache()
+    cache = worker_cache("encoder")
     key = ("encoder", hash(spec))
     if key not in cache:
-        cache[key] = Encoder(spec)
+        cache[key] = Encoder(spec, cache_words)
     return cache[key]
 
 

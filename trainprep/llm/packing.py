@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from trainprep.llm.common import stored
 from trainprep.llm.encode import read_spec, worker_encoder
 
+#: Words whose ids a worker keeps; packing shares its executors with the pipeline's stages.
+CACHE_WORDS = 500_000
+
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Bins for ``counts[length]`` pieces of each length up to ``capacity``.
@@ -107,7 +110,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int,
     def run(batches):
         from pyspark import TaskContext
 
-        enc = worker_encoder(spec)
+        enc = worker_encoder(spec, CACHE_WORDS)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
