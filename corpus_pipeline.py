@@ -25,9 +25,8 @@ from trainprep.plans.registry import table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.5 or more)."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    scored = quality.score_quality(docs.select(row.alias("__row"), F.col("text").alias("__text")), model, text="__text")
-    return scored.where(F.col("predicted") == 1).select("__row.*")
+    scored = quality.score_quality(docs, model, prefix="__")
+    return scored.where(F.col("__predicted") == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainprep.llm.common import without, worker_cache
+from trainprep.llm.common import slices, without, worker_cache
 
 #: Words of the contract, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z, in the
 #: original text.
@@ -106,7 +107,7 @@ RESULT = ("n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0.05,
-                  text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+                  text: str = "text", item_key: str = "item_id", item_text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any window found), n_items, item_ids (as
     strings, sorted), hit_spans (start and end of hit passages in the original text, code
     points, end exclusive) and contaminated: some word is hit, and hit words are at least
@@ -114,20 +115,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
     Null or empty texts have no words and are clean, null or empty items have no windows,
     a null item id counts as ``""``. Repeated items or documents are taken as they come.
-    Input columns with the names of the results are replaced. The benchmark's windows are
+    Input columns with the names of the results (which begin with ``prefix``) are replaced. The benchmark's windows are
     collected in groups of whole items, each with at most ``AUTOMATON_WINDOWS`` windows or
     one item; every group scans the documents with an automaton of its own.
     """
     shared = [docs.sparkSession.sparkContext.broadcast(windows(g, size))
               for g in _groups(benchmark.select(item_key, item_text))]
     run_id = uuid.uuid4().hex
-    base = without(docs, *RESULT)
+    names = [prefix + n for n in RESULT]
+    base = without(docs, *names)
     col = base.columns.index(text)
     per_mille = round(share * 1000)
 
     def run(batches):
-        cache = worker_cache()
-        for batch in batches:
+        cache = worker_cache("decontaminate")
+        for batch in chain.from_iterable(map(slices, batches)):
             texts = [t or "" for t in batch.column(col).to_pylist()]
             counts, found = [0] * len(texts), [[] for _ in texts]
             for g, b in enumerate(shared):
@@ -146,17 +148,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
                     pa.array([[{"start": a, "end": e} for a, e in m[1]] for m in marked],
                              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([m[0] > 0 and 1000 * m[0] >= per_mille * n for m, n in zip(marked, counts)])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *RESULT])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
 
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
-                     + ["n_words long, n_hit long, n_items long, item_ids array<string>, "
-                        "hit_spans array<struct<start:long,end:long>>, contaminated boolean"])
+    types = ("long", "long", "long", "array<string>", "array<struct<start:long,end:long>>", "boolean")
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + [f"`{n}` {t}" for n, t in zip(names, types)])
     return base.mapInArrow(run, kind)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones, columns as they came."""
-    marked = contamination(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-                           .select("__row", F.col(options.get("text", "text")).alias("__text")),
-                           benchmark, **{**options, "text": "__text"})
-    return marked.where(~F.col("contaminated")).select("__row.*")
+    marked = contamination(docs, benchmark, **options, prefix="__")
+    return marked.where(~F.col("__contaminated")).select(*[f"`{c}`" for c in docs.columns])

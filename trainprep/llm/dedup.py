@@ -16,12 +16,14 @@ components, in blocks of bounded size inside tasks that return joining links onl
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainprep.llm.common import stored
+from trainprep.llm.common import slices, stored, worker_cache
 
 #: MinHash values per set, and how many of them make a band: a pair of similarity 0.75
 #: shares no band with probability (1 - 0.75**4)**32 = 5e-6.
@@ -150,7 +152,8 @@ def _sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kind = src.schema["key"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        worker_cache("dedup")
+        for batch in chain.from_iterable(map(slices, batches)):
             for i, part in _chunks(batch.column(1).to_pylist()):
                 flat, sizes = shingle_sets(part, width)
                 full = sizes > 0
@@ -187,7 +190,8 @@ def _set_rows(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int)
     kind = picked.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        worker_cache("dedup")
+        for batch in chain.from_iterable(map(slices, batches)):
             for i, part in _chunks(batch.column(1).to_pylist()):
                 flat, sizes = shingle_sets(part, width)
                 yield pa.RecordBatch.from_arrays(

@@ -9,12 +9,14 @@ labels are used for training; the attention weights are learned with the rest.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainprep.llm.common import without
+from trainprep.llm.common import slices, without, worker_cache
 
 #: Words in a passage.
 PASSAGE_WORDS = 80
@@ -191,19 +193,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 RESULT = ("score", "predicted", "attention")
 
 
-def score_quality(docs: DataFrame, model: MilModel, text: str = "text", with_attention: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, model: MilModel, text: str = "text", with_attention: bool = False,
+                  prefix: str = "") -> DataFrame:
     """``docs`` with score (0 to 1, higher is better) and predicted (1 if score >= 0.5), and
     with ``with_attention`` the weight of each passage.
 
     Every passage of the whole text counts. Null and empty texts are one passage without
-    words. Equal texts get equal scores. Input columns named like the results are replaced.
+    words. Equal texts get equal scores. Input columns named like the results (which begin
+    with ``prefix``) are replaced.
     """
-    base = without(docs, *RESULT[:2 + with_attention])
+    names = [prefix + n for n in RESULT[:2 + with_attention]]
+    base = without(docs, *names)
     col = base.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 7000 numbers
 
     def run(batches):
-        for batch in batches:
+        worker_cache("quality")
+        for batch in chain.from_iterable(map(slices, batches)):
             scores, weights = [], []
             texts = batch.column(col).to_pylist()
             for i in range(0, len(texts), 100):
@@ -216,8 +222,8 @@ def score_quality(docs: DataFrame, model: MilModel, text: str = "text", with_att
             cols = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             cols += [pa.array(weights, pa.list_(pa.float64()))] * with_attention
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols],
-                                             names=[*batch.schema.names, *RESULT[:len(cols)]])
+                                             names=[*batch.schema.names, *names])
 
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["score double, predicted int"]
-                     + ["attention array<double>"] * with_attention)
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
+                     + [f"`{n}` {t}" for n, t in zip(names, ("double", "int", "array<double>"))])
     return base.mapInArrow(run, kind)
