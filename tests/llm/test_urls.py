@@ -124,3 +124,34 @@ def test_rule_ties_and_order(spark):
     assert tuple(pick([("block", "net/"), ("allow", "b.net/x")])) == ("b.net/x", "allow")
     assert tuple(pick([("block", "net/xy/"), ("allow", "b.net/x")])) == ("b.net/x", "allow")
     assert tuple(pick([])) == (None, None)
+
+
+def test_rare_words_and_tokens_count_in_full(spark):
+    """Plain counting on over 1.2 million tokens, most of the different ones less than a millionth of all."""
+    path = "concat_ws('/', transform(sequence(1, 60), k -> if(k < 40, 'the', concat('w', translate(cast(id * 60 + k as string), '0123456789', 'abcdefghij')))))"
+    host = "concat(if(id % 10 = 0, 'casino', 'garden'), 'ingreen', id % 500, '.net')"
+    pages = spark.range(20_000).selectExpr(
+        "id as page_id", f"concat('http://', {host}, '/', if(id % 10 = 0, 'onlybad', if(id < 15, 'fewclean', 'x')), '/', {path}) as url",
+        "if(id = 7, 'ingreen', repeat('garden the green ', 20)) as html")
+    rows = U.judge_urls(pages).collect()
+    tokens = [["h:" + w for w in r["host_words"]] + ["p:0" if t.isdigit() else "p:" + t for t in re.findall("[a-z]+|[0-9]+", r["path"])] for r in rows]
+    assert sum(map(len, tokens)) > 1_000_000
+    # one of 1.2 million words of all pages, and likelier than two words
+    assert all(r["host_words"][:2] == [r["host"][:6], "ingreen"] for r in rows)
+    b, a = {}, {}
+    for t in tokens:
+        for w in t:
+            of = b if "h:casino" in t else a
+            of[w] = of.get(w, 0) + 1
+    size, n_bad = len(b.keys() | a.keys()) + 1, sum("h:casino" in t for t in tokens)
+    nb, na = sum(b.values()) + size, sum(a.values()) + size
+    for r, t in zip(rows, tokens):
+        want = np.log(n_bad / (len(rows) - n_bad)) + sum(np.log((b.get(w, 0) + 1) / nb) - np.log((a.get(w, 0) + 1) / na) for w in t)
+        assert r["odds"] == pytest.approx(want)
+
+
+def test_what_is_sent_and_what_is_joined_changes_nothing(spark):
+    pages = seeded_pages(spark).union(spark.read.parquet(f"{SF}/pages.parquet"))
+    key = lambda rows: sorted((r["page_id"], r["url"], r["host_words"], r["odds"], r["verdict"]) for r in rows)
+    want = key(U.judge_urls(pages, common=0.0).collect())
+    assert key(U.judge_urls(pages, common=2.0).collect()) == want == key(U.judge_urls(pages).collect())
