@@ -128,3 +128,18 @@ def test_odd_rows(spark):
     # one address in every document tells nothing
     every = spark.createDataFrame([(i, f"w{i}x x@y.zz same{'abcdefgh'[i]}") for i in range(8)], "doc_id long, text string")
     assert pii.disclosing_terms(every).collect() == []
+
+
+def test_two_texts_are_evidence_and_copies_are_none(spark):
+    """A name that goes with an address in two texts is found; in copies of one text it is not."""
+    from math import log2
+    texts = ["mail arthur@dent.example or ask Slartibartfast", "Slartibartfast answers arthur@dent.example on Monday"]
+    texts += ["write to tricia@mcmillan.example and ask for Vogon"] * 6
+    texts += [f"ask or mail someone on Monday and write {i}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.disclosing_terms(docs).collect()
+    assert [(r["entity"], r["term"], r["action"]) for r in found] == [("email:arthur@dent.example", "slartibartfast", "generalise")]
+    r, n = found[0], len(texts)
+    assert (r["n_entity"], r["n_both"], r["n_term"], r["disclosure"]) == (2, 2, 2, pytest.approx(1.0))
+    assert r["discounted"] == pytest.approx((log2(n / 2) - log2(2 / 1.5)) / log2(n / 2))
+    assert pii.disclosing_terms(docs, min_contexts=3).collect() == []

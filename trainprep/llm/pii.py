@@ -8,9 +8,10 @@ entity's own information content,
     PMI(e; t) = log2( N * n(e, t) / (n(e) * n(t)) ),   IC(e) = log2( N / n(e) ),
 
 with document counts n. PMI / IC is 1 when the word occurs only together with the
-entity and 0 when it is independent. A word above the disclosure threshold is
-generalised, above the removal threshold it is removed, in every document that holds
-the entity.
+entity and 0 when it is independent. A few texts in common may be chance: PMI is
+discounted by log2(k / (k - DISCOUNT)) for k different texts with both. A word whose
+discounted share is above the disclosure threshold is generalised, above the removal
+threshold it is removed, in every document that holds the entity.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ PATTERNS = {
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Code points on either side of an entity that count as its context.
 REACH = 120
-#: Different contexts that an entity and a word must share before their counts say anything.
-#: A context is known by the MinHash of its words, so that near copies count about once.
-MIN_CONTEXTS = 5
+#: Different texts that an entity and a word must share: one text, however often copied, is
+#: no evidence. A text is known by its set of words.
+MIN_CONTEXTS = 2
+#: Part of a text taken off the number of different texts with entity and word.
+DISCOUNT = 0.5
 #: Share of the entity's information at which a word is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -115,11 +118,11 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, min_contexts: int = MIN_CONTEXTS,
                      generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Terms that reveal an entity: entity, term, n_entity, n_term, n_both, disclosure
-    (PMI / IC) and action (``generalise`` or ``remove``).
+    (PMI / IC), discounted (the same for the support) and action (``generalise`` or ``remove``).
 
     All counts are of documents, over all of them; copies count as documents, but a pair
-    also needs ``min_contexts`` different contexts, so that one text and its copies prove
-    nothing. An entity in every document carries no information and discloses nothing.
+    also needs ``min_contexts`` different texts, so that one text and its copies prove
+    nothing, and the thresholds apply to the discounted share. An entity in every document carries no information and discloses nothing.
     """
     found = base_spans(docs.select(F.col(text).alias("__text")), "__text")
     spans = F.concat(*[F.zip_with(F.col(k), _each(F.transform, F.col(k), _entity, k), lambda s, e: F.struct(
@@ -134,10 +137,10 @@ def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, mi
                 .select("__id", F.col("__s.entity").alias("entity"), around.alias("context")))
     mentions = stored(mentions, "pii-mentions")
     mentions = mentions.withColumn("words", _terms(F.col("context"))).withColumn(
-        "context", F.coalesce(F.array_min(F.transform("words", lambda w: F.xxhash64(w))), F.lit(0).cast("long")))
+        "context", F.xxhash64(F.array_sort("words")))
     n_docs = docs.count()
     n_entity = mentions.groupBy("entity").agg(F.countDistinct("__id").alias("n_entity"))
-    # entities met in enough different contexts
+    # entities met in enough different texts
     contexts = mentions.select("entity", F.col("context").alias("c")).distinct()
     known = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") >= min_contexts).select("entity")
     pairs = (mentions.join(known, "entity")
@@ -145,20 +148,19 @@ def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, mi
     # a document and a context count once; sums go through map-side aggregates
     support = pairs.select("entity", "term", "__c").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("__k"))
     both = pairs.select("entity", "term", "__id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    both = stored(both.join(support.where(F.col("__k") >= min_contexts), ["entity", "term"]).drop("__k")
+    both = stored(both.join(support.where(F.col("__k") >= min_contexts), ["entity", "term"])
                   .join(n_entity, "entity"), "pii-pairs")
-    if both.isEmpty():  # no word has enough contexts with any entity: no word's count is needed
-        return both.select("entity", "term", "n_entity", F.lit(0).cast("long").alias("n_term"), "n_both",
-                           F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).limit(0)
-    words = docs.select(F.explode(_terms(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("term"))
-    n_term = (words.join(both.select("term").distinct(), "term", "left_semi")
+    # counted before the join, so that a common word is one row per task
+    n_term = (docs.select(F.explode(_terms(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("term"))
               .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
     n = F.lit(float(max(n_docs, 1)))
     info = F.log2(n / F.col("n_entity"))
-    share = F.when(info > 0, F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / info).otherwise(F.lit(0.0))
-    return (both.join(n_term, "term").withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
-            .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
-            .select("entity", "term", "n_entity", "n_term", "n_both", "disclosure", "action"))
+    pmi = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    share = lambda bits: F.when(info > 0, bits / info).otherwise(F.lit(0.0))
+    return (both.join(n_term, "term").withColumn("disclosure", share(pmi))
+            .withColumn("discounted", share(pmi + F.log2(1 - DISCOUNT / F.col("__k")))).where(F.col("discounted") >= generalise)
+            .withColumn("action", F.when(F.col("discounted") >= remove, "remove").otherwise("generalise"))
+            .select("entity", "term", "n_entity", "n_term", "n_both", "disclosure", "discounted", "action"))
 
 
 RESULT = (*KINDS, "term", "sanitised")
