@@ -143,3 +143,18 @@ def test_two_texts_are_evidence_and_copies_are_none(spark):
     assert (r["n_entity"], r["n_both"], r["n_term"], r["disclosure"]) == (2, 2, 2, pytest.approx(1.0))
     assert r["discounted"] == pytest.approx((log2(n / 2) - log2(2 / 1.5)) / log2(n / 2))
     assert pii.disclosing_terms(docs, min_contexts=3).collect() == []
+
+
+def test_a_revealing_word_far_from_the_address(spark):
+    """Documents are counted whole: a name thousands of characters away gives the address away."""
+    rng = random.Random(8)
+    fill = lambda n: " ".join(rng.choice(["red", "blue", "green", "house", "tree", "river"]) for _ in range(n))
+    texts = [f"Marvin {fill(1500)} said{'abc'[i]} {fill(1500)} marvin@heart.example" for i in range(3)]
+    texts += [f"{fill(20)} {i}" for i in range(200)]
+    assert all(t.index("@") > 5000 for t in texts[:3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # the name is counted as a word, not as a part of the address, whose other parts are no words
+    assert [(r["term"], r["n_both"], r["n_term"]) for r in pii.disclosing_terms(docs).collect()] == [("marvin", 3, 3)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    assert all([(s["start"], s["end"]) for s in rows[i]["term"]] == ([(0, 6)] if i < 3 else []) for i in rows)
+    assert all("arvin" not in rows[i]["sanitised"] for i in range(3))

@@ -33,8 +33,6 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Code points on either side of an entity that count as its context.
-REACH = 120
 #: Different texts that an entity and a word must share: one text, however often copied, is
 #: no evidence. A text is known by its set of words.
 MIN_CONTEXTS = 2
@@ -115,44 +113,41 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", reach: int = REACH, min_contexts: int = MIN_CONTEXTS,
+def disclosing_terms(docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS,
                      generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Terms that reveal an entity: entity, term, n_entity, n_term, n_both, disclosure
     (PMI / IC), discounted (the same for the support) and action (``generalise`` or ``remove``).
 
     All counts are of documents, over all of them; copies count as documents, but a pair
     also needs ``min_contexts`` different texts, so that one text and its copies prove
-    nothing, and the thresholds apply to the discounted share. An entity in every document carries no information and discloses nothing.
+    nothing, and the thresholds apply to the discounted share. A word is in a document with
+    an entity wherever it stands there, but not if it is only part of an address. An entity
+    in every document carries no information and discloses nothing.
     """
     found = base_spans(docs.select(F.col(text).alias("__text")), "__text")
-    spans = F.concat(*[F.zip_with(F.col(k), _each(F.transform, F.col(k), _entity, k), lambda s, e: F.struct(
-        e.alias("entity"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
-    # one row per mention, with the code points around it but without any entity's own text
-    around = F.concat_ws(" ", F.expr(f"substring(__t, greatest(1, __s.start + 1 - {reach}), least({reach}, __s.start))"),
-                         F.expr(f"substring(__t, __s.end + 1, {reach})"))
-    for k in KINDS:
-        around = F.regexp_replace(around, PATTERNS[k], " ")
-    mentions = (found.withColumn("__id", F.monotonically_increasing_id())
-                .select("__id", "__t", F.explode(spans).alias("__s"))
-                .select("__id", F.col("__s.entity").alias("entity"), around.alias("context")))
-    mentions = stored(mentions, "pii-mentions")
-    mentions = mentions.withColumn("words", _terms(F.col("context"))).withColumn(
-        "context", F.xxhash64(F.array_sort("words")))
+    entities = F.array_distinct(F.concat(*[_each(F.transform, F.col(k), _entity, k) for k in KINDS]))
+    # documents with an entity: of all patterns only that of addresses has words in it
+    words = _terms(F.regexp_replace("__t", PATTERNS["email"], " "))
+    held = (found.select(F.monotonically_increasing_id().alias("__id"), "__t", entities.alias("entities"))
+            .where(F.size("entities") > 0).select("__id", "entities", words.alias("words"))
+            .withColumn("__c", F.xxhash64(F.array_sort("words"))))
+    held = stored(held, "pii-documents")
     n_docs = docs.count()
-    n_entity = mentions.groupBy("entity").agg(F.countDistinct("__id").alias("n_entity"))
-    # entities met in enough different texts
-    contexts = mentions.select("entity", F.col("context").alias("c")).distinct()
-    known = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") >= min_contexts).select("entity")
-    pairs = (mentions.join(known, "entity")
-             .select("entity", "__id", F.col("context").alias("__c"), F.explode("words").alias("term")))
-    # a document and a context count once; sums go through map-side aggregates
-    support = pairs.select("entity", "term", "__c").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("__k"))
-    both = pairs.select("entity", "term", "__id").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    both = stored(both.join(support.where(F.col("__k") >= min_contexts), ["entity", "term"])
-                  .join(n_entity, "entity"), "pii-pairs")
-    # counted before the join, so that a common word is one row per task
+    mentions = held.select("__id", "__c", F.explode("entities").alias("entity"))
+    n_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # entities met in enough different texts: only their documents are paired with their words
+    known = (mentions.select("entity", "__c").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("__k"))
+             .where(F.col("__k") >= min_contexts).select("entity"))
+    pairs = (mentions.join(known, "entity").join(held.select("__id", "words"), "__id")
+             .select("entity", "__c", F.explode("words").alias("term")))
+    # an entity, a document and a word meet in one row; sums go through map-side aggregates
+    both = (pairs.groupBy("entity", "term", "__c").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("__k"))
+            .where(F.col("__k") >= min_contexts).join(n_entity, "entity"))
+    # counted before the join, so that a common word is one row per task, and always
     n_term = (docs.select(F.explode(_terms(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("term"))
               .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    n_term = stored(n_term, "pii-words")
     n = F.lit(float(max(n_docs, 1)))
     info = F.log2(n / F.col("n_entity"))
     pmi = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
