@@ -68,3 +68,28 @@ def totals_before(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     groups = groups.select("__g", prior("__gv", Window.orderBy("__g")).alias("__g0"))
     return rows.join(groups, "__g").select(
         key, (F.col("__g0") + prior("__v", Window.partitionBy("__g").orderBy(key))).cast("long").alias(out))
+
+
+def ordered(df: DataFrame, order_cols: list[str], name: str, out: str = "__pos") -> DataFrame:
+    """``df`` with ``out``, each row's place (from 0) in the order of ``order_cols`` (nulls
+    first), stored.
+
+    Rows are dealt to tasks by ranges of all order columns, so a hot value of the first ones
+    is split by the later ones; end the list with a column that is unique in the stored
+    input. Each task numbers its sorted rows, and the counts of the tasks (one row each)
+    are summed up.
+    """
+    spark = df.sparkSession
+    sort = [F.col(c).asc_nulls_first() for c in order_cols]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+    # the id's lower 33 bits count the rows of a task in their order
+    dealt = dealt.withColumn("__part", F.spark_partition_id()).withColumn(
+        "__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    dealt = stored(dealt, name)
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = (dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+              .select(F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__start")))
+    # one row per task of the range exchange
+    placed = dealt.join(F.broadcast(starts), F.col("__part") == F.col("__p"))
+    return placed.withColumn(out, F.col("__start") + F.col("__at")).drop("__part", "__at", "__p", "__start")

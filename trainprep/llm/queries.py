@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainprep.llm import bitfiles, counts, decontaminate, dedup, packing, pii, quality, rules, sharding, urls
+from trainprep.llm import (bitfiles, bytebpe, conversations, counts, decontaminate, dedup, merkle, oracles,
+                           packing, pii, quality, rules, sharding, urls)
 from trainprep.plans.registry import table
 from trainprep.session import checkpoint_dir
 
@@ -92,14 +93,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "votes", "posterior")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = {"text": F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")}
+    manifest = merkle.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", tampered, hit)
+    return merkle.proofs(manifest, "doc_id").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bytebpe.digests(bytebpe.decode(encoded, ranks))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_packing, op3_bit_files, op4_decontamination, op5_pii, op6_near_dedup, op7_sharding,
-    op8_token_counts, op9_quality, op10_quality_rules)}
+    op8_token_counts, op9_quality, op10_quality_rules, op11_merkle_manifest, op12_byte_bpe, op13_conversation_repair)}
 
 # Decontamination is defined by its base alone. The other results rest on what SQL lacks:
 # trained models (1, 9, 10), tokenizers (2, 3, 8), PMI over Java patterns (5), components
 # of a similarity graph (6: written with a recursive query) and a random shuffle (7).
 ORACLES = {
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op13_conversation_repair": oracles.CONVERSATIONS,
     "op4_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
