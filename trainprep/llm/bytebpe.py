@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from trainprep.llm.common import slices, stored, worker_cache
 
@@ -328,7 +329,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
             texts = pa.array([None if r is None else b"".join(map(piece, r)) for r in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, out])
 
-    return src.mapInArrow(run, src.withColumn(out, F.lit(b"")).schema)
+    return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out, BinaryType())]))
 
 
 def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
