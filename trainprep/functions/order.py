@@ -19,11 +19,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trainprep.session import staged
+
 # Largest bucket table that is broadcast back.
 MAX_BROADCAST_BUCKETS = 200_000
 # Rows aimed at per bucket. A bucket is one window group, sorted with spilling.
@@ -140,7 +143,7 @@ def _with_offsets(b: DataFrame, offsets: DataFrame, part_cols, bound: float) ->
 def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
                part_cols=(), inclusive: bool = False, fn: str = "sum",
                width: int | None = None, stats: RankStats | None = None,
-               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, repeated: str | None = None) -> DataFrame:
     """Add ``out`` = ``fn`` (sum, min or max) of ``value`` over the rows before this one
     (or up to and including it when ``inclusive``), in ``order_cols`` order within
     ``part_cols``.
@@ -148,7 +151,8 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
     ``order_cols`` must give a unique order within ``part_cols``; the first one must be
     integral and is used for bucketing; a NULL key comes first. For ``sum`` a missing
     prefix is 0, for min/max it is NULL. ``width`` cuts the key into equal ranges without
-    looking at it (for uniform hashes).
+    looking at it (for uniform hashes). ``repeated`` adds a flag: the row before has the
+    same order columns.
     """
     order_cols = [order_cols] if isinstance(order_cols, (str, Column)) else list(order_cols)
     part_cols = list(part_cols)
@@ -170,27 +174,61 @@ def prefix_agg(df: DataFrame, value: str | Column, order_cols, out: str,
         res = F.coalesce(F.col("__bstart"), F.lit(0)) + F.coalesce(inner, F.lit(0))
     else:
         res = (F.least if fn == "min" else F.greatest)(F.col("__bstart"), inner)
+    if repeated:
+        order = Window.partitionBy(*part_cols, "__b").orderBy(*order_cols)
+        same = [F.lag(c).over(order).eqNullSafe(F.col(c) if isinstance(c, str) else c) for c in order_cols]
+        joined = joined.withColumn(repeated, reduce(Column.__and__, same, F.row_number().over(order) > 1))
     return joined.withColumn(out, res).drop("__v", "__b", "__bstart")
 
 
 def prefix_sum(df: DataFrame, value: str | Column, order_cols, out: str,
                part_cols=(), inclusive: bool = False, width: int | None = None,
                stats: RankStats | None = None,
-               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, repeated: str | None = None) -> DataFrame:
     """Exclusive (or inclusive) running sum as bigint; see ``prefix_agg``."""
     v = (F.col(value) if isinstance(value, str) else value).cast("bigint")
     res = prefix_agg(df, v, order_cols, out, part_cols, inclusive, "sum", width, stats,
-                     rows_per_bucket)
+                     rows_per_bucket, repeated)
     return res.withColumn(out, F.col(out).cast("bigint"))
 
 
 def dense_rank_by(df: DataFrame, order_cols, out: str = "rank", part_cols=(),
                   width: int | None = None, stats: RankStats | None = None,
-                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, repeated: str | None = None) -> DataFrame:
     """1-based position of each row in ``order_cols`` order within ``part_cols``
     (``row_number`` without a single-partition window)."""
     return prefix_sum(df, F.lit(1), order_cols, out, part_cols, inclusive=True,
-                      width=width, stats=stats, rows_per_bucket=rows_per_bucket)
+                      width=width, stats=stats, rows_per_bucket=rows_per_bucket, repeated=repeated)
+
+
+def ranked_rows(df: DataFrame, order_cols: list[str], part_cols=(), out: str = "rank", width: int | None = None,
+                stats: RankStats | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Positions as a narrow table and the rows to join them with: ``(ranks, rows, on)``.
+
+    ``join_ranks(rows, ranks, on)`` gives every row of ``df`` once with its 1-based ``out``;
+    ``ranks`` may be joined or filtered before. Where the order columns are unique within
+    ``part_cols``, they are the join key and only they are read here. Where they repeat,
+    a hash of the whole row tells rows apart; rows that agree in every column are
+    interchangeable, so ``rows`` holds one of them and ``ranks`` all their positions. A NULL key
+    is a key like others and comes first.
+    """
+    on = [*part_cols, *order_cols]
+    ranks = staged(dense_rank_by(df.select(*on), order_cols, out, part_cols, width, stats, repeated="__again"))
+    if not ranks.where("__again").limit(1).count():
+        return ranks.drop("__again"), df, on
+    on, order_cols = [*on, "__same"], [*order_cols, "__same"]
+    df = df.withColumn("__same", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    places = staged(df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")))
+    places = prefix_sum(places, "__n", order_cols, "__before", part_cols, width=width, stats=stats)
+    at = F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col("__n")))
+    return places.select(*on, at.alias(out)), df.dropDuplicates(on), on
+
+
+def join_ranks(rows: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the further columns of ``ranks``; NULL keys match."""
+    right = ranks.select(*[F.col(c).alias(f"__on_{i}") for i, c in enumerate(on)], *[c for c in ranks.columns if c not in on])
+    keys = [F.col(c).eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)]
+    return rows.join(right, keys).drop("__same", *[f"__on_{i}" for i in range(len(on))])
 
 
 def hash_bucket_width(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:

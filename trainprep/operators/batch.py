@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainprep.functions.hashing import h60
-from trainprep.functions.order import RankStats, dense_rank_by, hash_bucket_width
+from trainprep.functions.order import RankStats, hash_bucket_width, join_ranks, ranked_rows
 from trainprep.operators.tokenize import IGNORE_INDEX
 
 
@@ -22,16 +22,16 @@ def epoch_order(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
     ``shuffle`` (train), natural id order otherwise (validation).
 
     Only the ids are ranked; the examples move once, in the join with their positions.
-    ``n_rows`` (counted when not given) sets the number of hash buckets. Ids are unique."""
-    ids = df.select(id_col)
+    ``n_rows`` (counted when not given) sets the number of hash buckets. Every row gets a
+    position of its own, also where ids repeat or are NULL."""
+    df = df.drop(out)
     if shuffle:
-        n = ids.count() if n_rows is None else n_rows
-        keyed = ids.withColumn("__h", h60(seed, epoch, F.col(id_col)))
-        ranked = dense_rank_by(keyed, ["__h", id_col], out, width=hash_bucket_width(n),
-                               stats=RankStats(0, (1 << 60) - 1, n, 1)).drop("__h")
+        n = df.select(id_col).count() if n_rows is None else n_rows
+        keyed = df.withColumn("__h", h60(seed, epoch, F.col(id_col)))
+        ranks, rows, on = ranked_rows(keyed, ["__h", id_col], [], out, hash_bucket_width(n), RankStats(0, (1 << 60) - 1, n, 1))
     else:
-        ranked = dense_rank_by(ids, [id_col], out)
-    return df.drop(out).join(ranked.withColumn(out, F.col(out) - 1), id_col)
+        ranks, rows, on = ranked_rows(df, [id_col], [], out)
+    return join_ranks(rows, ranks.withColumn(out, F.col(out) - 1), on).drop("__h")
 
 
 def assign_examples(df: DataFrame, n_examples, world_size: int, pos_col: str = "pos") -> DataFrame:
