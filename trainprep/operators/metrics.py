@@ -1,19 +1,22 @@
 """Training metrics as aggregates over long tables.
 
 The reference sums locally and all-reduces; here that is Spark's partial + final
-hash aggregate. Sequential state (early stopping) is rebuilt from prefix
-aggregates, so no run's history has to sit in one window partition.
+hash aggregate. Sequential state (early stopping) is composed from summaries of
+buckets, so no run's history has to sit in one task.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainprep.functions.order import key_stats, prefix_agg, prefix_sums
-from trainprep.session import materialize
+from trainprep.session import staged
 
 
 def weighted_metrics(df: DataFrame, group_cols=("metric",), value_col: str = "value",
@@ -40,47 +43,142 @@ def masked_mean_loss(df: DataFrame, group_cols=("seq",), label_col: str = "label
     return df.groupBy(*group_cols).agg(loss.alias("loss"))
 
 
+#: Rows of a bucket: what one task replays at a time, and one row on the driver.
+STOP_BUCKET_ROWS = 100_000
+
+
+def replay_losses(run_start: np.ndarray, step: np.ndarray, loss: np.ndarray, patience: int, first_counted: int,
+                  best: float = math.inf, count: int = 0) -> dict:
+    """Early stopping over rows in order, several runs end to end: ``run_start`` marks the first
+    row of each. ``best`` and ``count`` are the state that the first run comes with.
+
+    Returns per row: best before it, improved, no_improve; no row is cut.
+    """
+    n = len(loss)
+    value = np.where(np.isnan(loss), math.inf, loss)
+    run = np.cumsum(run_start)
+    low = pd.Series(value).groupby(run).cummin().to_numpy()
+    before = np.where(run_start, math.inf, np.r_[math.inf, low[:-1]])
+    own = run == run[0]
+    before[own] = np.minimum(before[own], best)
+    improved = value < before
+    counted = np.cumsum(~improved & (step >= first_counted))
+    # the count at the last improvement, or at the run's start, where the first run brings its own
+    reset = improved | run_start
+    at = np.maximum.accumulate(np.where(reset, np.arange(n), 0))
+    base = np.where(improved, counted, np.r_[0, counted[:-1]])
+    base[0] -= 0 if improved[0] else count
+    return {"before": before, "improved": improved, "no_improve": counted - base[at]}
+
+
 def early_stopping(df: DataFrame, patience: int, skip_steps: int = 0, start_step: int = 0,
                    run_col: str = "run", step_col: str = "step", loss_col: str = "loss",
-                   checkpoint: bool = True) -> DataFrame:
+                   checkpoint: bool = True, bucket_rows: int = STOP_BUCKET_ROWS) -> DataFrame:
     """Replay early stopping over validation losses per run, in ``step`` order.
 
     A loss strictly below the best so far resets the counter; otherwise the counter
     grows unless ``step < skip_steps + start_step``; the run stops at the first
-    evaluation where counter >= patience. Rows after the stop are cut.
-
-    Built from prefix aggregates: best-before (prefix min), improvement flag, group
-    id (prefix count of improvements), eligible non-improvements counted since the
-    group start (two prefix sums), first stop per run (min) joined back.
+    evaluation where counter >= patience. Rows after the stop are cut. A NULL or NaN loss
+    is no improvement; a NULL step comes first and is not counted; a NULL run is a run.
+
+    A scan with a composed state: the rows are sorted into buckets, and a bucket is summed
+    up by what it does to the state of the run that enters it. First by its minimum, which
+    gives the best loss that enters each bucket; then, with that known, by the rows counted up
+    to its first improvement, the count it ends with and whether it stops in between. The
+    summaries (one row per ``bucket_rows`` rows) are composed in order, and each bucket is
+    replayed from its state. So a run of any length lies in as many tasks as it has
+    buckets, and nothing is joined by run. ``checkpoint`` is kept for callers; the sorted
+    rows (three narrow columns) are always staged.
     Output adds ``best_loss``, ``improved``, ``no_improve``, ``should_stop``,
     ``attempts_left``, ``skip_left``.
     """
-    # Each prefix pass reads its input twice (bucket sums and the rows), so chained
-    # passes would repeat the upstream plan 2^k times; narrow checkpoints in the shared
-    # folder cut the lineage between passes (and survive executor loss).
-    base = df.select(run_col, step_col, loss_col)
-    st = key_stats(base, step_col, [run_col])  # one aggregate row, reused by both passes
-    d = prefix_agg(base, F.col(loss_col), [step_col], "__best_before", [run_col], fn="min", stats=st)
-    improved = F.col("__best_before").isNull() | (F.col(loss_col) < F.col("__best_before"))
-    d = d.withColumn("improved", improved)
-    d = d.withColumn("__elig", (~F.col("improved") & (F.col(step_col) >= skip_steps + start_step)).cast("int"))
-    if checkpoint:
-        d = materialize(d)
-    d = prefix_sums(d, {"__grp": F.col("improved").cast("int"), "__cum": "__elig"}, [step_col], [run_col],
-                    inclusive=True, stats=st)
-    if checkpoint:
-        d = materialize(d)
-    starts = d.groupBy(run_col, "__grp").agg(F.min(F.col("__cum") - F.col("__elig")).alias("__c0"))
-    d = d.join(starts, [run_col, "__grp"])
-    d = d.withColumn("no_improve", (F.col("__cum") - F.col("__c0")).cast("bigint"))
-    d = d.withColumn("should_stop", F.col("no_improve") >= patience)
-    first_stop = d.where("should_stop").groupBy(run_col).agg(F.min(step_col).alias("__stop"))
-    d = d.join(first_stop, run_col, "left").where(F.col("__stop").isNull() | (F.col(step_col) <= F.col("__stop")))
-    best = F.least(F.coalesce(F.col("__best_before"), F.col(loss_col)), F.col(loss_col))
-    return (d.withColumn("best_loss", best)
-            .withColumn("attempts_left", (F.lit(patience) - F.col("no_improve")).cast("bigint"))
-            .withColumn("skip_left", F.greatest(F.lit(skip_steps + start_step) - F.col(step_col), F.lit(0)).cast("bigint"))
-            .drop("__best_before", "__elig", "__grp", "__cum", "__c0", "__stop"))
+    first_counted = skip_steps + start_step
+    base = df.select(F.col(run_col).alias("run"), F.col(step_col).cast("long").alias("step"), F.col(loss_col).cast("double").alias("loss"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in ("run", "step", "loss")]
+    rows = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id has the task in its upper bits and counts its rows in the lower 33
+    rows = staged(rows.withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("bucket", F.shiftright("at", 33) * (1 << 33) + F.expr(f"(at & {(1 << 33) - 1}) div {int(bucket_rows)}"))
+
+    ends = F.struct(F.struct("run").alias("key"), "low")
+    edges = (rows.groupBy("bucket", "run").agg(F.min(F.when(~F.isnan("loss"), F.col("loss"))).alias("low"))
+             .groupBy("bucket").agg(F.min(F.struct("run")).alias("first"), F.max(ends).alias("last")).orderBy("bucket").collect())
+    entering, run, best = {}, None, math.inf
+    for e in edges:
+        best = best if run == (e["first"]["run"],) else math.inf
+        entering[e["bucket"]] = best
+        low = math.inf if e["last"]["low"] is None else e["last"]["low"]
+        best = min(best, low) if e["first"] == e["last"]["key"] else low
+        run = (e["last"]["key"]["run"],)
+
+    def arrays(table):
+        table = table.sort_by("at")
+        runs = table["run"].combine_chunks()
+        start = np.r_[True, np.zeros(len(runs) - 1, bool)]
+        if len(runs) > 1:
+            a, b = runs[1:], runs[:-1]
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            start[1:] = ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
+        step = pc.fill_null(table["step"], -(1 << 62)).to_numpy()
+        return table, start, step, pc.fill_null(table["loss"], math.nan).to_numpy()
+
+    def summary(key, table):
+        table, start, step, loss = arrays(table)
+        bucket = key[0].as_py()
+        r = replay_losses(start, step, loss, patience, first_counted, entering[bucket])
+        more = np.flatnonzero(start)[1:]
+        n = int(more[0]) if len(more) else len(start)     # rows of the run that enters
+        better = np.flatnonzero(r["improved"][:n])
+        k = int(better[0]) if len(better) else n
+        lasts = int(more[-1]) if len(more) else 0          # rows of the run that leaves
+        return pa.table({"bucket": [bucket], "prefix": [int(r["no_improve"][k - 1]) if k else 0], "improves": [k < n],
+                         "stops": [bool((r["no_improve"][k:n] >= patience).any())],
+                         "tail": [int(r["no_improve"][-1])], "leaves": [bool((r["no_improve"][lasts:] >= patience).any())]})
+
+    found = rows.groupBy("bucket").applyInArrow(summary, "bucket long, prefix long, improves boolean, stops boolean, tail long, leaves boolean")
+    found = {s["bucket"]: s for s in found.collect()}   # one row per bucket
+    states, run, count, stopped = {}, None, 0, False
+    for e in edges:
+        s = found[e["bucket"]]
+        if run != (e["first"]["run"],):
+            count, stopped = 0, False
+        states[e["bucket"]] = entering[e["bucket"]], count, stopped
+        if e["first"] != e["last"]["key"]:
+            count, stopped = s["tail"], s["leaves"]
+        elif not stopped:
+            # the prefix counts on from the state; after an improvement the state is forgotten
+            stopped = (count + s["prefix"] >= patience and (s["prefix"] > 0 or not s["improves"])) or s["stops"]
+            count = s["tail"] if s["improves"] else count + s["prefix"]
+        run = (e["last"]["key"]["run"],)
+    shared = df.sparkSession.sparkContext.broadcast(states)
+
+    def replay(key, table):
+        table, start, step, loss = arrays(table)
+        best, count, stopped = shared.value[key[0].as_py()]
+        r = replay_losses(start, step, loss, patience, first_counted, best, count)
+        run = np.cumsum(start) - 1
+        stop = r["no_improve"] >= patience
+        # rows after the first stop of their run
+        past = np.cumsum(stop) - stop
+        keep = past == past[np.flatnonzero(start)][run]
+        if stopped:
+            keep &= run > 0
+        low = np.fmin(r["before"], loss)
+        out = {"run": table["run"], "step": table["step"], "loss": table["loss"],
+               "best_loss": pa.array(low, pa.float64(), mask=np.isinf(low)), "improved": pa.array(r["improved"]),
+               "no_improve": pa.array(r["no_improve"], pa.int64()), "should_stop": pa.array(stop)}
+        return pa.table(out).filter(pa.array(keep))
+
+    kind = rows.schema["run"].dataType.simpleString()
+    out = rows.groupBy("bucket").applyInArrow(
+        replay, f"run {kind}, step long, loss double, best_loss double, improved boolean, no_improve long, should_stop boolean")
+    types = {c: df.schema[c].dataType for c in (step_col, loss_col)}
+    return out.select(
+        F.col("run").alias(run_col), F.col("step").cast(types[step_col]).alias(step_col), F.col("loss").cast(types[loss_col]).alias(loss_col),
+        "improved", "no_improve", "should_stop", F.col("best_loss").cast(types[loss_col]).alias("best_loss"),
+        (F.lit(patience) - F.col("no_improve")).cast("bigint").alias("attempts_left"),
+        F.greatest(F.lit(first_counted) - F.col("step"), F.lit(0)).cast("bigint").alias("skip_left"))
 
 
 def throughput(df: DataFrame, group_cols=("run",), tokens_col: str = "tokens", dt_col: str = "dt") -> DataFrame:
