@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trainprep.functions.order import prefix_sum
 from trainprep.operators import batch
 from trainprep.operators.pack import assign_ranks, blocks_per_shard, pack_blocks, shuffle_shards, slice_tokens
+from trainprep.operators.permute import epoch_permutation
 
 
 def pretraining_batches(shards: DataFrame, seq_len: int, batch_size: int, world_size: int,
@@ -48,29 +49,38 @@ def pretraining_batches(shards: DataFrame, seq_len: int, batch_size: int, world_
 
 
 def _example_batches(examples: DataFrame, id_col: str, batch_size: int, world_size: int, seed: int, epoch: int,
-                     shuffle: bool, first_batch: int) -> DataFrame:
+                     shuffle: bool, first_batch: int, pos_col: str | None = None) -> DataFrame:
     """Examples with rank, batch and row. In training (``shuffle``) a rank's last short
-    batch is dropped; ``first_batch`` skips the batches that every rank has had."""
+    batch is dropped; ``first_batch`` skips the batches that every rank has had. With
+    ``pos_col`` (``store_positions``) an epoch's order is a keyed permutation of it: a
+    projection, where otherwise the ids are ranked by their hash."""
     n = examples.count()  # a count of the ids; no tokens are read
-    placed = batch.epoch_order(examples, id_col, seed, epoch, shuffle, n_rows=n)
+    if pos_col and shuffle:
+        placed = epoch_permutation(examples, n, seed, epoch, pos_col)
+    elif pos_col:
+        placed = examples.withColumn("pos", F.col(pos_col))
+    else:
+        placed = batch.epoch_order(examples, id_col, seed, epoch, shuffle, n_rows=n)
     shared = batch.assign_examples(placed, n, world_size)
     rows = batch.batch_examples(shared, batch_size, n, world_size, drop_last=shuffle)
     return rows.where(F.col("batch") >= first_batch).withColumn("row", (F.col("local_pos") % batch_size).cast("int"))
 
 
 def chat_batches(examples: DataFrame, id_col: str, seq_len: int, batch_size: int, world_size: int, pad_id: int,
-                 seed: int = 0, epoch: int = 0, shuffle: bool = True, first_batch: int = 0) -> DataFrame:
+                 seed: int = 0, epoch: int = 0, shuffle: bool = True, first_batch: int = 0,
+                 pos_col: str | None = None) -> DataFrame:
     """Rows rank, batch, row, ``id_col``, padded input_ids and labels, valid_tokens."""
-    rows = _example_batches(examples, id_col, batch_size, world_size, seed, epoch, shuffle, first_batch)
+    rows = _example_batches(examples, id_col, batch_size, world_size, seed, epoch, shuffle, first_batch, pos_col)
     rows = rows.withColumn("valid_tokens", batch.valid_tokens("labels"))
     return batch.pad_batch(rows, seq_len, pad_id).select("rank", "batch", "row", id_col, "input_ids", "labels", "valid_tokens")
 
 
 def preference_batches(examples: DataFrame, id_col: str, seq_len: int, batch_size: int, world_size: int, pad_id: int,
-                       seed: int = 0, epoch: int = 0, shuffle: bool = True, first_batch: int = 0) -> DataFrame:
+                       seed: int = 0, epoch: int = 0, shuffle: bool = True, first_batch: int = 0,
+                       pos_col: str | None = None) -> DataFrame:
     """Rows rank, batch, row, ``id_col``, the three padded id columns, and the tokens
     processed for the triple."""
-    rows = _example_batches(examples, id_col, batch_size, world_size, seed, epoch, shuffle, first_batch)
+    rows = _example_batches(examples, id_col, batch_size, world_size, seed, epoch, shuffle, first_batch, pos_col)
     rows = rows.withColumn("processed", batch.processed_tokens_dpo())
     return batch.pad_preference_batch(rows, seq_len, pad_id).select(
         "rank", "batch", "row", id_col, "prompt_input_ids", "chosen_input_ids", "rejected_input_ids", "processed")

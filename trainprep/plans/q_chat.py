@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trainprep.operators import batch, normalize as nz, tokenize
+from trainprep.operators import batch, normalize as nz, permute, tokenize
 from trainprep.plans.registry import query, table
 
 SEED = 42
@@ -253,6 +253,55 @@ def q_batch_examples(spark, sf):
                                           F.sum(batch.valid_tokens("labels")).cast("bigint").alias("n_valid"))
 
 
+def _permuted(n: str, rows: str) -> str:
+    """Relation ``ord``: the rows of ``rows`` (with ``example_pos``) and their place ``pos`` in
+    epoch 1, by the rounds of ``permute`` one after the other."""
+    h = f"('0x'||substr(md5('{SEED}|1|'||(k % 6)||'|'||v),1,15))::BIGINT"
+    return f"""
+, nn AS (SELECT ({n})::BIGINT AS n)
+, g AS (SELECT n, a, (n + a - 1) // a AS b FROM nn, range(200) t(i), LATERAL (SELECT ceil(sqrt(n))::BIGINT + i AS a)
+        ORDER BY (a - n % a) % a, a LIMIT 1)
+, f AS (
+  SELECT example_pos, example_pos // b AS l, example_pos % b AS r, 0 AS k FROM {rows}, g
+  UNION ALL
+  SELECT example_pos, CASE WHEN k % 2 = 0 THEN (l + {h.replace("v", "r")}) % a ELSE l END,
+         CASE WHEN k % 2 = 1 THEN (r + {h.replace("v", "l")}) % b ELSE r END, k + 1
+  FROM f, g WHERE NOT (k > 0 AND k % 6 = 0 AND l * b + r < n))
+, ord AS (SELECT e.*, l * b + r AS pos, n FROM f, g JOIN {rows} e ON true
+          WHERE e.example_pos = f.example_pos AND k > 0 AND k % 6 = 0 AND l * b + r < n)
+"""
+
+
+_BY_POSITION = ("WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS example_pos FROM documents)"
+                + _permuted("SELECT count(*) FROM documents", "d"))
+
+
+@query("epoch_permutation", _BY_POSITION + "SELECT doc_id, example_pos, pos FROM ord")
+def q_epoch_permutation(spark, sf):
+    """Epoch 1 of the documents: a keyed permutation of their stored positions."""
+    d = permute.store_positions(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return permute.epoch_permutation(d, d.count(), SEED, 1).select("doc_id", "example_pos", "pos")
+
+
+@query("permuted_batches", (_EX.split(", ord AS")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+       + ", p AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS example_pos FROM ex)"
+       + _permuted("SELECT count(*) FROM ex", "p") + """
+, q AS (SELECT *, unnest(range(pos, (ceil(n / 3) * 3)::BIGINT, n)) AS q FROM ord)
+, asg AS (SELECT *, q % 3 AS rank, q // 3 AS local_pos FROM q)
+SELECT rank::INT AS rank, local_pos // 4 AS batch, count(*) AS n_rows, sum(n_valid)::BIGINT AS n_valid
+FROM asg WHERE local_pos < floor(ceil(n / 3) / 4) * 4 GROUP BY 1, 2
+"""))
+def q_permuted_batches(spark, sf):
+    """The batches of ``batch_examples``, ordered by the keyed permutation: the examples are
+    staged once and each epoch reads them by one scan and a count."""
+    ex = permute.store_positions(tokenize.encode_chat(sft(spark, sf)), "conv_id")
+    n = ex.count()
+    placed = permute.epoch_permutation(ex, n, SEED, 1)
+    b = batch.batch_examples(batch.assign_examples(placed, n, 3), 4, n, 3, drop_last=True)
+    return b.groupBy("rank", "batch").agg(F.count(F.lit(1)).alias("n_rows"),
+                                          F.sum(batch.valid_tokens("labels")).cast("bigint").alias("n_valid"))
+
+
 @query("pad_batch", _EX + """
 , b AS (SELECT *, local_pos // 4 AS batch, max(n_ids) OVER (PARTITION BY rank, local_pos // 4) AS L FROM asg)
 SELECT rank::INT AS rank, batch, conv_id, local_pos, least(L, 256)::INT AS width,

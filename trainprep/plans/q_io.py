@@ -13,7 +13,9 @@ from trainprep.sources.io import (Source, SourceRegistry, read_choice_jsonl, rea
                                   write_examples, write_if_absent, write_metrics, write_token_shards,
                                   shard_label)
 from trainprep.streaming.early_stop import stream_early_stopping
+from trainprep.streaming.mix import read_mixed, read_taken, stream_interleave, stream_take
 from trainprep.streaming.prepare import read_prepared, stream_prepare
+from trainprep.streaming.records import read_records, stream_records
 
 SEED = 42
 
@@ -197,6 +199,52 @@ def q_stream_prepare(spark, sf):
     return pack.shard_summary(read_prepared(spark, out))
 
 
+@query("stream_interleave", q_corpus._mix_oracle(None))
+def q_stream_interleave(spark, sf):
+    """The mix of the documents arriving in 4 micro-batches: equal to the mix of the table."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    src = _staged_copy(spark, docs, "doc_id", 4, "stream-mix-in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", GROUP_FILES).parquet(src)
+    out = scratch_path(spark, "stream-mix")
+    stream_interleave(stream, out, scratch_path(spark, "stream-mix-ckpt"), q_corpus._MIX, SEED).awaitTermination()
+    return read_mixed(spark, out).select("doc_id", "source", "mix_pos")
+
+
+TAKEN = 700
+
+
+@query("stream_take", f"SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT {TAKEN}")
+def q_stream_take(spark, sf):
+    """The first documents of a stream of 4 micro-batches: equal to the take of the table."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    src = _staged_copy(spark, docs, "doc_id", 4, "stream-take-in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", GROUP_FILES).parquet(src)
+    out = scratch_path(spark, "stream-take")
+    stream_take(stream, TAKEN, out, scratch_path(spark, "stream-take-ckpt")).awaitTermination()
+    return read_taken(spark, out).select("doc_id", "source")
+
+
+@query("stream_records", """
+SELECT user_id AS run, event_id // 10 AS step,
+       max_by(value, event_id) FILTER (event_type IN ('click', 'view')) AS loss,
+       max_by(event_id, event_id) FILTER (event_type NOT IN ('click', 'view')) AS lr
+FROM events GROUP BY 1, 2
+""")
+def q_stream_records(spark, sf):
+    """Step records of which one metric comes with some events and the other with the rest,
+    in 4 micro-batches; the last value counts. One event per micro-batch keeps a metric's
+    order: the events of a step that share a metric are told apart by their id."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    src = _staged_copy(spark, e, "event_id", 4, "stream-records-in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", GROUP_FILES).parquet(src)
+    loss = F.col("event_type").isin("click", "view")
+    rows = stream.select(F.col("user_id").alias("run"), F.expr("event_id div 10").alias("step"),
+                         F.when(loss, F.struct("event_id", "value")).alias("loss"), F.when(~loss, F.col("event_id")).alias("lr"))
+    out = scratch_path(spark, "stream-records")
+    stream_records(rows, out, scratch_path(spark, "stream-records-ckpt")).awaitTermination()
+    return read_records(spark, out).select("run", "step", F.col("loss.value").alias("loss"), "lr")
+
+
 @query("stream_early_stopping", q_eval.ORACLE_EARLY_STOP)
 def q_stream_early_stopping(spark, sf):
     """Validation losses (events) arrive in 4 micro-batches; state per run carries over."""
