@@ -34,6 +34,12 @@ def epoch_order(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0,
     return join_ranks(rows, ranks.withColumn(out, F.col(out) - 1), on).drop("__h")
 
 
+def count_examples(df: DataFrame, by: tuple = ()) -> DataFrame:
+    """Length of a data set: ``n_examples``, in all or per value of ``by`` (such as the split).
+    Only the columns of ``by`` are read."""
+    return df.select(*by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_examples"))
+
+
 def assign_examples(df: DataFrame, n_examples, world_size: int, pos_col: str = "pos") -> DataFrame:
     """Even shares: positions are padded by repeating leading examples until the
     total is a multiple of P; rank r takes padded positions r, r+P, ...

@@ -330,7 +330,7 @@ def q_valid_tokens(spark, sf):
 
 @query("count_examples", _SFT + "SELECT count(*) AS n_examples FROM s")
 def q_count_examples(spark, sf):
-    return sft(spark, sf).agg(F.count(F.lit(1)).alias("n_examples"))
+    return batch.count_examples(sft(spark, sf))
 
 
 _DPO_EX = _DPO + f"""

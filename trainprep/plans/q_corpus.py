@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trainprep.operators import mix, pack, tokenize
+from trainprep.operators import mix, normalize as nz, pack, tokenize
 from trainprep.plans.pretrain import place_documents
 from trainprep.plans.q_chat import _SFT as _SFT_SQL
 from trainprep.plans.registry import query, table
@@ -321,6 +321,16 @@ def q_take_interleave(spark, sf):
     return mixed_corpus(d, _MIX, SEED, "doc_id", take={k: 20 for k in _MIX}).select("doc_id", "source", "mix_pos")
 
 
+@query("take_first_rows", """
+SELECT k FROM (SELECT nullif(source, 'src3') AS k FROM documents) ORDER BY k NULLS LAST
+LIMIT (SELECT count(*) // 2 FROM documents)
+""")
+def q_take_first_rows(spark, sf):
+    """``take_first`` of half the documents by a string key with many ties and NULLs."""
+    d = table(spark, sf, "documents").select(F.expr("nullif(source, 'src3')").alias("k"))
+    return nz.take_first(d, d.count() // 2, "k")
+
+
 @query("mixture_summary", f"""
 SELECT source, split, count(*) AS n_rows
 FROM (SELECT source, {_SPLIT} AS split FROM documents)

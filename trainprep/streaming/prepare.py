@@ -78,8 +78,8 @@ def stream_prepare(stream: DataFrame, out_path: str, checkpoint: str, seed: int
 def read_prepared(spark: SparkSession, out_path: str) -> DataFrame:
     """All slices of the batches committed so far; a batch still being written, or left by
     a failed attempt, is not seen."""
-    done = _state(spark, out_path).select("stream", "batch").distinct().collect()  # one row per batch
-    paths = [f"{out_path}/slices/stream={r.stream}/batch={r.batch}" for r in done]
-    if not paths:
+    done = _state(spark, out_path).select(F.col("stream").alias("__s"), F.col("batch").alias("__b")).distinct()
+    if done.isEmpty():
         raise ValueError(f"nothing is committed in {out_path}")
-    return spark.read.option("basePath", f"{out_path}/slices").parquet(*paths)
+    slices = spark.read.parquet(f"{out_path}/slices")   # stream and batch are folders: pruned by the join
+    return slices.join(done, (F.col("stream") == F.col("__s")) & (F.col("batch") == F.col("__b")), "left_semi")
