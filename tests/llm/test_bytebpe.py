@@ -81,16 +81,19 @@ def test_rank_map_holds_every_pair():
 def test_odd_and_empty_tables(spark, library):
     docs = odd_documents(spark).withColumn("ids", F.lit(1)).withColumn("new", F.lit("x"))
     docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    got = B.digests(B.decode(B.encode(docs, RANKS, PATTERN), RANKS)).collect()
+    got = B.decode(B.encode(docs, RANKS, PATTERN, packed=True), RANKS).collect()
+    got = [(r["doc_id"], len(r["ids"]) // 4, hashlib.sha256(r["ids"]).hexdigest(), hashlib.sha256(r["decoded"]).hexdigest()) for r in got]
     want = []
     for r in docs.collect():
         ids = library.encode_ordinary(r["text"] or "")
         want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
                      hashlib.sha256((r["text"] or "").encode()).hexdigest()))
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert sorted(got, key=key) == sorted(want, key=key)
     assert B.encode(empty_documents(spark), RANKS, PATTERN).collect() == []
     null = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        B.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), RANKS).collect()
     assert [r["decoded"] for r in B.decode(null, RANKS).orderBy("doc_id").collect()] == [None, bytearray()]
 
 
@@ -103,3 +106,13 @@ def test_query(spark, library):
         r = got[d["doc_id"]]
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+
+
+def test_known_words_are_checked_by_their_bytes():
+    words = ["a", " the", "é", "漢字"]
+    marks = np.concatenate([[0], np.cumsum([len(w.encode()) for w in words])])
+    known = B.Known({"text": np.frombuffer("".join(words).encode(), np.uint8), "marks": marks})
+    assert known.rows([" the", "x", "漢字", "a", "the", "é"]).tolist() == [1, -1, 3, 0, -1, 2]
+    known.hashes = np.sort(np.array([hash(w) for w in ("q", " the", "é", "漢字")], np.int64))   # "q" now hits a wrong word
+    known.order = np.array([{hash("q"): 0, hash(" the"): 1, hash("é"): 2, hash("漢字"): 3}[h] for h in known.hashes.tolist()])
+    assert known.rows(["q", "é"]).tolist() == [-1, 2] and known.rows([]).tolist() == []

@@ -12,7 +12,7 @@ shuffled and the list changes nothing but time. The fold is quadratic in the len
 piece, so pieces above ``FOLD_BYTES`` bytes (junk without spaces) go through the same
 merges with a heap in the Arrow function that cuts the text.
 
-Decoding looks up each id's bytes and concatenates them.
+Decoding gathers each id's bytes from one array and concatenates them.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from trainprep.llm.common import slices, stored, worker_cache
 
-#: Most words whose ids are broadcast (about 30 bytes each).
+#: Most words whose ids are broadcast (about 40 bytes each, in arrays).
 COMMON_WORDS = 1_000_000
 #: Longest piece, in bytes, that the higher-order fold takes.
 FOLD_BYTES = 256
@@ -66,7 +66,7 @@ class RankMap:
                 if a is not None and b is not None:
                     self.pairs[a, b] = rank
         # ids of 20 bits: 60 bits a slot
-        self.size = 1 << max(4, (2 * len(self.pairs)).bit_length())
+        self.size = 1 << max(4, (len(self.pairs) * 5 // 4).bit_length())
         for self.mul in range(40503, 60000, 2):
             if (slots := self._place()) is not None:
                 break
@@ -175,8 +175,9 @@ def _byte_lists(words: list[bytes], byte_ids) -> pa.Array:
 
 
 def common_words(docs: DataFrame, ranks: RankMap, text: str, limit: int) -> dict:
-    """Words that occur most often among all blank-separated words, with the ids of the word
-    after a space: {"words": list, "ends": array, "ids": array} of at most ``limit`` words.
+    """Words that occur most often among all blank-separated words, each with a space before
+    it, and their ids, of at most ``limit`` words: {"text": UTF-8 bytes end to end, "marks":
+    where each word ends, "ids": ids end to end, "ends": where each word's ids end}.
 
     The frequency from which on words are taken is the lowest power of two that leaves at
     most ``limit`` of them, found from at most 64 counts.
@@ -194,21 +195,58 @@ def common_words(docs: DataFrame, ranks: RankMap, text: str, limit: int) -> dict
 
     def spelled(batches):
         for b in batches:
-            words = [b" " + w.encode() for w in b.column(0).to_pylist()]
+            words = [w.encode() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _byte_lists(words, byte_ids)], ["w", "bytes"])
 
-    taken = counted.where(F.col("b") >= least).select("w").mapInArrow(spelled, "w string, bytes array<bigint>")
-    # words share an array, so that the literal is bound once for many of them
+    taken = counted.where(F.col("b") >= least).select(F.concat(F.lit(" "), "w").alias("w"))
+    taken = taken.mapInArrow(spelled, "w string, bytes array<bigint>")
     folded = stored(taken.select("w", fold_merges(F.array("bytes"), ranks)[0].alias("ids")), "bpe-common").toArrow()
-    ids = folded["ids"].combine_chunks()
-    return {"words": folded["w"].to_pylist(), "ends": ids.offsets.to_numpy().copy() if len(ids) else np.zeros(1, np.int32),
-            "ids": ids.flatten().to_numpy().astype(np.int32) if len(ids) else np.zeros(0, np.int32)}
+    ids, words = folded["ids"].combine_chunks(), folded["w"].cast(pa.large_string()).combine_chunks()
+    ids, words = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, words))
+    lens = np.array([] if not len(words) else pc.binary_length(words).to_numpy(), np.int64)
+    return {"text": np.frombuffer("".join(words.to_pylist()).encode(), np.uint8), "marks": np.concatenate([[0], np.cumsum(lens)]),
+            "ids": ids.flatten().to_numpy().astype(np.int32), "ends": _ends(ids) if len(ids) else np.zeros(1, np.int64)}
+
+
+class Known:
+    """The broadcast words in arrays: their hashes in order, found by binary search, and
+    the bytes against which every match is checked. A word takes some 40 bytes; a dict of
+    strings would take 150."""
+
+    def __init__(self, table: dict):
+        self.text, self.marks = table["text"], table["marks"]
+        raw = self.text.tobytes()
+        cut = zip(self.marks[:-1].tolist(), self.marks[1:].tolist())
+        hashes = np.fromiter((hash(raw[a:b].decode()) for a, b in cut), np.int64, len(self.marks) - 1)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        """Row of each piece, -1 where it is not known."""
+        if not len(self.hashes) or not pieces:
+            return np.full(len(pieces), -1, np.int32)
+        asked = np.fromiter(map(hash, pieces), np.int64, len(pieces))
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        row = np.where(self.hashes[at] == asked, self.order[at], -1)
+        hit = np.flatnonzero(row >= 0)
+        # the same hash is the same word, unless the bytes say otherwise
+        spelled = [pieces[i] for i in hit.tolist()]
+        start, stop = self.marks[row[hit]], self.marks[row[hit] + 1]
+        ends = np.cumsum(stop - start)
+        total = int(ends[-1]) if len(ends) else 0
+        if self.text[np.repeat(start - (ends - (stop - start)), stop - start) + np.arange(total)].tobytes() != "".join(spelled).encode():
+            raw = self.text
+            for i, a, b, w in zip(hit.tolist(), start.tolist(), stop.tolist(), spelled):
+                if raw[a:b].tobytes() != w.encode():
+                    row[i] = -1
+        return row
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text",
-           common: int = COMMON_WORDS) -> DataFrame:
+           common: int = COMMON_WORDS, packed: bool = False) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every whole text: the pieces that ``pattern``
-    finds, each merged by itself by the ranks of the file.
+    finds, each merged by itself by the ranks of the file. With ``packed`` the ids are one
+    binary of little-endian unsigned 32-bit integers instead of an array.
 
     Null and empty texts have no ids; a null key is kept; repeated rows are encoded once
     each; an empty table gives no rows; other input columns are ignored.
@@ -227,12 +265,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         if token not in cache:
             cache.clear()
             v = shared.value
-            cache[token] = {" " + w: i for i, w in enumerate(v["words"])}, v
+            cache[token] = Known(v), v
         return cache[token]
 
     def cut(batches):
-        """Per document: ids of the known pieces with gaps, the other pieces once each as byte
-        arrays, which of them fills each gap, and how many ids come before it."""
+        """Per document: ids of the known pieces with gaps, the other pieces once each (byte
+        arrays, or ids of long ones), which of them fills each gap, and how many ids come
+        before it."""
         import regex
 
         find = regex.compile(pattern).findall
@@ -241,59 +280,75 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         for batch in batches:
             for part in slices(batch):
                 out = {"ids": [], "new": [], "gap": [], "at": []}
-                for t in part.column(1).to_pylist():
-                    pieces = find(t)
-                    row = np.fromiter(map(known.get, pieces, repeat(-1)), np.int32, len(pieces))
+                found = [find(t) for t in part.column(1).to_pylist()]
+                rows = known.rows([p for pieces in found for p in pieces])
+                for pieces, row in zip(found, np.split(rows, np.cumsum([len(p) for p in found])[:-1])):
                     lens = np.where(row >= 0, v["ends"][row + 1] - v["ends"][row], 0).astype(np.int64)
                     miss = np.flatnonzero(row < 0)
-                    others = [pieces[i].encode() for i in miss.tolist()]
-                    spell = {}
-                    new, gap = [], []
-                    for w in others:
+                    spell, new, gap = {}, [], []
+                    for w in [pieces[i] for i in miss.tolist()]:
                         if w not in spell:
+                            spell[w] = len(new)
+                            w = w.encode()
                             if len(w) > FOLD_BYTES:
                                 if pairs is None:
                                     pairs = dict(zip(map(tuple, v["pairs"][0].tolist()), v["pairs"][1].tolist()))
-                                spell[w] = -1 - len(new)
                                 new.append(("ids", heap_merges(w, v["bytes"], pairs)))
                             else:
-                                spell[w] = len(new)
                                 new.append(("bytes", w))
-                        gap.append(spell[w])
+                            gap.append(len(new) - 1)
+                        else:
+                            gap.append(spell[w])
                     ends = np.cumsum(lens)
                     total = int(ends[-1]) if len(ends) else 0
                     src_at = np.repeat(np.where(row >= 0, v["ends"][row], 0) - (ends - lens), lens) + np.arange(total)
                     out["ids"].append(v["ids"][src_at])
                     out["new"].append(new)
-                    out["gap"].append([g if g >= 0 else -1 - g for g in gap])
+                    out["gap"].append(gap)
                     out["at"].append(ends[miss])
                 yield _cut_batch(part.column(0), out, v["bytes"])
 
-    cut_type = (f"key {key_type}, ids array<int>, new array<array<bigint>>, done array<boolean>, "
-                "gap array<int>, at array<int>")
-    found = src.mapInArrow(cut, cut_type)
-    folded = F.when(F.size("new") == 0, F.array().cast("array<array<int>>")).otherwise(
-        fold_merges(F.transform(F.arrays_zip("new", "done"), lambda x: F.when(x["done"], F.slice(x["new"], 1, 0)).otherwise(x["new"])), ranks))
-    found = found.select("key", "ids", "new", "done", folded.alias("folded"), "gap", "at")
+    found = src.mapInArrow(cut, f"key {key_type}, ids array<int>, new array<array<bigint>>, long array<array<int>>, gap array<int>, at array<int>")
+    folded = F.when(F.size("new") == 0, F.array().cast("array<array<int>>")).otherwise(fold_merges(F.col("new"), ranks))
+    found = found.select("key", "ids", folded.alias("folded"), "long", "gap", "at")
 
     def fill(batches):
-        for b in batches:
-            cols = {n: b.column(b.schema.get_field_index(n)) for n in ("ids", "new", "done", "folded", "gap", "at")}
-            out = []
-            for i in range(b.num_rows):
-                ids = cols["ids"][i].values.to_numpy()
-                gap = cols["gap"][i].values.to_numpy()
-                if len(gap):
-                    folded_, done = cols["folded"][i].values, cols["done"][i].values.to_pylist()
-                    pieces = [cols["new"][i].values[k].values.to_numpy() if d else folded_[k].values.to_numpy()
-                              for k, d in enumerate(done)]
-                    at = cols["at"][i].values.to_numpy()
-                    cuts = np.split(ids, at)
-                    ids = np.concatenate([x for k, g in enumerate(gap) for x in (cuts[k], pieces[g])] + [cuts[-1]])
-                out.append(ids.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out, pa.int32())], ["key", "ids"])
-
-    return found.mapInArrow(fill, f"key {key_type}, ids array<int>").select(F.col("key").alias(key), "ids")
+        for b in (part for batch in batches for part in slices(batch)):
+            col = dict(zip(b.schema.names, b.columns))
+            ids, ends = col["ids"].flatten().to_numpy(), _ends(col["ids"])
+            gap, gap_ends = col["gap"].flatten().to_numpy(), _ends(col["gap"])
+            # pieces of all rows end to end: a piece is either folded or long, and empty in the other
+            folded, long = col["folded"].flatten(), col["long"].flatten()
+            sizes = np.diff(_ends(folded)) + np.diff(_ends(long))
+            flat = np.empty(int(sizes.sum()), np.int32)
+            own = np.repeat(np.diff(_ends(long)) > 0, sizes)
+            flat[own] = long.flatten().to_numpy()
+            flat[~own] = folded.flatten().to_numpy()
+            # gaps in order: which piece, and before which of the known ids
+            row = np.repeat(np.arange(b.num_rows), np.diff(gap_ends))
+            piece = gap + _ends(col["folded"])[row]
+            at = col["at"].flatten().to_numpy() + ends[row]
+            lens = sizes[piece]
+            starts = (np.cumsum(sizes) - sizes)[piece]
+            stops = np.cumsum(lens)
+            values = flat[np.repeat(starts - (stops - lens), lens) + np.arange(int(lens.sum()))]
+            ids = np.insert(ids, np.repeat(at, lens), values).astype("<u4")
+            added = np.concatenate([[0], stops])[gap_ends]
+            if packed:
+                cuts = pa.array((ends + added) * 4, pa.int32())
+                out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, cuts.buffers()[1], pa.py_buffer(ids.tobytes())])
+            else:
+                out = pa.ListArray.from_arrays(pa.array(ends + added, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([col["key"], out], ["key", "ids"])
+
+    filled = found.mapInArrow(fill, f"key {key_type}, ids {'binary' if packed else 'array<int>'}")
+    return filled.withColumnRenamed("key", key)
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Offsets of a list array that begin with 0."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return ends - ends[0]
 
 
 def _lists(rows: list, kind: pa.DataType) -> pa.Array:
@@ -303,49 +358,52 @@ def _lists(rows: list, kind: pa.DataType) -> pa.Array:
 
 
 def _cut_batch(keys, out: dict, byte_ids) -> pa.RecordBatch:
-    """One record batch of ``cut``; finished long pieces go in the same array, marked done."""
-    new = [x for row in out["new"] for x in row]
-    spelled = [np.asarray(w, np.int64) if kind == "ids" else byte_ids[np.frombuffer(w, np.uint8)].astype(np.int64)
-               for kind, w in new]
+    """One record batch of ``cut``. ``new`` has the pieces to be folded as byte ids, ``long`` the
+    ids of the finished ones; a piece is empty in the other column."""
+    pieces = [x for row in out["new"] for x in row]
+    none = np.zeros(0, np.int64)
+    spelled = [none if kind == "ids" else byte_ids[np.frombuffer(w, np.uint8)] for kind, w in pieces]
+    done = [w if kind == "ids" else none for kind, w in pieces]
     ends = pa.array(np.cumsum([0, *map(len, out["new"])]), pa.int32())
     return pa.RecordBatch.from_arrays([
         keys, _lists(out["ids"], pa.int32()), pa.ListArray.from_arrays(ends, _lists(spelled, pa.int64())),
-        pa.ListArray.from_arrays(ends, pa.array([kind == "ids" for kind, _ in new], pa.bool_())),
-        _lists(out["gap"], pa.int32()), _lists(out["at"], pa.int32())], ["key", "ids", "new", "done", "gap", "at"])
+        pa.ListArray.from_arrays(ends, _lists(done, pa.int32())), _lists(out["gap"], pa.int32()),
+        _lists(out["at"], pa.int32())], ["key", "ids", "new", "long", "gap", "at"])
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with ``out``: the bytes of each row's ids, concatenated (binary, since ids
-    need not end at a character). Null ids give null, no ids an empty value; an id outside
-    the vocabulary raises. An input column named like ``out`` is replaced."""
+    need not end at a character). ``ids`` is an array or packed. Null ids give null, no ids an empty value; an id outside
+    the vocabulary raises. An input column named like ``out`` is replaced.
+    """
     pieces = {i: w for w, i in read_ranks(ranks_path).items()}
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary, of bounded size
+    table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]   # the vocabulary, of bounded size
+    shared = encoded.sparkSession.sparkContext.broadcast(
+        (np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in table])])))
     src = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != out.lower()])
     at = src.columns.index(ids)
 
     def run(batches):
-        piece = shared.value.__getitem__
-        for b in batches:
-            texts = pa.array([None if r is None else b"".join(map(piece, r)) for r in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, out])
+        text, marks = shared.value
+        for b in (part for batch in batches for part in slices(batch)):
+            rows = b.column(at)
+            null = rows.is_null().to_numpy(zero_copy_only=False)
+            if isinstance(rows, pa.BinaryArray):
+                sizes = np.where(null, 0, pc.fill_null(pc.binary_length(rows), 0).to_numpy() // 4)
+                flat = np.frombuffer(b"".join(pc.fill_null(rows, b"").to_pylist()), "<u4").astype(np.int64)
+            else:
+                sizes = np.diff(_ends(rows)) * ~null
+                flat = rows.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(marks) - 1 or (marks[flat] == marks[flat + 1]).any()):
+                raise ValueError("an id outside the vocabulary")
+            lens = marks[flat + 1] - marks[flat] if len(flat) else np.zeros(0, np.int64)
+            stops = np.cumsum(lens)
+            total = int(stops[-1]) if len(stops) else 0
+            joined = text[np.repeat(marks[flat] - (stops - lens), lens) + np.arange(total)] if total else np.zeros(0, np.uint8)
+            cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(sizes)])]
+            raw = joined.tobytes()
+            texts = [raw[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary(), mask=null)],
+                                             [*b.schema.names, out])
 
     return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out, BinaryType())]))
-
-
-def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and
-    decoded_sha256, of rows with ``ids`` and ``decoded``."""
-    import hashlib
-
-    src = decoded.select(key, "ids", "decoded")
-
-    def run(batches):
-        for b in batches:
-            ids = [r.values.to_numpy().astype("<u4").tobytes() for r in b.column(1)]
-            yield pa.RecordBatch.from_pydict({
-                key: b.column(0), "n_tokens": pa.array([len(r) // 4 for r in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in ids]),
-                "decoded_sha256": pa.array([hashlib.sha256(r.as_py()).hexdigest() for r in b.column(2)])})
-
-    kind = src.schema[key].dataType.simpleString()
-    return src.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
