@@ -94,6 +94,8 @@ def test_odd_and_empty_tables(spark, library):
     null = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
         B.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), RANKS).collect()
+    both = B.encode(docs, RANKS, PATTERN, decoded=True)
+    assert sorted((len(r["ids"]), bytes(r["decoded"])) for r in both.collect()) == sorted((len(r["ids"]), bytes(r["decoded"])) for r in B.decode(both, RANKS).collect())
     assert [r["decoded"] for r in B.decode(null, RANKS).orderBy("doc_id").collect()] == [None, bytearray()]
 
 

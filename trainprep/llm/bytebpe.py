@@ -243,16 +243,19 @@ class Known:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text",
-           common: int = COMMON_WORDS, packed: bool = False) -> DataFrame:
+           common: int = COMMON_WORDS, packed: bool = False, decoded: bool = False) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every whole text: the pieces that ``pattern``
     finds, each merged by itself by the ranks of the file. With ``packed`` the ids are one
-    binary of little-endian unsigned 32-bit integers instead of an array.
+    binary of little-endian unsigned 32-bit integers instead of an array. With ``decoded`` also
+    the bytes that the ids decode to, as ``decode`` gives them, without another pass.
 
     Null and empty texts have no ids; a null key is kept; repeated rows are encoded once
     each; an empty table gives no rows; other input columns are ignored.
     """
     spark = docs.sparkSession
-    ranks = RankMap(read_ranks(ranks_path))
+    vocabulary = read_ranks(ranks_path)
+    ranks = RankMap(vocabulary)
+    pieces = spark.sparkContext.broadcast(_piece_bytes(vocabulary)) if decoded else None
     src = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     shared = spark.sparkContext.broadcast(common_words(src, ranks, "__text", common) | {
         "bytes": ranks.bytes, "pairs": (np.array(list(ranks.pairs), np.int32).reshape(-1, 2), np.array(list(ranks.pairs.values()), np.int32))})
@@ -339,9 +342,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 out = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, cuts.buffers()[1], pa.py_buffer(ids.tobytes())])
             else:
                 out = pa.ListArray.from_arrays(pa.array(ends + added, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([col["key"], out], ["key", "ids"])
+            cols = [col["key"], out]
+            if decoded:
+                cols.append(pa.array(_join_pieces(ids.astype(np.int64), np.diff(ends + added), *pieces.value), pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "decoded"][:len(cols)])
 
-    filled = found.mapInArrow(fill, f"key {key_type}, ids {'binary' if packed else 'array<int>'}")
+    filled = found.mapInArrow(fill, f"key {key_type}, ids {'binary' if packed else 'array<int>'}" + ", decoded binary" * decoded)
     return filled.withColumnRenamed("key", key)
 
 
@@ -371,20 +377,36 @@ def _cut_batch(keys, out: dict, byte_ids) -> pa.RecordBatch:
         _lists(out["at"], pa.int32())], ["key", "ids", "new", "long", "gap", "at"])
 
 
+def _piece_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces end to end in order of their ids, and where each ends; a vocabulary is
+    of bounded size. Ids without a piece are empty."""
+    pieces = {i: w for w, i in ranks.items()}
+    table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    return np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in table])])
+
+
+def _join_pieces(ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, marks: np.ndarray) -> list[bytes]:
+    """The pieces of each row's ids, concatenated; ``sizes`` ids to a row."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(marks) - 1 or (marks[ids] == marks[ids + 1]).any()):
+        raise ValueError("an id outside the vocabulary")
+    lens = marks[ids + 1] - marks[ids] if len(ids) else np.zeros(0, np.int64)
+    stops = np.cumsum(lens)
+    total = int(stops[-1]) if len(stops) else 0
+    raw = text[np.repeat(marks[ids] - (stops - lens), lens) + np.arange(total)].tobytes() if total else b""
+    cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(sizes)])]
+    return [raw[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with ``out``: the bytes of each row's ids, concatenated (binary, since ids
     need not end at a character). ``ids`` is an array or packed. Null ids give null, no ids an empty value; an id outside
     the vocabulary raises. An input column named like ``out`` is replaced.
     """
-    pieces = {i: w for w, i in read_ranks(ranks_path).items()}
-    table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]   # the vocabulary, of bounded size
-    shared = encoded.sparkSession.sparkContext.broadcast(
-        (np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in table])])))
+    shared = encoded.sparkSession.sparkContext.broadcast(_piece_bytes(read_ranks(ranks_path)))
     src = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != out.lower()])
     at = src.columns.index(ids)
 
     def run(batches):
-        text, marks = shared.value
         for b in (part for batch in batches for part in slices(batch)):
             rows = b.column(at)
             null = rows.is_null().to_numpy(zero_copy_only=False)
@@ -394,15 +416,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
             else:
                 sizes = np.diff(_ends(rows)) * ~null
                 flat = rows.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(marks) - 1 or (marks[flat] == marks[flat + 1]).any()):
-                raise ValueError("an id outside the vocabulary")
-            lens = marks[flat + 1] - marks[flat] if len(flat) else np.zeros(0, np.int64)
-            stops = np.cumsum(lens)
-            total = int(stops[-1]) if len(stops) else 0
-            joined = text[np.repeat(marks[flat] - (stops - lens), lens) + np.arange(total)] if total else np.zeros(0, np.uint8)
-            cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(sizes)])]
-            raw = joined.tobytes()
-            texts = [raw[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            texts = _join_pieces(flat, sizes, *shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary(), mask=null)],
                                              [*b.schema.names, out])
 

@@ -105,8 +105,7 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bytebpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True)
-    return bytebpe.decode(encoded, ranks).select(
+    return bytebpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
