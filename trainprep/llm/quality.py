@@ -22,8 +22,9 @@ from trainprep.llm.common import slices, without, worker_cache
 PASSAGE_WORDS = 80
 #: Labelled documents used for training, at most; the lowest by seeded hash.
 MAX_TRAIN = 3000
-#: Passages of one training document, evenly spaced beyond it. Scoring takes every passage.
-MAX_TRAIN_PASSAGES = 64
+#: Default bound on the passages of one training document (80,000 words), which keeps the
+#: driver's memory bounded; evenly spaced beyond it. Scoring takes every passage.
+MAX_TRAIN_PASSAGES = 1000
 
 # Character classes of a byte: space, line end, a-z, A-Z, digit, full stop, comma, ! ? ; :,
 # quotes and brackets, symbols, other ASCII, UTF-8 lead, UTF-8 tail.
@@ -144,14 +145,14 @@ class MilModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
                 label_key: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN,
-                seed: int = 5) -> MilModel:
+                seed: int = 5, max_passages: int = MAX_TRAIN_PASSAGES) -> MilModel:
     """Train on at most ``max_train`` labelled documents, the lowest by a seeded hash of the
     key.
 
     Labels other than 0 and 1, null keys and labels without a document are skipped; a key
     with several labels counts as 0 if one is 0. Without any usable label the model scores
     every document alike, with one class only that class. The sample's passages, at most
-    ``max_train`` times ``MAX_TRAIN_PASSAGES`` rows, are the only data that reach the driver.
+    ``max_train`` times ``max_passages`` rows, are the only data that reach the driver.
     """
     known = (labels.select(F.col(label_key).alias("__key"), F.col(label).cast("int").alias("__y"))
              .where(F.col("__key").isNotNull() & F.col("__y").isin(0, 1))
@@ -166,8 +167,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             out = []
             for t in batch.column(1):
                 x = passages(t.as_py())
-                if len(x) > MAX_TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MAX_TRAIN_PASSAGES).astype(int)]
+                if len(x) > max_passages:
+                    x = x[np.linspace(0, len(x) - 1, max_passages).astype(int)]
                 out.append(x.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["k", "y", "x"])
 
@@ -205,17 +206,20 @@ def score_quality(docs: DataFrame, model: MilModel, text: str = "text", with_att
     names = [prefix + n for n in RESULT[:2 + with_attention]]
     base = without(docs, *names)
     col = base.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 7000 numbers
+    # some 7000 numbers, as plain arrays: executors need no copy of this package
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
         worker_cache("quality")
+        own = MilModel()
+        vars(own).update(shared.value)
         for batch in chain.from_iterable(map(slices, batches)):
             scores, weights = [], []
             texts = batch.column(col).to_pylist()
             for i in range(0, len(texts), 100):
                 bags = [passages(t) for t in texts[i:i + 100]]
                 sizes = np.array([len(b) for b in bags])
-                score, kept = shared.value.forward(np.concatenate(bags), sizes)
+                score, kept = own.forward(np.concatenate(bags), sizes)
                 scores += score.tolist()
                 if with_attention:
                     weights += [w.tolist() for w in np.split(kept[4], np.cumsum(sizes)[:-1])]

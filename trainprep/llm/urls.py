@@ -146,10 +146,11 @@ def _rare_words(hosts: DataFrame, shared, rest: DataFrame) -> DataFrame:
     """``hosts`` (__n, __host) with __rare: those of ``rest`` (word, n) that the host contains."""
 
     def cut(batches):
+        own = Segmenter(**shared.value)
         for batch in batches:
             ids, words = [], []
             for i, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shared.value.substrings(host)
+                found = own.substrings(host)
                 ids += [i] * len(found)
                 words += found
                 if len(words) > 100_000:
@@ -164,7 +165,7 @@ def _rare_words(hosts: DataFrame, shared, rest: DataFrame) -> DataFrame:
 
 def _tokenised(pages: DataFrame, cutter: Segmenter, keep: list[str]) -> DataFrame:
     """``keep`` columns, __host, __path -> with __tokens, the tokens of every row."""
-    shared = pages.sparkSession.sparkContext.broadcast(replace(cutter, rest=None))
+    shared = pages.sparkSession.sparkContext.broadcast(vars(replace(cutter, rest=None)))
     hosts = stored(pages.select("__host").distinct().withColumn("__n", F.monotonically_increasing_id())
                    .select("__n", "__host"), "url-hosts")
     src = (pages.select(*[f"`{c}`" for c in keep], "__host", "__path")
@@ -173,11 +174,12 @@ def _tokenised(pages: DataFrame, cutter: Segmenter, keep: list[str]) -> DataFram
 
     def run(batches):
         known: dict = {}
+        own = Segmenter(**shared.value)
         for batch in batches:
             if len(known) > 100_000:
                 known.clear()
             n = len(keep)
-            out = [shared.value.tokens(h, p, r, known) for h, p, r in zip(*(batch.column(n + i).to_pylist() for i in range(3)))]
+            out = [own.tokens(h, p, r, known) for h, p, r in zip(*(batch.column(n + i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n + 2], pa.array(out, pa.list_(pa.string()))],
                                              names=[*batch.schema.names[:n + 2], "__tokens"])
 
@@ -228,7 +230,7 @@ def fit_bayes(rows: DataFrame, seeds=SEEDS, common: float = COMMON) -> NaiveBaye
 
 def _scored(rows: DataFrame, model: NaiveBayes) -> DataFrame:
     """``rows`` (with __n, unique, and __tokens) with odds in place of __n."""
-    shared = rows.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    shared = rows.sparkSession.sparkContext.broadcast(vars(replace(model, rest=None)))
     none = "cast(null as array<struct<word:string,b:bigint,n:bigint>>)"
     if model.rest is None:
         src = rows.drop("__n").withColumn("__rare", F.expr(none))
@@ -241,9 +243,10 @@ def _scored(rows: DataFrame, model: NaiveBayes) -> DataFrame:
         src = rows.join(found, "__n", "left").drop("__n")
 
     def run(batches):
+        own = NaiveBayes(**shared.value)
         for batch in batches:
             rare = batch.column("__rare").to_pylist()
-            odds = [shared.value.score(t, r) for t, r in zip(batch.column("__tokens").to_pylist(), rare)]
+            odds = [own.score(t, r) for t, r in zip(batch.column("__tokens").to_pylist(), rare)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(odds, pa.float64())], names=[*batch.schema.names[:-1], "odds"])
 
     return src.mapInArrow(run, f"{_kinds(src.drop('__rare'))}, odds double")
