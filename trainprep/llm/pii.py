@@ -193,8 +193,11 @@ def sanitise(docs: DataFrame, text: str = "text", with_text: bool = True, **opti
         per = (held.join(flagged, "entity").groupBy("__h", "term").agg(F.max("action").alias("action"))
                .groupBy("__h").agg(F.collect_list("term").alias("__terms"),
                                    F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("__action")))
-        # stored: a small table is sent to the tasks, and a large partition of texts without one can be split
-        df = df.join(stored(per, "pii-texts"), "__h", "left")
+        # only texts with an entity are joined; the others, most of the table, stay where they are
+        per = stored(per, "pii-texts")
+        lacking = [F.lit(None).cast(per.schema[c].dataType).alias(c) for c in ("__terms", "__action")]
+        others = df.where(F.col("__h").isNull()).select("*", *lacking)
+        df = df.where(F.col("__h").isNotNull()).join(per, "__h", "left").select(others.columns).unionAll(others)
         claimed = F.concat(*[F.col(k) for k in KINDS])
         spans = F.filter(_term_spans(F.col("__t"), F.col("__terms")),
                          lambda t: ~F.exists(claimed, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
