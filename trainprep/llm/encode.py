@@ -70,22 +70,33 @@ def border_rule(spec: str) -> str:
     return "whole"
 
 
+def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``values``, or a larger copy of its first ``used`` entries with room for ``more``."""
+    if used + more <= len(values):
+        return values
+    grown = np.empty(max(used + more, 2 * len(values), 1024), values.dtype)
+    grown[:used] = values[:used]
+    return grown
+
+
 class Table:
     """Strings and their ids: a row number for each string, the ids end to end."""
 
     def __init__(self):
         self.row: dict[str, int] = {}
         self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.int32)
+        self.ids, self.filled = np.zeros(0, np.int32), 0
 
     def add(self, strings: list[str], ids: np.ndarray, lens: np.ndarray):
-        """New strings with their ids."""
-        at = len(self.row)
-        self.row.update(zip(strings, range(at, at + len(strings))))
-        ends = len(self.ids) + np.cumsum(lens)
-        self.starts = np.concatenate([self.starts, (ends - lens).astype(np.int32)])
-        self.lens = np.concatenate([self.lens, lens.astype(np.int32)])
-        self.ids = np.concatenate([self.ids, ids])
+        """New strings with their ids. The arrays grow by doubling and are filled in place."""
+        at, n = len(self.row), len(strings)
+        self.row.update(zip(strings, range(at, at + n)))
+        self.starts, self.lens = _room(self.starts, at, n), _room(self.lens, at, n)
+        self.ids = _room(self.ids, self.filled, len(ids))
+        self.ids[self.filled:self.filled + len(ids)] = ids
+        ends = self.filled + np.cumsum(lens)
+        self.starts[at:at + n], self.lens[at:at + n] = ends - lens, lens
+        self.filled += len(ids)
 
     def rows(self, strings: list[str], learn) -> np.ndarray:
         """Row of every string; ``learn`` adds those that are not known yet."""

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainprep.llm.common import stored
+from trainprep.llm.common import slices, stored
 from trainprep.llm.encode import read_spec, worker_encoder
 
-#: Words whose ids a worker keeps; packing shares its executors with the pipeline's stages.
+#: Words whose ids a worker keeps (about 250 bytes each).
 CACHE_WORDS = 500_000
 
 
@@ -100,7 +100,7 @@ def _cut(texts_ids: np.ndarray, lens: np.ndarray, eos: int, capacity: int):
 
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int,
-                  key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+                  key: str = "doc_id", text: str = "text", with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Token pieces of every document with their checksum, their place among the pieces of
     the same length in their partition (``__part``, ``__rank``) and, if wanted, their ids."""
     spec = read_spec(tokenizer_path)
@@ -110,10 +110,10 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int,
     def run(batches):
         from pyspark import TaskContext
 
-        enc = worker_encoder(spec, CACHE_WORDS)
+        enc = worker_encoder(spec, cache_words)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for i, ids, lens in enc.encode(texts):
                 flat, doc, piece, start, length = _cut(ids, lens, eos, capacity)
@@ -140,11 +140,12 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int,
 
 
 def pack(docs: DataFrame, tokenizer_path: str, eos: int = 1, capacity: int = 4096,
-         key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+         key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     A document is its text's ids and then ``eos``; only documents longer than
-    ``capacity`` are cut, into ``capacity``-long pieces with a shorter last one.
+    ``capacity`` are cut, into ``capacity``-long pieces with a shorter last one. A worker keeps
+    the ids of ``cache_words`` words, which costs memory and saves time.
 
     Returns one row per piece: ``key``, piece, start, length, ids_crc32, sequence_id and
     offset, plus ``ids`` with ``with_ids`` (one more shuffle, of the tokens). Offsets in
@@ -154,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos: int = 1, capacity: int = 409
     once each; an empty table gives no rows; other input columns are ignored.
     """
     spark = docs.sparkSession
-    encoded = encode_pieces(docs, tokenizer_path, eos, capacity, key, text, with_ids)
+    encoded = encode_pieces(docs, tokenizer_path, eos, capacity, key, text, with_ids, cache_words)
     pieces = stored(encoded, "pieces")
     per_part = pieces.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("__n"))
     counts = np.zeros(capacity + 1, np.int64)
