@@ -51,8 +51,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), eos=1, capacity=4096)
+    """Pieces of the documents in sequences of at most 4096 tokens. The executors still hold
+    what earlier stages took, so few words are kept."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), eos=1, capacity=4096, cache_words=50_000)
 
 
 STAGES = [("quality_classifier", quality_stage), ("near_dedup", dedup_stage),
