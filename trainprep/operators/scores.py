@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainprep.functions.hashing import h60_unit
+from trainprep.session import staged
 
 
 def softmax_scores(df: DataFrame, temperature: float = 1.0, seq_col: str = "seq",
@@ -85,16 +86,83 @@ def ngram_bans(tokens: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.filter(starts, same), lambda i: F.element_at(t, i + (n - 1))))
 
 
+#: Bits of a place that hold the position in the document; the others hold a hash of its tokens.
+PLACE_BITS = 30
+_BETWEEN = "\x00"
+
+
+def _gram_keys(gram: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a gram: two hashes of its text with different seeds."""
+    return F.xxhash64(gram), F.xxhash64(F.lit(1), gram)
+
+
+def _grams_of(docs: DataFrame, n: int, id_col: str, tokens_col: str) -> DataFrame:
+    """One row per document row and gram: ``id_col``, the gram's keys ``a`` and ``b``, how often it
+    occurs there, and its place."""
+    t = F.col(tokens_col)
+    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                        lambda i: F.struct(F.array_join(F.slice(t, i, n), " ").alias("g"), i.alias("i")))
+
+    def keyed(x):
+        a, b = _gram_keys(x["g"])
+        return F.struct(a.alias("a"), b.alias("b"), x["i"].alias("i"))
+
+    # equal grams of a document lie together once sorted; a run's length is the number
+    s = F.col("__s")
+    firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (s[j]["a"] != F.get(s, j - 1)["a"])
+                      | (s[j]["b"] != F.get(s, j - 1)["b"]))
+    runs = F.transform(F.col("__f"), lambda j, k: F.struct(
+        s[j]["a"].alias("a"), s[j]["b"].alias("b"), s[j]["i"].alias("i"),
+        (F.coalesce(F.get(F.col("__f"), k + 1), F.size(s)) - j).cast("bigint").alias("n")))
+    rows = (docs.select(id_col, F.xxhash64(t).alias("__h"), F.when(F.size(t) >= n, F.sort_array(F.transform(grams, keyed))).alias("__s"))
+            .select(id_col, "__h", "__s", F.when(s.isNotNull(), firsts).alias("__f"))
+            .select(id_col, "__h", F.explode(runs).alias("r")))
+    place = F.shiftleft(F.shiftrightunsigned("__h", PLACE_BITS), PLACE_BITS).bitwiseOR(F.col("r.i").cast("bigint"))
+    return rows.select(id_col, "r.a", "r.b", "r.n", place.alias("place"))
+
+
 def corpus_ngrams(docs: DataFrame, n: int, id_col: str = "doc_id", tokens_col: str = "tokens", min_count: int = 2) -> DataFrame:
     """N-grams that occur at least ``min_count`` times in the corpus: gram (tokens joined by
-    a space), n and n_docs. Counts are summed per document before the shuffle of grams, so
-    a gram that is everywhere meets as one row per task."""
+    a space), n and n_docs.
+
+    A gram is shuffled as 128 bits and one place where it occurs, not as text; counts are
+    summed per document row before. The text of the grams that remain is then read at
+    their places, from one copy of each document. Rows that share an id are one document:
+    their grams are summed by id first."""
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(F.col(id_col).alias("__id"))
+    if ids.limit(1).count():
+        again = staged(ids)
+        same = F.col(id_col).eqNullSafe(F.col("__id"))
+        parts = _grams_of(docs.join(again, same, "left_semi"), n, id_col, tokens_col)
+        parts = parts.groupBy(id_col, "a", "b").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+        once = _grams_of(docs.join(again, same, "left_anti"), n, id_col, tokens_col)
+        rows = once.unionByName(parts.select(*once.columns))
+    else:
+        rows = _grams_of(docs, n, id_col, tokens_col)
+    # few rows of a task share a gram: no sums before the shuffle, which would spill
+    found = (rows.select("n", "a", "b", "place").repartition("a").groupBy("a", "b")
+             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.min("place").alias("place"))
+             .where(F.col("n") >= min_count)
+             .select("a", "b", "n", "n_docs", F.shiftrightunsigned("place", PLACE_BITS).alias("__h"),
+                     F.col("place").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("i")))
     t = F.col(tokens_col)
-    grams = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                                               lambda i: F.array_join(F.slice(t, i, n), " ")))
-    per_doc = docs.select(id_col, F.explode(grams).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
-    return (per_doc.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-            .where(F.col("n") >= min_count))
+    # tokens joined into one string take a third of the room of an array in the shuffle
+    apart = F.exists(t, lambda x: x.isNull() | F.contains(x.cast("string"), F.lit(_BETWEEN)))
+    texts = (docs.where(F.size(t) >= n)
+             .select(F.shiftrightunsigned(F.xxhash64(t), PLACE_BITS).alias("__h"),
+                     F.when(~apart, F.array_join(t, _BETWEEN)).alias("__s"), F.when(apart, t.cast("array<string>")).alias("__t"))
+             .groupBy("__h").agg(F.collect_set("__s").alias("__s"), F.collect_set("__t").alias("__t"))  # copies once; seldom two texts
+             .select("__h", F.concat(F.transform("__s", lambda x: F.split(x, _BETWEEN)), F.col("__t")).alias("__texts")))
+
+    def here(text):
+        return F.array_join(F.slice(text, F.col("i"), n), " ")
+
+    def meant(gram):
+        a, b = _gram_keys(gram)
+        return (F.col("a") == a) & (F.col("b") == b)
+
+    gram = F.get(F.filter(F.transform("__texts", here), meant), 0)
+    return found.join(texts, "__h").select(gram.alias("gram"), "n", "n_docs")
 
 
 def apply_ngram_bans(scores: DataFrame, bans: DataFrame, seq_col: str = "seq", token_col: str = "token",
