@@ -146,3 +146,29 @@ def test_prompt_mismatch_report(spark):
                                 ("\n\nHuman: q\n\nAssistant: a", "\n\nHuman: other\n\nAssistant: b")],
                                "chosen string, rejected string")
     assert [r.m for r in df.select(nz.prompt_mismatch().alias("m")).collect()] == [False, True]
+
+
+def test_encoding_takes_a_batch_in_pieces(spark):
+    import pyarrow as pa
+
+    from trainprep.operators.tokenizers import get_tokenizer
+
+    texts = ["a" * 400_000, None, "", "b" * 3_000_000, "c", "d" * 700_000, "é" * 300_000, None] * 2
+    sizes = []
+
+    def turn(arr):
+        sizes.append(sum(len(t.encode()) for t in arr.to_pylist() if t))
+        return get_tokenizer("bytes").encode_arrow(arr)
+
+    batch = pa.array(["x", *texts]).slice(1)
+    out = [ids for part in tokenize.by_pieces(turn, iter([batch, batch.slice(0, 0)])) for ids in part.to_pylist()]
+    assert out == [None if t is None else list(t.encode()) for t in texts]
+    assert len(sizes) > 4 and all(n <= tokenize.PIECE or n == 3_000_000 for n in sizes)
+    lists = pa.array([["a" * 900_000, "b"], None, [], ["c" * 900_000, None]])
+    assert [len(p) for p in tokenize.row_pieces(lists)] == [3, 1]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    d = df.withColumn("ids", tokenize.encode_col("text")).withColumn("back", tokenize.decode_col("ids"))
+    many = tokenize.encode_many_col(F.array("text", F.lit("zz")))
+    for r in d.withColumn("many", many).select("text", F.size("ids").alias("n"), "back", "many").collect():
+        assert r.back == r.text and (r.text is None or r.n == len(r.text.encode()))
+        assert r.many[1] == [122, 122] and (r.many[0] is None) == (r.text is None)

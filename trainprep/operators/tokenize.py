@@ -1,12 +1,15 @@
 """Tokenising as Spark jobs.
 
 Only the encode/decode of strings crosses into Python, as Arrow-batched UDFs
-(``arrow_udf``: one Arrow array in, one out, no per-row pandas objects). Chat
+(``arrow_udf``: Arrow arrays in, pieces of about 1 MB out, no per-row pandas objects). Chat
 templates, label masks and shifts are assembled JVM-side with array functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +33,49 @@ def int_array(values) -> Column:
     return F.array(*[F.lit(int(v)) for v in values])
 
 
+#: Bytes of text, or ids, that a worker turns at a time. A longer row is a piece of its own.
+PIECE = 1 << 20
+
+
+def _row_ends(arr: pa.Array) -> np.ndarray:
+    """Where each row of a string or list array begins, and where the last one ends."""
+    wide = pa.types.is_large_string(arr.type) or pa.types.is_large_list(arr.type)
+    return np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)[arr.offset:arr.offset + len(arr) + 1]
+
+
+def row_pieces(arr: pa.Array, most: int = PIECE) -> Iterator[pa.Array]:
+    """Runs of consecutive rows of an Arrow array (texts, lists of texts or lists of ids) with at
+    most ``most`` bytes or ids, or one row. Ids take several times the memory of their
+    text, and a batch holds up to 10,000 rows of any size."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    if not len(arr):
+        yield arr
+        return
+    ends = _row_ends(arr)
+    if pa.types.is_list(arr.type) and pa.types.is_string(arr.type.value_type):
+        ends = _row_ends(arr.values)[ends] if len(arr.values) else ends
+    i = 0
+    while i < len(arr):
+        j = max(i + 1, int(np.searchsorted(ends, int(ends[i]) + most, "right")) - 1)
+        yield arr.slice(i, j - i)
+        i = j
+
+
+def by_pieces(turn, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``turn`` of every batch, a piece at a time."""
+    for batch in batches:
+        yield from map(turn, row_pieces(batch))
+
+
 def encode_col(col, tokenizer: str = "bytes") -> Column:
     """string -> array<int> token ids (no specials added)."""
 
     data = tokenizer_data(tokenizer)
 
     @F.arrow_udf("array<int>")
-    def _enc(texts: pa.Array) -> pa.Array:
-        return get_tokenizer(tokenizer, data).encode_arrow(texts)
+    def _enc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_pieces(get_tokenizer(tokenizer, data).encode_arrow, batches)
 
     return _enc(_c(col))
 
@@ -47,16 +85,17 @@ def encode_many_col(col, tokenizer: str = "bytes") -> Column:
 
     data = tokenizer_data(tokenizer)
 
-    @F.arrow_udf("array<array<int>>")
-    def _enc_many(lists: pa.Array) -> pa.Array:
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
+    def turn(lists: pa.Array) -> pa.Array:
         inner = get_tokenizer(tokenizer, data).encode_arrow(lists.flatten())
         offs = lists.offsets.to_numpy()
         offs = pa.array((offs - offs[0]).astype("int32"), pa.int32())
         mask = lists.is_null() if lists.null_count else None
         return pa.ListArray.from_arrays(offs, inner, mask=mask)
 
+    @F.arrow_udf("array<array<int>>")
+    def _enc_many(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_pieces(turn, batches)
+
     return _enc_many(_c(col))
 
 
@@ -66,8 +105,8 @@ def decode_col(col, tokenizer: str = "bytes") -> Column:
     data = tokenizer_data(tokenizer)
 
     @F.arrow_udf("string")
-    def _dec(ids: pa.Array) -> pa.Array:
-        return get_tokenizer(tokenizer, data).decode_arrow(ids)
+    def _dec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return by_pieces(get_tokenizer(tokenizer, data).decode_arrow, batches)
 
     return _dec(_c(col))
 
