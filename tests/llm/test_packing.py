@@ -45,6 +45,25 @@ def test_cached_ids_equal_the_library(path, texts):
     assert ids_of(cached, texts) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_frequent_words_outlive_a_full_table(monkeypatch):
+    encoder, learned = Encoder(read_spec(WORD), cache_words=6), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.extend(words), learn(words))[1])
+    for i in range(20):
+        ids_of(encoder, [f"often seen often seen often rare{i} x{i}q y{i}"])
+    assert learned.count("often") == learned.count("seen") == 1
+    assert len(encoder.words.row) <= 6 + 5
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_plain_words_do_not_cost_a_call_for_whole_texts(path, monkeypatch):
+    encoder, plain = Encoder(read_spec(path)), both(path)[1]
+    texts = ["Words, naïve words.\nAnd 12 numbers; don't!", "words \x7f\xad more"]
+    monkeypatch.setattr(encoder, "_library", lambda found: (_ for _ in ()).throw(AssertionError(found))
+                        if any(w.strip() for w in found) else Encoder._library(encoder, found))
+    assert ids_of(encoder, texts) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 @given(counts=st.lists(st.integers(0, 5), min_size=2, max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_every_piece_gets_one_slot(counts):

@@ -14,7 +14,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trainprep.llm.common import without, worker_cache
+from trainprep.llm.common import byte_alphabet, without, worker_cache
 from trainprep.llm.encode import read_spec
 
 #: Words whose counts a worker keeps, and the longest such word.
@@ -97,14 +97,6 @@ class Automaton:
         return n
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Character -> byte of byte-level vocabularies: printable Latin-1 stands for itself, the
-    other bytes follow from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def vocabulary(spec: str, end: str = "</w>", continuing_prefix: str | None = None):
     """(initial, continuing) piece sets of a tokenizer file's vocabulary.
 

@@ -1,8 +1,10 @@
 """Exact ids of a public ``tokenizers`` file at several times the plain speed.
 
 Natural text repeats its words, so a worker keeps the ids of words it has met and
-hands only new words to the library. That is exact only where the tokenizer never
-looks across a word border, which is derived from its own description:
+hands only new words to the library. A run of texts is cut into words and these are
+numbered by Arrow, so Python looks up each different word of the run once. That is exact
+only where the tokenizer never looks across a word border, which is derived from its own
+description:
 
 * byte-level BPE without a normaliser: a single space or newline between two
   non-space characters is always a border (the space belongs to the next word).
@@ -12,7 +14,10 @@ looks across a word border, which is derived from its own description:
 * anything else: every text goes to the library whole.
 
 A new word of Latin letters is first cut as the tokenizer's own pattern cuts it, so that
-``word``, ``Word.`` and ``word$$$`` cost one call between them.
+``word``, ``Word.`` and ``word$$$`` cost one call between them. Such a piece is what the
+library itself would hand to its model, so it goes to the library's model directly, spelled
+in the byte alphabet; the objects and threads of a call for whole texts cost several times
+the merges of one word.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from trainprep.llm.common import worker_cache
+from trainprep.llm.common import byte_alphabet, worker_cache
 
-#: Words kept per Python worker (about 250 bytes each); the table starts afresh beyond it.
+#: Words kept per Python worker (about 250 bytes each); beyond it, the half that was met most stays.
 CACHE_WORDS = 800_000
 #: Characters encoded at a time, so that temporary word lists stay small.
 CHUNK_CHARS = 2_000_000
@@ -40,6 +47,8 @@ _LAST_LATIN = "\u024f"
 
 _MARK = "\x01"
 _WHOLE = re.compile(r"\s\s|\x01")
+# Byte -> character of byte-level vocabularies, for texts whose bytes are read as Latin-1.
+_SPELLING = {b: c for c, b in byte_alphabet().items()}
 # All white space but space and line end, and pairs of those two: found by plain search.
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + [_MARK, "  ", " \n", "\n ", "\n\n"]
 
@@ -84,7 +93,7 @@ class Table:
 
     def __init__(self):
         self.row: dict[str, int] = {}
-        self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.starts, self.lens, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.filled = np.zeros(0, np.int32), 0
 
     def add(self, strings: list[str], ids: np.ndarray, lens: np.ndarray):
@@ -92,10 +101,11 @@ class Table:
         at, n = len(self.row), len(strings)
         self.row.update(zip(strings, range(at, at + n)))
         self.starts, self.lens = _room(self.starts, at, n), _room(self.lens, at, n)
+        self.hits = _room(self.hits, at, n)
         self.ids = _room(self.ids, self.filled, len(ids))
         self.ids[self.filled:self.filled + len(ids)] = ids
         ends = self.filled + np.cumsum(lens)
-        self.starts[at:at + n], self.lens[at:at + n] = ends - lens, lens
+        self.starts[at:at + n], self.lens[at:at + n], self.hits[at:at + n] = ends - lens, lens, 0
         self.filled += len(ids)
 
     def rows(self, strings: list[str], learn) -> np.ndarray:
@@ -108,6 +118,17 @@ class Table:
             at[miss] = np.fromiter(map(self.row.__getitem__, new), np.int32, len(new))
         return at
 
+    def keep(self, n: int):
+        """Leave the ``n`` rows with most hits, of those with more than one, and count anew."""
+        hits = self.hits[:len(self.row)]
+        most = np.argsort(-hits, kind="stable")[:n]
+        kept = np.sort(most[hits[most] > 1])
+        strings = list(self.row)   # in the order of their rows
+        strings = [strings[i] for i in kept.tolist()]
+        ids, lens = self.gather(kept)
+        self.__init__()
+        self.add(strings, ids, lens)
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows end to end, and how many each has."""
         lens = self.lens[rows].astype(np.int64)
@@ -127,11 +148,9 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.encode_special_tokens = True
         self.rule = border_rule(spec)
-        self._clear()
-
-    def _clear(self):
-        self.words, self.pieces = Table(), Table()
-        self.pieces.add(["\n\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))  # stands for the end of a word
+        # any other added token would be looked for inside words
+        self.direct = all(t.get("special") for t in json.loads(spec).get("added_tokens") or [])
+        self.words = Table()
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # the fast form skips character offsets; the ids are the same
@@ -139,48 +158,71 @@ class Encoder:
         return (np.fromiter(chain.from_iterable(ids), np.int32),
                 np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def _words(self, text: str) -> list[str]:
+    def _split(self, texts: list[str]) -> pa.ListArray:
+        """Words of each text. With the byte rule, a word without the marker has a space before it."""
         if self.rule == "word":
-            return text.replace("\n", " ").split(" ")
-        # a word without the marker has a space before it
-        return (_MARK + text.replace("\n", f" \n {_MARK}")).split(" ")
+            found = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        else:
+            found = pc.replace_substring(pa.array([_MARK + t for t in texts], pa.large_string()), "\n", f" \n {_MARK}")
+        return pc.split_pattern(found, " ")
 
     def _spelled(self, word: str) -> str:
         if self.rule == "word" or word == "\n":
             return word
         return word[1:] if word[:1] == _MARK else " " + word
 
-    def _learn_pieces(self, pieces: list[str]):
-        for i in range(0, len(pieces), 10_000):
-            part = pieces[i:i + 10_000]
-            self.pieces.add(part, *self._library(part))
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that the tokenizer's pattern leaves in one piece."""
+        if not self.direct:
+            return self._library(pieces)
+        model = self.tok.model.tokenize
+        space = _SPELLING[32]
+        ids = [[t.id for t in model(p.replace(" ", space) if p.isascii() and p.isprintable()
+                                    else p.encode().decode("latin-1").translate(_SPELLING))] for p in pieces]
+        return (np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self, words: list[str]):
+        for i in range(0, len(words), 50_000):
+            self._learn_some(words[i:i + 50_000])
+
+    def _learn_some(self, words: list[str]):
         spelled = list(map(self._spelled, words))
         plain = [bool(w) and not w[-1].isspace() and (w.isascii() or max(w) <= _LAST_LATIN) for w in spelled]
         odd = [w for w, p in zip(words, plain) if not p]
         if odd:
             self.words.add(odd, *self._library([w for w, p in zip(spelled, plain) if not p]))
-        cut = [w for w, p in zip(spelled, plain) if p]
-        if not cut:
+        words, spelled = ([w for w, p in zip(ws, plain) if p] for ws in (words, spelled))
+        if not words:
             return
-        # one pass of the pattern over all words; a line end after each word is a piece
-        line = "\n".join([*cut, ""])
-        found = _BYTE_PIECES.findall(line) if self.rule == "byte" else _WORD_PIECES.findall(line.lower())
-        rows = self.pieces.rows(["\n\n" if p == "\n" else p for p in found], self._learn_pieces)
-        ids, lens = self.pieces.gather(rows)
-        ends = np.cumsum(lens)[rows == 0]
-        self.words.add([w for w, p in zip(words, plain) if p], ids, np.diff(ends, prepend=0))
+        if self.rule == "word":
+            spelled = "\n".join(spelled).lower().split("\n")
+        # letters alone are one piece; the pattern cuts the other words in one pass, with a
+        # line end after each
+        whole = [w.isascii() and (w.isalpha() or w[:1] == " " and w[1:].isalpha()) for w in spelled]
+        pieces = _BYTE_PIECES if self.rule == "byte" else _WORD_PIECES
+        found = pieces.findall("\n".join([*(w for w, one in zip(spelled, whole) if not one), ""]))
+        table = Table()
+        table.add(["\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))   # row 0: the end of a word
+        learn = lambda new: table.add(new, *self._pieces(new))
+        for ws, cut in (([w for w, one in zip(words, whole) if one], [w for w, one in zip(spelled, whole) if one]),
+                        ([w for w, one in zip(words, whole) if not one], found)):
+            rows = table.rows(cut, learn)
+            ids, lens = table.gather(rows)
+            if cut is found:
+                lens = np.diff(np.cumsum(lens)[rows == 0], prepend=0)
+            self.words.add(ws, ids, lens)
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.rule == "whole":
             return self._library(texts)
         if len(self.words.row) > self.cache_words:
-            self._clear()
-        per = [self._words(t) for t in texts]
-        words = list(chain.from_iterable(per))
-        ids, lens = self.words.gather(self.words.rows(words, self._learn))
-        bounds = np.concatenate([[0], np.cumsum(lens)])[np.cumsum([0, *map(len, per)])]
+            self.words.keep(self.cache_words // 2)
+        words = self._split(texts)
+        coded = words.flatten().dictionary_encode()
+        rows, at = self.words.rows(coded.dictionary.to_pylist(), self._learn), coded.indices.to_numpy()
+        self.words.hits[rows] += np.bincount(at, minlength=len(rows)).astype(np.int32)
+        ids, lens = self.words.gather(rows[at])
+        bounds = np.concatenate([[0], np.cumsum(lens)])[words.offsets.to_numpy()]
         return ids, np.diff(bounds)
 
     def encode(self, texts: list[str]):
