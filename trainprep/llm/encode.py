@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from trainprep.llm.common import byte_alphabet, worker_cache
 #: Words kept per Python worker (about 250 bytes each); beyond it, the half that was met most stays.
 CACHE_WORDS = 800_000
 #: Characters encoded at a time, so that temporary word lists stay small.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 4_000_000
 
 # The patterns by which the two kinds of tokenizer cut a text into pieces.
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -175,42 +175,42 @@ class Encoder:
         """Ids of texts that the tokenizer's pattern leaves in one piece."""
         if not self.direct:
             return self._library(pieces)
-        model = self.tok.model.tokenize
-        space = _SPELLING[32]
-        ids = [[t.id for t in model(p.replace(" ", space) if p.isascii() and p.isprintable()
-                                    else p.encode().decode("latin-1").translate(_SPELLING))] for p in pieces]
-        return (np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        model, space, ids, ends = self.tok.model.tokenize, _SPELLING[32], [], []
+        for p in pieces:
+            p = (p.replace(" ", space) if p.isascii() and p.isprintable()
+                 else p.encode().decode("latin-1").translate(_SPELLING))
+            ids += [t.id for t in model(p)]
+            ends.append(len(ids))
+        return np.array(ids, np.int32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def _learn(self, words: list[str]):
         for i in range(0, len(words), 50_000):
-            self._learn_some(words[i:i + 50_000])
-
-    def _learn_some(self, words: list[str]):
+            some = words[i:i + 50_000]
+            letters = [w.isascii() and w.isalpha() for w in some]
+            # letters alone, of a word after a space, are one piece
+            alone = list(compress(some, letters))
+            spelled = [" " + w for w in alone] if self.rule == "byte" else [w.lower() for w in alone]
+            self.words.add(alone, *self._pieces(spelled))
+            self._learn_cut([w for w, one in zip(some, letters) if not one])
+
+    def _learn_cut(self, words: list[str]):
         spelled = list(map(self._spelled, words))
         plain = [bool(w) and not w[-1].isspace() and (w.isascii() or max(w) <= _LAST_LATIN) for w in spelled]
         odd = [w for w, p in zip(words, plain) if not p]
         if odd:
             self.words.add(odd, *self._library([w for w, p in zip(spelled, plain) if not p]))
-        words, spelled = ([w for w, p in zip(ws, plain) if p] for ws in (words, spelled))
-        if not words:
+        cut = list(compress(spelled, plain))
+        if not cut:
             return
-        if self.rule == "word":
-            spelled = "\n".join(spelled).lower().split("\n")
-        # letters alone are one piece; the pattern cuts the other words in one pass, with a
-        # line end after each
-        whole = [w.isascii() and (w.isalpha() or w[:1] == " " and w[1:].isalpha()) for w in spelled]
-        pieces = _BYTE_PIECES if self.rule == "byte" else _WORD_PIECES
-        found = pieces.findall("\n".join([*(w for w, one in zip(spelled, whole) if not one), ""]))
-        table = Table()
-        table.add(["\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))   # row 0: the end of a word
-        learn = lambda new: table.add(new, *self._pieces(new))
-        for ws, cut in (([w for w, one in zip(words, whole) if one], [w for w, one in zip(spelled, whole) if one]),
-                        ([w for w, one in zip(words, whole) if not one], found)):
-            rows = table.rows(cut, learn)
-            ids, lens = table.gather(rows)
-            if cut is found:
-                lens = np.diff(np.cumsum(lens)[rows == 0], prepend=0)
-            self.words.add(ws, ids, lens)
+        # one pass of the pattern over all words; a line end after each word is a piece
+        line = "\n".join([*cut, ""])
+        found = _BYTE_PIECES.findall(line) if self.rule == "byte" else _WORD_PIECES.findall(line.lower())
+        pieces = Table()
+        pieces.add(["\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))   # row 0: the end of a word
+        rows = pieces.rows(found, lambda new: pieces.add(new, *self._pieces(new)))
+        ids, lens = pieces.gather(rows)
+        ends = np.cumsum(lens)[rows == 0]
+        self.words.add(list(compress(words, plain)), ids, np.diff(ends, prepend=0))
 
     def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.rule == "whole":
@@ -219,7 +219,8 @@ class Encoder:
             self.words.keep(self.cache_words // 2)
         words = self._split(texts)
         coded = words.flatten().dictionary_encode()
-        rows, at = self.words.rows(coded.dictionary.to_pylist(), self._learn), coded.indices.to_numpy()
+        strings = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows, at = self.words.rows(strings, self._learn), coded.indices.to_numpy()
         self.words.hits[rows] += np.bincount(at, minlength=len(rows)).astype(np.int32)
         ids, lens = self.words.gather(rows[at])
         bounds = np.concatenate([[0], np.cumsum(lens)])[words.offsets.to_numpy()]
