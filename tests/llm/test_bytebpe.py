@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -118,3 +119,28 @@ def test_known_words_are_checked_by_their_bytes():
     known.hashes = np.sort(np.array([hash(w) for w in ("q", " the", "é", "漢字")], np.int64))   # "q" now hits a wrong word
     known.order = np.array([{hash("q"): 0, hash(" the"): 1, hash("é"): 2, hash("漢字"): 3}[h] for h in known.hashes.tolist()])
     assert known.rows(["q", "é"]).tolist() == [-1, 2] and known.rows([]).tolist() == []
+
+
+def test_words_at_the_start_of_a_line_and_single_characters_are_known(spark, library):
+    texts = ["Some words.\nSome more words", "Some, words", "Some other\nmore of it"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    ranks = B.RankMap(B.read_ranks(RANKS))
+    for limit, want in ((100, {"Some", " words"}), (1, {"Some"}), (0, set())):
+        v = B.common_words(docs, ranks, "text", limit)
+        raw = v["text"].tobytes()
+        found = [raw[a:b].decode() for a, b in zip(v["marks"][:-1], v["marks"][1:])]
+        assert found[:128] == list(map(chr, range(128))) and set(found[128:]) == want
+        for w, a, b in zip(found, v["ends"][:-1], v["ends"][1:]):
+            assert v["ids"][a:b].tolist() == library.encode_ordinary(w)
+
+
+def test_setting_up_known_words_takes_little_memory():
+    words = [f" w{i}" for i in range(200_000)]
+    marks = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    table = {"text": np.frombuffer("".join(words).encode(), np.uint8), "marks": marks}
+    tracemalloc.start()
+    known = B.Known(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(words)
+    assert known.rows([" w7", " w19999", " w20000", " w199999", "w"]).tolist() == [7, 19_999, 20_000, 199_999, -1]

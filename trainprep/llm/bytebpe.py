@@ -5,8 +5,9 @@ higher-order functions fold the ranked merges: ``aggregate`` holds (tokens, rank
 neighbouring pair) and every step merges the leftmost pair of the lowest rank. The rank
 map is a literal: two hash places per pair in one array, so a rank is two array reads.
 
-The work goes by distinct words. All blank-separated words of the corpus are counted; the
-most frequent ones, at most ``common`` of them, are folded once and their ids broadcast.
+The work goes by distinct words. All blank-separated words of the corpus are counted, those
+at the start of a line apart, since no space belongs to them; the most frequent ones, at most
+``common`` of them, are folded once and their ids broadcast.
 A piece outside this list is folded where it stands, once per document, so no text is
 shuffled and the list changes nothing but time. The fold is quadratic in the length of a
 piece, so pieces above ``FOLD_BYTES`` bytes (junk without spaces) go through the same
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,11 @@ from trainprep.llm.common import slices, stored, worker_cache
 COMMON_WORDS = 1_000_000
 #: Longest piece, in bytes, that the higher-order fold takes.
 FOLD_BYTES = 256
+#: Words hashed at a time where a worker sets up the broadcast words.
+HASHED = 20_000
 
+# Before a word that starts a line, in the count of words.
+_START = "\x01"
 _ID_BITS = 20
 _NO_RANK = 1 << _ID_BITS
 
@@ -174,19 +180,31 @@ def _byte_lists(words: list[bytes], byte_ids) -> pa.Array:
                                     pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)))
 
 
+def _counted(batches):
+    """Words of each slice and how often it has them; a word that starts a line has a marker."""
+    for part in (part for batch in batches for part in slices(batch)):
+        text = part.column(0)
+        mark = pa.scalar(_START, text.type)
+        text = pc.binary_join_element_wise(mark, text, pa.scalar("", text.type))
+        text = pc.replace_substring_regex(pc.replace_substring(text, "\n", f" {_START}"), "[.,;:!?]", " ")
+        words = pc.split_pattern(text, " ").flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([words.field("values"), words.field("counts")], ["w", "n"])
+
+
 def common_words(docs: DataFrame, ranks: RankMap, text: str, limit: int) -> dict:
     """Words that occur most often among all blank-separated words, each with a space before
-    it, and their ids, of at most ``limit`` words: {"text": UTF-8 bytes end to end, "marks":
-    where each word ends, "ids": ids end to end, "ends": where each word's ids end}.
+    it unless it starts a line, and their ids, of at most ``limit`` words and the single ASCII
+    characters: {"text": UTF-8 bytes end to end, "marks": where each word ends, "ids": ids end
+    to end, "ends": where each word's ids end}.
 
-    The frequency from which on words are taken is the lowest power of two that leaves at
-    most ``limit`` of them, found from at most 64 counts.
+    The frequency from which on words are taken is the lowest that leaves at most ``limit`` of
+    them, found from at most 512 counts (beyond 255, by quarters of a power of two).
     """
-    word = F.explode(F.split(F.translate(F.col(text), "\n.,;:!?", " " * 7), " "))
-    counted = docs.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.where((F.col("n") > 1) & (F.octet_length("w") < FOLD_BYTES) & (F.col("w") != ""))
-    counted = stored(counted, "bpe-words").withColumn("b", F.floor(F.log2("n")).cast("int"))
-    least, total = 64, 0
+    counted = docs.select(text).mapInArrow(_counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counted = counted.where((F.col("n") > 1) & (F.octet_length("w") < FOLD_BYTES) & ~F.col("w").isin("", _START))
+    level = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor(4 * F.log2("n")))
+    counted = stored(counted, "bpe-words").withColumn("b", level.cast("int"))
+    least, total = 1 << 30, 0
     for row in sorted(counted.groupBy("b").count().collect(), reverse=True):
         if total + row["count"] > limit:
             break
@@ -198,14 +216,19 @@ def common_words(docs: DataFrame, ranks: RankMap, text: str, limit: int) -> dict
             words = [w.encode() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _byte_lists(words, byte_ids)], ["w", "bytes"])
 
-    taken = counted.where(F.col("b") >= least).select(F.concat(F.lit(" "), "w").alias("w"))
+    taken = counted.where(F.col("b") >= least).select(
+        F.when(F.col("w").startswith(_START), F.substring("w", 2, FOLD_BYTES)).otherwise(F.concat(F.lit(" "), "w")).alias("w"))
     taken = taken.mapInArrow(spelled, "w string, bytes array<bigint>")
     folded = stored(taken.select("w", fold_merges(F.array("bytes"), ranks)[0].alias("ids")), "bpe-common").toArrow()
     ids, words = folded["ids"].combine_chunks(), folded["w"].cast(pa.large_string()).combine_chunks()
     ids, words = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, words))
+    single = np.arange(128)
     lens = np.array([] if not len(words) else pc.binary_length(words).to_numpy(), np.int64)
-    return {"text": np.frombuffer("".join(words.to_pylist()).encode(), np.uint8), "marks": np.concatenate([[0], np.cumsum(lens)]),
-            "ids": ids.flatten().to_numpy().astype(np.int32), "ends": _ends(ids) if len(ids) else np.zeros(1, np.int64)}
+    ends = np.diff(_ends(ids)) if len(ids) else np.zeros(0, np.int64)
+    return {"text": np.concatenate([single.astype(np.uint8), np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)]),
+            "marks": np.concatenate([np.arange(129), 128 + np.cumsum(lens)]),
+            "ids": np.concatenate([byte_ids[single], ids.flatten().to_numpy().astype(np.int32)]).astype(np.int32),
+            "ends": np.concatenate([np.arange(129), 128 + np.cumsum(ends)])}
 
 
 class Known:
@@ -215,9 +238,12 @@ class Known:
 
     def __init__(self, table: dict):
         self.text, self.marks = table["text"], table["marks"]
-        raw = self.text.tobytes()
-        cut = zip(self.marks[:-1].tolist(), self.marks[1:].tolist())
-        hashes = np.fromiter((hash(raw[a:b].decode()) for a, b in cut), np.int64, len(self.marks) - 1)
+        n = len(self.marks) - 1
+        hashes = np.empty(n, np.int64)
+        for i in range(0, n, HASHED):   # Python objects of a part of the words at a time
+            ends = self.marks[i:i + HASHED + 1] - self.marks[i]
+            raw = self.text[self.marks[i]:self.marks[i] + ends[-1]].tobytes()
+            hashes[i:i + HASHED] = [hash(raw[a:b].decode()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.order]
 
@@ -284,7 +310,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             for part in slices(batch):
                 out = {"ids": [], "new": [], "gap": [], "at": []}
                 found = [find(t) for t in part.column(1).to_pylist()]
-                rows = known.rows([p for pieces in found for p in pieces])
+                # each different piece of the slice is looked up once
+                coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
+                rows = known.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
                 for pieces, row in zip(found, np.split(rows, np.cumsum([len(p) for p in found])[:-1])):
                     lens = np.where(row >= 0, v["ends"][row + 1] - v["ends"][row], 0).astype(np.int64)
                     miss = np.flatnonzero(row < 0)
