@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import tracemalloc
@@ -144,3 +145,23 @@ def test_setting_up_known_words_takes_little_memory():
     tracemalloc.stop()
     assert peak < 40 * len(words)
     assert known.rows([" w7", " w19999", " w20000", " w199999", "w"]).tolist() == [7, 19_999, 20_000, 199_999, -1]
+
+
+def test_known_words_and_their_ids_are_held_in_narrow_numbers(spark):
+    words = [f"word{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(" ".join(words),)] * 2, "text string")
+    v = B.common_words(docs, B.RankMap(B.read_ranks(RANKS)), "text", 5000)
+    assert len(v["marks"]) == 129 + len(words)
+    assert v["marks"].itemsize == v["ends"].itemsize == 4 and v["ids"].itemsize == 2
+    assert B._narrow(np.array([0, 1 << 31])).tolist() == [0, 1 << 31]
+
+
+def test_ids_of_more_than_two_bytes(spark, library, tmp_path):
+    path = tmp_path / "wide.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(w).decode()} {i + 70_000}\n" for w, i in B.read_ranks(RANKS).items()))
+    texts = ["Some words, some more words", "", "xqzj é漢字 " * 3, "ab" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for common in (100, 0):
+        for r in B.encode(docs, str(path), PATTERN, common=common, decoded=True).collect():
+            assert r["ids"] == [i + 70_000 for i in library.encode_ordinary(texts[r["doc_id"]])]
+            assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]

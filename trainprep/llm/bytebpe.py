@@ -38,6 +38,8 @@ COMMON_WORDS = 1_000_000
 FOLD_BYTES = 256
 #: Words hashed at a time where a worker sets up the broadcast words.
 HASHED = 20_000
+#: Documents whose ids are put together at a time.
+FILLED = 100
 
 # Before a word that starts a line, in the count of words.
 _START = "\x01"
@@ -65,6 +67,8 @@ class RankMap:
         if max(ranks.values()) >= _NO_RANK:
             raise ValueError(f"ids above {_NO_RANK} are not supported")
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        # of ids that are kept or sent in number
+        self.id_type = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
         self.pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -195,7 +199,8 @@ def common_words(docs: DataFrame, ranks: RankMap, text: str, limit: int) -> dict
     """Words that occur most often among all blank-separated words, each with a space before
     it unless it starts a line, and their ids, of at most ``limit`` words and the single ASCII
     characters: {"text": UTF-8 bytes end to end, "marks": where each word ends, "ids": ids end
-    to end, "ends": where each word's ids end}.
+    to end, "ends": where each word's ids end}. Every worker holds them, so numbers are as
+    narrow as their values allow.
 
     The frequency from which on words are taken is the lowest that leaves at most ``limit`` of
     them, found from at most 512 counts (beyond 255, by quarters of a power of two).
@@ -226,14 +231,19 @@ def common_words(docs: DataFrame, ranks: RankMap, text: str, limit: int) -> dict
     lens = np.array([] if not len(words) else pc.binary_length(words).to_numpy(), np.int64)
     ends = np.diff(_ends(ids)) if len(ids) else np.zeros(0, np.int64)
     return {"text": np.concatenate([single.astype(np.uint8), np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)]),
-            "marks": np.concatenate([np.arange(129), 128 + np.cumsum(lens)]),
-            "ids": np.concatenate([byte_ids[single], ids.flatten().to_numpy().astype(np.int32)]).astype(np.int32),
-            "ends": np.concatenate([np.arange(129), 128 + np.cumsum(ends)])}
+            "marks": _narrow(np.concatenate([np.arange(129), 128 + np.cumsum(lens)])),
+            "ids": np.concatenate([byte_ids[single], ids.flatten().to_numpy()]).astype(ranks.id_type),
+            "ends": _narrow(np.concatenate([np.arange(129), 128 + np.cumsum(ends)]))}
+
+
+def _narrow(ends: np.ndarray) -> np.ndarray:
+    """Ascending offsets in 32 bits where they fit."""
+    return ends.astype(np.int32) if ends[-1] < 1 << 31 else ends
 
 
 class Known:
     """The broadcast words in arrays: their hashes in order, found by binary search, and
-    the bytes against which every match is checked. A word takes some 40 bytes; a dict of
+    the bytes against which every match is checked. A word takes some 35 bytes; a dict of
     strings would take 150."""
 
     def __init__(self, table: dict):
@@ -257,7 +267,7 @@ class Known:
         hit = np.flatnonzero(row >= 0)
         # the same hash is the same word, unless the bytes say otherwise
         spelled = [pieces[i] for i in hit.tolist()]
-        start, stop = self.marks[row[hit]], self.marks[row[hit] + 1]
+        start, stop = self.marks[row[hit]].astype(np.int64), self.marks[row[hit] + 1].astype(np.int64)
         ends = np.cumsum(stop - start)
         total = int(ends[-1]) if len(ends) else 0
         if self.text[np.repeat(start - (ends - (stop - start)), stop - start) + np.arange(total)].tobytes() != "".join(spelled).encode():
@@ -286,6 +296,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     shared = spark.sparkContext.broadcast(common_words(src, ranks, "__text", common) | {
         "bytes": ranks.bytes, "pairs": (np.array(list(ranks.pairs), np.int32).reshape(-1, 2), np.array(list(ranks.pairs.values()), np.int32))})
     key_type = src.schema["__key"].dataType.simpleString()
+    id_type = ranks.id_type
 
     token = uuid.uuid4().hex  # one table per call in a worker
 
@@ -298,55 +309,62 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         return cache[token]
 
     def cut(batches):
-        """Per document: ids of the known pieces with gaps, the other pieces once each (byte
-        arrays, or ids of long ones), which of them fills each gap, and how many ids come
-        before it."""
+        """Per document: ids of the known pieces with gaps (one binary of ``id_type``), the other
+        pieces once each (byte arrays, or ids of long ones), which of them fills each gap, and
+        how many ids come before it."""
         import regex
 
         find = regex.compile(pattern).findall
         known, v = tables()
         pairs = None
-        for batch in batches:
-            for part in slices(batch):
-                out = {"ids": [], "new": [], "gap": [], "at": []}
-                found = [find(t) for t in part.column(1).to_pylist()]
-                # each different piece of the slice is looked up once
-                coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
-                rows = known.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-                for pieces, row in zip(found, np.split(rows, np.cumsum([len(p) for p in found])[:-1])):
-                    lens = np.where(row >= 0, v["ends"][row + 1] - v["ends"][row], 0).astype(np.int64)
-                    miss = np.flatnonzero(row < 0)
-                    spell, new, gap = {}, [], []
-                    for w in [pieces[i] for i in miss.tolist()]:
-                        if w not in spell:
-                            spell[w] = len(new)
-                            w = w.encode()
-                            if len(w) > FOLD_BYTES:
-                                if pairs is None:
-                                    pairs = dict(zip(map(tuple, v["pairs"][0].tolist()), v["pairs"][1].tolist()))
-                                new.append(("ids", heap_merges(w, v["bytes"], pairs)))
-                            else:
-                                new.append(("bytes", w))
-                            gap.append(len(new) - 1)
+
+        def one(part):   # so that the pieces of a slice are gone before the next one is cut
+            nonlocal pairs
+            out = {"ids": [], "new": [], "gap": [], "at": []}
+            found = [find(t) for t in part.column(1).to_pylist()]
+            # each different piece of the slice is looked up once
+            coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
+            rows = known.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+            for pieces, row in zip(found, np.split(rows, np.cumsum([len(p) for p in found])[:-1])):
+                lens = np.where(row >= 0, v["ends"][row + 1] - v["ends"][row], 0).astype(np.int64)
+                miss = np.flatnonzero(row < 0)
+                spell, new, gap = {}, [], []
+                for w in [pieces[i] for i in miss.tolist()]:
+                    if w not in spell:
+                        spell[w] = len(new)
+                        w = w.encode()
+                        if len(w) > FOLD_BYTES:
+                            if pairs is None:
+                                pairs = dict(zip(map(tuple, v["pairs"][0].tolist()), v["pairs"][1].tolist()))
+                            new.append(("ids", heap_merges(w, v["bytes"], pairs)))
                         else:
-                            gap.append(spell[w])
-                    ends = np.cumsum(lens)
-                    total = int(ends[-1]) if len(ends) else 0
-                    src_at = np.repeat(np.where(row >= 0, v["ends"][row], 0) - (ends - lens), lens) + np.arange(total)
-                    out["ids"].append(v["ids"][src_at])
-                    out["new"].append(new)
-                    out["gap"].append(gap)
-                    out["at"].append(ends[miss])
-                yield _cut_batch(part.column(0), out, v["bytes"])
-
-    found = src.mapInArrow(cut, f"key {key_type}, ids array<int>, new array<array<bigint>>, long array<array<int>>, gap array<int>, at array<int>")
+                            new.append(("bytes", w))
+                        gap.append(len(new) - 1)
+                    else:
+                        gap.append(spell[w])
+                ends = np.cumsum(lens)
+                total = int(ends[-1]) if len(ends) else 0
+                src_at = np.repeat(np.where(row >= 0, v["ends"][row], 0) - (ends - lens), lens) + np.arange(total)
+                out["ids"].append(v["ids"][src_at])
+                out["new"].append(new)
+                out["gap"].append(gap)
+                out["at"].append(ends[miss])
+            return _cut_batch(part.column(0), out, v["bytes"])
+
+        for batch in batches:
+            yield from map(one, slices(batch))
+            pa.default_memory_pool().release_unused()
+
+    found = src.mapInArrow(cut, f"key {key_type}, ids binary, new array<array<bigint>>, long array<array<int>>, gap array<int>, at array<int>")
     folded = F.when(F.size("new") == 0, F.array().cast("array<array<int>>")).otherwise(fold_merges(F.col("new"), ranks))
     found = found.select("key", "ids", folded.alias("folded"), "long", "gap", "at")
 
     def fill(batches):
-        for b in (part for batch in batches for part in slices(batch)):
+        for b in (part for batch in batches for part in slices(batch, FILLED)):
             col = dict(zip(b.schema.names, b.columns))
-            ids, ends = col["ids"].flatten().to_numpy(), _ends(col["ids"])
+            packs = col["ids"].to_pylist()
+            ids = np.frombuffer(b"".join(packs), id_type)
+            ends = np.cumsum([0, *map(len, packs)]) // ids.itemsize
             gap, gap_ends = col["gap"].flatten().to_numpy(), _ends(col["gap"])
             # pieces of all rows end to end: a piece is either folded or long, and empty in the other
             folded, long = col["folded"].flatten(), col["long"].flatten()
@@ -363,7 +381,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             starts = (np.cumsum(sizes) - sizes)[piece]
             stops = np.cumsum(lens)
             values = flat[np.repeat(starts - (stops - lens), lens) + np.arange(int(lens.sum()))]
-            ids = np.insert(ids, np.repeat(at, lens), values).astype("<u4")
+            ids = np.insert(ids, np.repeat(at, lens), values.astype(id_type)).astype("<u4")
             added = np.concatenate([[0], stops])[gap_ends]
             if packed:
                 cuts = pa.array((ends + added) * 4, pa.int32())
@@ -400,7 +418,7 @@ def _cut_batch(keys, out: dict, byte_ids) -> pa.RecordBatch:
     done = [w if kind == "ids" else none for kind, w in pieces]
     ends = pa.array(np.cumsum([0, *map(len, out["new"])]), pa.int32())
     return pa.RecordBatch.from_arrays([
-        keys, _lists(out["ids"], pa.int32()), pa.ListArray.from_arrays(ends, _lists(spelled, pa.int64())),
+        keys, pa.array([x.tobytes() for x in out["ids"]], pa.binary()), pa.ListArray.from_arrays(ends, _lists(spelled, pa.int64())),
         pa.ListArray.from_arrays(ends, _lists(done, pa.int32())), _lists(out["gap"], pa.int32()),
         _lists(out["at"], pa.int32())], ["key", "ids", "new", "long", "gap", "at"])
 

@@ -58,10 +58,10 @@ def byte_alphabet() -> dict[str, int]:
 SLICE_ROWS = 500
 
 
-def slices(batch: pa.RecordBatch):
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
     """A batch in parts, so that the texts of a large batch are never all held twice."""
-    for i in range(0, batch.num_rows, SLICE_ROWS):
-        yield batch.slice(i, SLICE_ROWS)
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def totals_before(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
