@@ -148,6 +148,22 @@ def test_components_of_random_graphs(spark):
     assert D.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_a_round_is_written_in_small_plans(spark, monkeypatch):
+    """The driver holds one step's plan at a time, and no round confirms what is done."""
+    plans, stored = [], D.stored
+
+    def counted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return stored(df, name)
+
+    monkeypatch.setattr(D, "stored", counted)
+    star = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a long, b long")
+    assert D.components(star).count() == 39 and len(plans) == 1
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in D.components(path).collect()} == {(i, 0) for i in range(1, 41)}
+    assert len(plans) > 3 and max(plans) <= 4
+
+
 def test_odd_rows(spark):
     rows = D.near_duplicates(odd_documents(spark)).collect()
     assert len(rows) == 12

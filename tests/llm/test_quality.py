@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -55,6 +56,18 @@ def test_attention_finds_the_bad_passage():
     assert model.forward(clean, np.array([len(clean)]))[0][0] > 0.5
 
 
+def test_training_copies_no_sample():
+    """Single-precision passages are trained on in double precision, without a copy of them all."""
+    x = np.random.default_rng(3).gamma(0.3, 0.1, (20_000, Q.N_FEATURES)).astype("<f4")
+    exact = x.astype(float)
+    tracemalloc.start()
+    model = Q.MilModel().fit(x, np.ones(len(x), int), np.arange(len(x)) % 2.0, epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 2
+    assert (model.mean == exact.mean(axis=0)).all() and (model.scale == exact.std(axis=0) + 1e-3).all()
+
+
 def test_passages_cover_the_whole_text():
     text = "One two three. " * 100 + "LAST!!"
     x = Q.passages(text, words=50)

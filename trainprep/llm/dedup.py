@@ -213,28 +213,30 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: in
             .select("a", "b").distinct())
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node has one link to a smaller one, or only links to larger ones."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    seen = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.where("ups > 1 or ups = 1 and least = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): every linked node with the smallest node it reaches, by alternating
     large-star and small-star steps. Each step only takes minima per node and joins them
-    back; the links are written out after each round."""
-    def mark(df):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
+    back. Each is written out, so that a plan holds one step: the driver keeps plans and
+    the states of their tasks in memory."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "dedup-links")
-    before = mark(edges)
-    while before[0]:
+    while not _is_star_forest(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
+        # larger neighbours go to the smallest node; so does the node itself, once
+        large = (both.join(low, "u").where("v > u or v = m")
+                 .select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")))
+        large = stored(large, "dedup-links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(low.select("u", F.col("m").alias("v"))).distinct())
-        edges = stored(small, "dedup-links")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+                                            F.col("m").alias("v"))
+        edges = stored(small.distinct(), "dedup-links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -84,6 +84,15 @@ def passages(text: str | None, words: int = PASSAGE_WORDS) -> np.ndarray:
     return out
 
 
+def _moments(x: np.ndarray, block: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each column in double precision, without a second copy
+    of ``x``."""
+    mean, total = x.mean(axis=0, dtype=float), np.zeros((1, x.shape[1]))
+    for i in range(0, len(x), block):
+        total = np.concatenate([total, np.square(x[i:i + block] - mean)]).sum(axis=0, keepdims=True)
+    return mean, np.sqrt(total[0] / len(x))
+
+
 class MilModel:
     """Gated-attention model over bags of passages."""
 
@@ -124,7 +133,8 @@ class MilModel:
     def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128,
             rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> "MilModel":
         """Adam on the log loss, in shuffled batches of bags."""
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        self.mean, self.scale = _moments(x)
+        self.scale += 1e-3
         rng, at = np.random.default_rng(seed), np.cumsum(sizes) - sizes
         m, v, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for epoch in range(epochs):
@@ -179,11 +189,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     model = MilModel(seed)
     y = np.array([r["y"] for r in found], float)
     if len(y):
-        bags = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in found]
         share = (y.sum() + 0.5) / (len(y) + 1)
         model.p["b"] = np.log(share / (1 - share))
         if 0 < y.sum() < len(y):
-            model.fit(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), y, seed=seed)
+            bags = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in found]
+            sizes, x = np.array([len(b) for b in bags]), np.concatenate(bags)
+            del found, bags  # the driver holds the sample once, in single precision
+            model.fit(x, sizes, y, seed=seed)
         else:
             model.p["c"] = np.zeros_like(model.p["c"])
     else:
